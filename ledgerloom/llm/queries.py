@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secret_scan, sharding, warc
+from . import decontaminate, langid, line_dedup, packing, quality, secret_scan, sharding, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "text", F.length("text").cast("long").alias("n_chars"), F.col("_lines_removed").alias("lines_removed"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, passed=["doc_id"])
@@ -40,5 +44,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_warc, op5_packing, op7_language_id, op9_decontamination)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents name a source and no URL: the source is the host, and its languages are the paths below it
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.classify(docs, labels, F.col("source"), F.col("lang"), learn=~langid.held_out())
+    return out.withColumn("held_out", langid.held_out())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op4_warc, op5_packing, op6_line_dedup, op7_language_id, op9_decontamination, op10_quality)}
 SQL: dict[str, str] = {}
