@@ -26,23 +26,26 @@ FIRST_DIGITS, MORE_DIGITS = 3, 2
 SLOT_ROWS = 1_000_000
 
 
-def _greedy(ends: list[int], atomic: list[bool], cap: int, k: int, hopeful: bool) -> list[int] | None:
-    """Cut positions if k shards of at most cap hold all; hopeful: a block not yet split may be cut anywhere."""
+def _greedy(ends: list[int], atomic: list[bool], cap: int, k: int, hopeful: bool) -> tuple[list[int], bool]:
+    """Cut positions of k shards of at most cap, as far as they come, and whether they hold all.
+
+    hopeful: a block that is not split yet may be cut anywhere; else only between blocks.
+    """
     at, cuts, total = 0, [], ends[-1]
     while total - at > cap:
         j = bisect_right(ends, at + cap)
         to = at + cap if hopeful and not atomic[j] else (ends[j - 1] if j else 0)
         if to <= at or len(cuts) == k - 1:
-            return None
+            return cuts, False
         cuts.append(at := to)
-    return cuts
+    return cuts, True
 
 
 def _smallest(ends, atomic, least, k, hopeful) -> int:
     lo, hi = least, ends[-1]
     while lo < hi:
         mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if _greedy(ends, atomic, mid, k, hopeful) is not None else (mid + 1, hi)
+        lo, hi = (lo, mid) if _greedy(ends, atomic, mid, k, hopeful)[1] else (mid + 1, hi)
     return lo
 
 
@@ -62,16 +65,14 @@ def minimax_cuts(groups: DataFrame, k: int, digest: str = "digest", size: str =
     while True:
         ends, atomic = list(accumulate(b[1] for b in blocks)), [b[2] == 1 for b in blocks]
         lo, hi = (_smallest(ends, atomic, least, k, hopeful) for hopeful in (True, False))
-        early, late = _greedy(ends, atomic, lo, k, False) or [], _greedy(ends, atomic, hi, k, True) or []
-        lows = [early[i] if i < len(early) else 0 for i in range(k - 1)]
-        highs = [late[i] if i < len(late) else total for i in range(k - 1)]
-        # with lo == hi the cuts are those of the greedy check; else they lie between the two extremes
-        if lo == hi and (cuts := _greedy(ends, atomic, lo, k, False)) is not None and cuts == _greedy(ends, atomic, lo, k, True):
-            return [blocks[bisect_right(ends, c)][0] for c in cuts]
+        early, late = _greedy(ends, atomic, lo, k, False)[0], _greedy(ends, atomic, hi, k, True)[0]
+        if lo == hi and early == late:
+            return [blocks[bisect_right(ends, c)][0] for c in late]
+        # the exact cuts lie between those of the cautious check at lo and of the hopeful one at hi
+        late += [total] * (k - 1 - len(late))
+        early += [early[-1] if early else 0] * (k - 1 - len(early))
         starts = [0, *ends[:-1]]
-        split = [b[0] for b, s, e, a in zip(blocks, starts, ends, atomic) if not a and any(s <= h and e >= w for w, h in zip(lows, highs))]
-        if not split:
-            return [blocks[bisect_right(ends, c)][0] for c in _greedy(ends, atomic, hi, k, False)]
+        split = [b[0] for b, s, e, a in zip(blocks, starts, ends, atomic) if not a and any(s <= h and e >= w for w, h in zip(early, late))]
         kept = [b for b in blocks if b[0] not in set(split)]
         for digits in sorted({len(p) for p in split}):
             kept += sums(digits + MORE_DIGITS, [p for p in split if len(p) == digits])
