@@ -61,7 +61,7 @@ def valid_percent(used: Column) -> Column:
 
 def elapsed_percent(us: Column, resets_us: Column, window_minutes: Column) -> Column:
     """How much of the window has passed; NULL outside it."""
-    start = resets_us - window_minutes * 60_000_000
+    start = resets_us - window_minutes.cast("long") * 60_000_000
     return F.when((window_minutes > 0) & us.between(start, resets_us), (us - start) * 100.0 / (resets_us - start))
 
 

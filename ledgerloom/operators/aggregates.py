@@ -157,7 +157,7 @@ def repeat_fingerprints(rows: DataFrame, columns: list[str], file: str, amount:
 def response_repeats(responses: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Responses seen again, with the same counters or with others."""
     g = responses.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*values)).alias("kinds")).where("n > 1")
-    return g.agg(F.count_if("kinds = 1").alias("repeated"), F.count_if("kinds > 1").alias("conflicting"))
+    return g.agg(F.count_if(F.expr("kinds = 1")).alias("repeated"), F.count_if(F.expr("kinds > 1")).alias("conflicting"))
 
 
 def response_coverage(responses: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import queries_logs, queries_meter, queries_usage  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

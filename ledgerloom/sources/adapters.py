@@ -5,6 +5,8 @@ Times are `at` (TIMESTAMP_NTZ, UTC) and `us` (microseconds since 1970).  Missing
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,5 +174,6 @@ SQL = {
 
 
 def with_sql(names: str, body: str) -> str:
-    """A query over the named tables; body may start with further `name AS (...)` tables, marked by a comma."""
-    return "WITH RECURSIVE " + ", ".join(SQL[n] for n in names.split()) + " " + body
+    """A query over the named tables; body may start with further `, name AS (...)` tables."""
+    text = "WITH RECURSIVE " + ", ".join(SQL[n] for n in names.split()) + " " + body
+    return re.sub(r"\bat\b", '"at"', text)  # DuckDB reserves the word
