@@ -39,6 +39,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_key(doc_id: str, text: str) -> Column:
     """A long that names a document: its id, or for a null id a hash of its text."""
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))

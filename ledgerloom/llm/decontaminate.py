@@ -3,9 +3,9 @@
 Fixed masks pick some token positions of a window and ignore the others, so a window still hits when words
 at ignored positions were replaced.  The hashes of all masked windows of the benchmark are joined with those
 of all documents (a hash join inside the scan of the documents, no shuffle), and each hit is verified: along
-the hit's diagonal, item and document are compared word by word, and the best stretch (a match counts 1, a
-substitution -2) is an overlap if it has at least MIN_WORDS words, or the whole item if that is shorter, and
-at least MIN_IDENTITY of them are equal.  Items with fewer words than the longest mask are sought whole.
+the hit's diagonal, item and document are compared word by word, and the longest stretch of which at least
+0.8 are equal words is an overlap if it has MIN_WORDS words, or the whole item's if that is shorter.
+Items with fewer words than the longest mask are sought whole.
 
 The benchmark is cut into blocks of about BLOCK_BYTES, and the documents are scanned against one broadcast
 block after another, so what is broadcast stays bounded however large the benchmark is.
@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 from .words import hashes, windows
 
 #: Fixed masks: whichever two words of a window of 15 are replaced, at least one of these still hits in it.
 MASKS = ("110010110101", "11011000111", "11100101101", "10101101011")
 SPAN = max(map(len, MASKS))
 MIN_WORDS = 13
-MIN_IDENTITY = 0.8
+#: Equal words that make up for a replaced one: four mean that 0.8 of a stretch are equal.
+REPLACED_COSTS = 4
 BLOCK_BYTES = 16 << 20
 BITMAP_BITS = 22
 
@@ -73,13 +74,13 @@ class Seeds:
             w = self.words[i]
             start, end = max(0, d), min(len(doc), d + len(w))
             equal = doc[start:end] == w[start - d : end - d]
-            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-            low = np.minimum.accumulate(total)
-            b = int((total - low).argmax())
-            a = int(total[: b + 1].argmin())
-            share = float(equal[a:b].mean()) if b > a else 0.0
-            if b - a >= min(MIN_WORDS, len(w)) and share >= MIN_IDENTITY:
-                out.append((self.ids[i], start + a, start + b, share))
+            # the longest stretch whose equal words pay for its replaced ones: each pays for a quarter of one
+            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -REPLACED_COSTS))])
+            first = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+            b = int((np.arange(len(total)) - first).argmax())
+            a = int(first[b])
+            if b - a >= min(MIN_WORDS, len(w)):
+                out.append((self.ids[i], start + a, start + b, float(equal[a:b].mean())))
         return out
 
 
@@ -109,7 +110,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(found, arrow)], [*b.schema.names[:-1], "overlaps"])
 
         schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("overlaps", overlap)])
-        return rows.select(*keep, F.col(text_col).alias("_text")).mapInArrow(find, schema)
+        return rows.select(*keep, F.col(text_col).alias(free_name(rows, "_text"))).mapInArrow(find, schema)
 
     n = _block_count(items, item_text)
     if n == 1:
@@ -117,7 +118,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     key = F.xxhash64(id_col, text_col)
     found = [written(scan(docs, [id_col, text_col], _block(items, item_id, item_text, n, k)).where(F.size("overlaps") > 0).select(key.alias("_k"), "overlaps"), "overlaps") for k in range(n)]
     merged = reduce(DataFrame.unionByName, found).groupBy("_k").agg(F.flatten(F.collect_set("overlaps")).alias("overlaps"))
-    joined = docs.withColumn("_k", key).join(merged, "_k", "left")
+    own = free_name(docs, "_k")
+    joined = docs.withColumn(own, key).join(merged.withColumnRenamed("_k", own), own, "left")
     return joined.select(*passed, F.coalesce("overlaps", F.array().cast(overlap)).alias("overlaps"))
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 ROWS_PER_LANG = 600
 MOST_CONTEXTS = 20_000
 UNKNOWN = "und"
@@ -141,7 +143,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
     """docs' columns `passed` (all by default) with lang_pred, score and bits_per_byte."""
     passed = docs.columns if passed is None else passed
-    base = docs.select(*passed, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_text"))
+    own = free_name(docs, "_text")
+    base = docs.select(*passed, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias(own))
     if trees is None:
         return base.select(*passed, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     model = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by MOST_CONTEXTS and the alphabet
@@ -149,7 +152,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             has = np.array([t is not None for t in texts], dtype=bool)
             bits, size = m.lengths([t for t in texts if t is not None])
             best = bits.argmin(1) if len(bits) else np.zeros(0, dtype=int)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import free_name, salted_join, written
 
 LEAST_CHARS = 12
 MARKS = "doc long, mark long, at array<int>"
@@ -154,8 +154,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with the edited text, and _lines_removed."""
     without = F.pandas_udf(_without, "text string, removed int")
     marks = written(aligned_lines(docs, id_col, text_col), "line-marks")
-    keyed = docs.withColumn("_doc", _order(id_col)).withColumn("_mark", F.xxhash64(text_col))
-    joined = keyed.join(marks.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("at").alias("_at")), ["_doc", "_mark"], "left")
-    edited = joined.withColumn("_new", without(F.when(F.col("_at").isNotNull(), F.col(text_col)), "_at"))
-    text = F.when(F.col("_at").isNotNull(), F.col("_new.text")).otherwise(F.col(text_col))
-    return edited.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("_new.removed").alias("_lines_removed"))
+    doc, mark, at, new = (free_name(docs, c) for c in ("_doc", "_mark", "_at", "_new"))
+    keyed = docs.withColumn(doc, _order(id_col)).withColumn(mark, F.xxhash64(text_col))
+    joined = keyed.join(marks.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("at").alias(at)), [doc, mark], "left")
+    edited = joined.withColumn(new, without(F.when(F.col(at).isNotNull(), F.col(text_col)), at))
+    text = F.when(F.col(at).isNotNull(), F.col(new)["text"]).otherwise(F.col(text_col))
+    return edited.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col(new)["removed"].alias("_lines_removed"))
