@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, langid, line_dedup, ngram_jaccard, packing
-from ledgerloom.llm.common import doc_key, table, written
+from ledgerloom.llm.common import doc_key, free_name, table, written
 
 #: A text that its best language model codes in as many bits as it has is in no learned language.
 RAW_BITS = 8.0
@@ -27,9 +27,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal shingles the one with the smallest id stays; equal rows stay once."""
-    kept = ngram_jaccard.join_similar(docs).where(F.col("key") == F.col("group_id")).select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", doc_key("doc_id", "text")).withColumn("_mark", F.xxhash64("text"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    key, mark = free_name(docs, "_key"), free_name(docs, "_mark")
+    kept = ngram_jaccard.join_similar(docs).where(F.col("key") == F.col("group_id")).select(F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, doc_key("doc_id", "text")).withColumn(mark, F.xxhash64("text"))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
