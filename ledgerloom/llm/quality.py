@@ -95,9 +95,10 @@ def _strength(groups: DataFrame, rate: Column, k: str = "k", n: str = "n") -> fl
     return (1 - rho) / rho
 
 
-def document_evidence(docs: DataFrame, labelled: DataFrame, text_col: str, passed: list[str]) -> DataFrame:
-    """docs' columns `passed` with p_document; labelled: rows with text and _y."""
-    n = labelled.count()
+def document_evidence(docs: DataFrame, labels: DataFrame, text_col: str, passed: list[str]) -> DataFrame:
+    """docs' columns `passed` with p_document; labels: (_id, _y).  The sample is drawn from the labels and is small
+    enough by SAMPLE_ROWS to be broadcast, so texts are never shuffled."""
+    n = labels.count()
     kind = T.StructType([T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def document_evidence(docs: DataFrame, labelled: DataFrame, text_col: str, passe
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tolist() for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["f", "y"])
 
     draw = F.pmod(F.xxhash64("_id", "_y"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))
-    sample = labelled.where(draw).select(F.col(text_col), F.col("_y").cast("double")).mapInArrow(measure, kind).collect()
+    drawn = docs.join(F.broadcast(labels.where(draw)), "_id")
+    sample = drawn.select(F.col(text_col), F.col("_y").cast("double")).mapInArrow(measure, kind).collect()
     y = np.array([r.y for r in sample])
     if not len(y):
         return docs.select(*passed, F.lit(0.5).alias("p_document"))
@@ -142,8 +144,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """(id, p_document, host_posterior, path_posterior, quality, keep); learn: which ids' labels may be used."""
     clean = labels.where(F.col(label).isin(0, 1)).where(F.lit(True) if learn is None else learn).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label).alias("_y"))
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(path, F.lit("")).alias("_path"), F.col(text_col).alias("_doc"))
-    labelled = base.join(clean, "_id")
-    scored = document_evidence(base, labelled, "_doc", ["_id", "_host", "_path"])
+    scored = document_evidence(base, clean, "_doc", ["_id", "_host", "_path"])
     sites, rate = site_posteriors(base.select("_id", "_host", "_path").join(clean, "_id", "left"))
     sites = written(sites, "quality-posteriors")
     total = sites.agg(F.sum("_rows")).first()[0] or 0

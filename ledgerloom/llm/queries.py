@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, langid, line_dedup, ngram_jaccard, packing, quality, secret_scan, sharding, warc
 from .common import table
+from .sql import SQL
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_jaccard, op4_warc, op5_packing, op6_line_dedup, op7_language_id, op8_embedding_dedup, op9_decontamination, op10_quality)}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

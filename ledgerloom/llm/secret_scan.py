@@ -38,7 +38,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),  # the runs of [0-9a-f]+ that have 32 or more characters
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 MOST_STRINGS = 64
