@@ -171,13 +171,16 @@ def match_selected_direct(points: DataFrame, keys: list[str], role: str = "role"
 def fingerprint_pairs(sequences: DataFrame, most: int) -> DataFrame:
     """Files that share a fingerprint and how their sequences relate.  sequences: file, pos, fingerprint.
 
-    A fingerprint in more than `most` files is no evidence that two of them belong together; the pairs of files
-    found by others still compare all their positions.
+    Files with a fingerprint that at most `most` files have are all paired with each other; with a commoner one each is
+    paired with the first file that has it, so pairs grow with the files and no group falls apart.
     """
     distinct = sequences.select("file", "fingerprint").distinct()
-    rare = distinct.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("files")).where(F.col("files").between(2, most))
-    d = distinct.join(rare.select("fingerprint"), "fingerprint")
-    pairs = d.select("fingerprint", F.col("file").alias("a")).join(d.select("fingerprint", F.col("file").alias("b")), "fingerprint").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    shared = distinct.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("first")).where("files > 1")
+    d = distinct.join(shared, "fingerprint")
+    few = d.where(F.col("files") <= most)
+    found = few.select("fingerprint", F.col("file").alias("a")).join(few.select("fingerprint", F.col("file").alias("b")), "fingerprint").where("a < b")
+    found = found.unionByName(d.where((F.col("files") > most) & (F.col("file") != F.col("first"))).select("fingerprint", F.col("first").alias("a"), F.col("file").alias("b")))
+    pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     size = sequences.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     j = pairs.join(size.select(F.col("file").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
     sa = pairs.select("a", "b").join(sequences.select(F.col("file").alias("a"), "pos", F.col("fingerprint").alias("fa")), "a")

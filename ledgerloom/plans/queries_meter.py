@@ -92,9 +92,12 @@ def w6_reset_generations(spark, sf):
     return Q.group_reset_generations(q, ["account"])
 
 
-@query(with_sql("ev quota", """, prev AS (SELECT *, lag(used) OVER w AS pu, lag(resets_us) OVER w AS pr, lag(us) OVER w AS pt FROM quota WINDOW w AS (PARTITION BY account ORDER BY us, observation_id)),
+RESETS = """, prev AS (SELECT *, lag(used) OVER w AS pu, lag(resets_us) OVER w AS pr, lag(us) OVER w AS pt FROM quota WINDOW w AS (PARTITION BY account ORDER BY us, observation_id)),
     d AS (SELECT *, pu - used AS dr, pr <> resets_us AS ch, us BETWEEN pr - 1800000000 AND pr + 1800000000 AS due FROM prev WHERE pu IS NOT NULL AND used IS NOT NULL),
-    c AS (SELECT *, CASE WHEN ch AND dr >= 1 AND due THEN 'ExpectedReset' WHEN ch AND dr >= 50 THEN 'FullReset' WHEN ch AND dr >= 1 THEN 'UnusualReset' WHEN ch AND resets_us > pr THEN 'ReanchoredWindow' WHEN NOT ch AND dr >= 50 THEN 'FullReset' WHEN NOT ch AND dr >= 5 THEN 'UnusualReset' END AS classification FROM d)
+    c AS (SELECT *, CASE WHEN ch AND dr >= 1 AND due THEN 'ExpectedReset' WHEN ch AND dr >= 50 THEN 'FullReset' WHEN ch AND dr >= 1 THEN 'UnusualReset' WHEN ch AND resets_us > pr THEN 'ReanchoredWindow' WHEN NOT ch AND dr >= 50 THEN 'FullReset' WHEN NOT ch AND dr >= 5 THEN 'UnusualReset' END AS classification FROM d)"""
+
+
+@query(with_sql("ev quota", RESETS + """
     SELECT account, pt AS previous_us, us, pu AS previous_used, used, classification FROM c WHERE classification IS NOT NULL"""))
 def w7_detect_resets(spark, sf):
     return W.detect_resets(D.quota_snapshots(spark, sf)).select("account", "previous_us", "us", "previous_used", "used", "classification")
@@ -202,7 +205,9 @@ def w13_project_remaining(spark, sf):
     return p.select("account", "observation_id", F.round(W.project_remaining(u, r, F.lit(2.0)), 6).alias("plain"), F.round(W.project_remaining(u, r, F.lit(2.0), 2.0), 6).alias("damped"), F.round(W.exhaustion_hours(u, r), 6).alias("eta"))
 
 
-@query()
+@query(with_sql("ev quota", EPOCHS + f""", n AS (SELECT account, epoch_id, us, row_number() OVER w AS i, CAST(sum(CASE WHEN collected_us > us THEN 1 ELSE 0 END) OVER (PARTITION BY account, epoch_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS late FROM ep WHERE epoch_id IS NOT NULL WINDOW w AS (PARTITION BY account, epoch_id ORDER BY us)),
+    b AS (SELECT n.*, (SELECT max(i) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us <= n.us - {2 * HOUR}) AS bi FROM n)
+    SELECT b.account, b.epoch_id, b.us, x.us AS from_us, b.i - coalesce(bi, 1) + 1 AS rows, b.i - coalesce(bi, 1) AS intervals, b.late AS late_so_far, b.late - CASE WHEN bi IS NULL THEN 0 ELSE x.late END AS late_in_window FROM b JOIN n x ON x.account = b.account AND x.epoch_id = b.epoch_id AND x.i = coalesce(bi, 1)"""))
 def w14_pace_receipt(spark, sf):
     return W.pace_receipt(_epochs(spark, sf).where("epoch_id is not null"), ["account", "epoch_id"], 2.0)
 
@@ -305,9 +310,35 @@ def _trials(spark, sf, hours=6.0):
     return M.replay_trials(_epochs(spark, sf), KEYS, hours)
 
 
-@query()
+TRIAL_SQL = PACE + f""", n AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS i, count(*) OVER (PARTITION BY account, epoch_id) AS c, min(us) OVER (PARTITION BY account, epoch_id) AS f0 FROM pace),
+    e AS (SELECT n.*, (SELECT min(us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us BETWEEN n.us + {6 * HOUR} AND n.us + {6 * HOUR + 5 * MINUTE}) AS eu, (SELECT arg_min(used, us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us BETWEEN n.us + {6 * HOUR} AND n.us + {6 * HOUR + 5 * MINUTE}) AS ou FROM n),
+    g AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS j FROM e WHERE c >= 3 AND i > 1 AND i < c AND used < 100 AND us - f0 >= {15 * MINUTE} AND us + {6 * HOUR} <= resets_us AND eu IS NOT NULL),
+    q AS (SELECT account, epoch_id, j, us, true AS ok, us AS last FROM g WHERE j = 1 UNION ALL SELECT g.account, g.epoch_id, g.j, g.us, g.us - q.last >= {30 * MINUTE}, CASE WHEN g.us - q.last >= {30 * MINUTE} THEN g.us ELSE q.last END FROM q JOIN g ON g.account = q.account AND g.epoch_id = q.epoch_id AND g.j = q.j + 1),
+    o AS (SELECT g.* FROM g JOIN q USING (account, epoch_id, j) WHERE q.ok),
+    t AS (SELECT account, epoch_id, us AS origin_us, eu AS outcome_us, 100 - ou AS observed, unnest(['persistence', 'epoch', 'time_ewma_2h']) AS model, unnest([0.0::DOUBLE, whole, e2]) AS rate, used, (eu - us) / {HOUR}.0 AS lead FROM o),
+    tr AS (SELECT *, least(100.0, greatest(0.0, 100 - used - rate * lead)) AS predicted FROM t)"""
+
+
+@query(with_sql("ev quota", TRIAL_SQL + " SELECT account, epoch_id, model, origin_us, outcome_us, observed, round(predicted, 6) AS predicted, round(abs(predicted - observed), 6) AS error FROM tr"))
 def m2_replay_trials(spark, sf):
-    return _trials(spark, sf)
+    t = M.replay_trials(_epochs(spark, sf), KEYS, 6.0, ("persistence", "epoch", "time_ewma_2h"))
+    return t.select("account", "epoch_id", "model", "origin_us", "outcome_us", "observed", F.round("predicted", 6).alias("predicted"), F.round("error", 6).alias("error"))
+
+
+@query(with_sql("ev quota", TRIAL_SQL + """, m AS (SELECT account, model, avg(abs(predicted - observed)) AS mae, count(*) AS n FROM tr GROUP BY 1, 2),
+    b AS (SELECT account, min(mae) AS best_mae, max(mae) FILTER (model = 'time_ewma_2h') AS fm, max(n) AS trials FROM m GROUP BY 1)
+    SELECT account, round(best_mae, 6) AS best_mae, round(fm, 6) AS fallback_mae, trials, fm <= best_mae * 1.1 + 0.1 OR trials < 8 AS keeps_fallback FROM b"""))
+def m5_selection_margins(spark, sf):
+    """M5's numbers: the best error, the fallback's, and whether the fallback stays."""
+    t = M.select_model(M.replay_trials(_epochs(spark, sf), KEYS, 6.0, ("persistence", "epoch", "time_ewma_2h")), KEYS)
+    return t.select("account", F.round("best_mae", 6).alias("best_mae"), F.round("fallback_mae", 6).alias("fallback_mae"), "trials", (F.col("selected") == "time_ewma_2h").alias("keeps_fallback"))
+
+
+@query(with_sql("ev quota", TRIAL_SQL + " SELECT account, model, count(*) AS trials, round(avg(abs(predicted - observed)), 6) AS mae, round(sqrt(avg((predicted - observed) * (predicted - observed))), 6) AS rmse FROM tr GROUP BY 1, 2"))
+def m38_forecast_errors(spark, sf):
+    """M38's error figures."""
+    t = M.forecast_scores(M.replay_trials(_epochs(spark, sf), KEYS, 6.0, ("persistence", "epoch", "time_ewma_2h")), ["account", "model"])
+    return t.select("account", "model", "trials", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
 
 
 @query()
@@ -320,9 +351,11 @@ def m5_select_model(spark, sf):
     return M.select_model(_trials(spark, sf), KEYS)
 
 
-@query()
+@query(with_sql("ev quota", PACE + f""", l AS (SELECT *, count(*) OVER (PARTITION BY account, epoch_id) AS n, min(us) OVER (PARTITION BY account, epoch_id) AS f FROM pace), z AS (SELECT *, (resets_us - us) / {HOUR}.0 AS hrs, 100 - used AS rest FROM l QUALIFY row_number() OVER (PARTITION BY account ORDER BY us DESC, observation_id DESC) = 1)
+    SELECT account, us, used, round(e2, 6) AS rate, round(rest - e2 * hrs, 6) AS margin, CASE WHEN n < 3 OR us - f < {15 * MINUTE} THEN 'Learning' WHEN used >= 100 THEN 'Exhaust' WHEN e2 <= 0 THEN 'Idle' WHEN rest - e2 * hrs <= 0 THEN 'Exhaust' WHEN rest - e2 * hrs < 10 THEN 'Near' ELSE 'Safe' END AS state FROM z"""))
 def m6_reset_outlook(spark, sf):
-    return M.reset_outlook(_epochs(spark, sf), KEYS)
+    o = M.reset_outlook(_epochs(spark, sf), KEYS)
+    return o.select("account", "us", "used", F.round("rate", 6).alias("rate"), F.round("margin", 6).alias("margin"), "state")
 
 
 @query()
@@ -459,12 +492,11 @@ def m22_cost_evaluation(spark, sf):
     return M.cost_evaluation(_cost(spark, sf), KEYS, {"categories": COST, "total": ["events"]})
 
 
-@query()
+@query(with_sql("ev tok", "SELECT us // 86400000000 AS day, CAST(sum(uncached+cache_read+cache_write+output+reasoning) AS DOUBLE) AS total, " + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in CATEGORIES) + ", count(DISTINCT CASE WHEN model <> 'error' THEN model || '|' || effort ELSE 'overflow' END) AS cells FROM tok GROUP BY 1"))
 def m23_cost_vectors(spark, sf):
     cells = D.token_events(spark, sf).withColumn("day", F.floor(F.col("us") / D.DAY_US))
     known = cells.where(F.col("model") != "error").select("model", "effort").distinct()
-    v = M.cost_vectors(cells, ["day"], known)
-    return v.withColumn("cells", F.to_json("cells"))
+    return M.cost_vectors(cells, ["day"], known).withColumn("cells", F.size("cells").cast("long"))
 
 
 @query()
@@ -524,7 +556,8 @@ def m33_scenario_estimate(spark, sf):
     return M.scenario_estimate(_history(spark, sf), KEYS, {"lead_hours": 6.0, "roots": 2.0})
 
 
-@query()
+@query(with_sql("ev tok edges", ORIGINS + f""", h AS (SELECT o, t.model, t.session_id, e.child IS NOT NULL AS sub FROM origins LEFT JOIN tok t ON t.us > o - {2 * HOUR} AND t.us <= o LEFT JOIN edges e ON e.child = t.session_id)
+    SELECT o AS origin_us, count(DISTINCT CASE WHEN NOT sub THEN session_id END) AS roots, count(DISTINCT CASE WHEN sub THEN session_id END) AS subagents, CASE WHEN count(DISTINCT model) = 1 THEN min(model) END AS model, CASE WHEN count(model) = 0 THEN 'no-recent-tokens' WHEN count(DISTINCT model) > 1 THEN 'mixed-models' END AS reason FROM h GROUP BY 1"""))
 def m34_recent_pattern(spark, sf):
     o = _origins(spark, sf)
     cells = M.joint_before(D.token_events(spark, sf), o, 2 * HOUR).select("origin_us", "model").distinct()
@@ -579,7 +612,8 @@ def m40_threshold_study(spark, sf):
     return M.threshold_study(_trials(spark, sf), KEYS, {"default": M.Options(), "no-margin": M.Options(margin=0.0, margin_points=0.0)})
 
 
-@query()
+@query(with_sql("ev quota ties", ELIGIBLE + """, f AS (SELECT account, count(*) AS a, count(*) FILTER (starts_with(reason, 'hist')) AS b, count(*) FILTER (starts_with(reason, 'hist') AND used < 100) AS c FROM dec GROUP BY 1)
+    SELECT account, 0 AS position, 'eligible' AS stage, a AS entered, b AS passed FROM f UNION ALL SELECT account, 1, 'below_full', b, c FROM f UNION ALL SELECT account, 2, 'known_collection', c, c FROM f"""))
 def m41_eligibility_funnel(spark, sf):
     d = W.describe_history(D.tied_quota(spark, sf), LATER)
     return M.eligibility_funnel(d, {"eligible": F.col("eligible"), "below_full": F.col("used") < 100, "known_collection": F.col("collected_us").isNotNull()}, KEYS)
@@ -616,9 +650,11 @@ def m47_session_quota_evaluation(spark, sf):
     return M.session_quota_evaluation(_hurdles(spark, sf).withColumnRenamed("model", "account"), _cost(spark, sf), KEYS)
 
 
-@query()
+@query(with_sql("ev quota", EPOCHS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS i, count(*) OVER (PARTITION BY account, epoch_id) AS c, min(us) OVER (PARTITION BY account, epoch_id) AS f FROM ep WHERE epoch_id IS NOT NULL),
+    e AS (SELECT n.*, (SELECT min(us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us >= n.us + {6 * HOUR}) AS eu, (SELECT arg_min(used, us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us >= n.us + {6 * HOUR}) AS ev2 FROM n WHERE i > 1 AND i < c),
+    r AS (SELECT *, CASE WHEN used >= 100 THEN 'saturated-origin' WHEN us - f < {15 * MINUTE} THEN 'epoch-warmup' WHEN eu IS NULL THEN 'no-outcome-in-epoch' WHEN eu - us - {6 * HOUR} > {5 * MINUTE} THEN 'outcome-beyond-poll-tolerance' WHEN ev2 >= 100 THEN 'saturated-outcome' END AS reason FROM e)""" + " SELECT account, coalesce(starts_with(reason, 'saturated'), false) AS censored, count(*) AS attempts, quantile_disc(used, 0.5) AS median_start, round(avg(ev2 - used), 6) AS mean_moved FROM r WHERE reason IS NULL OR starts_with(reason, 'saturated') GROUP BY 1, 2"))
 def m48_censoring_study(spark, sf):
-    return M.censoring_study(_candidates(spark, sf), KEYS)
+    return M.censoring_study(_candidates(spark, sf), KEYS).withColumn("mean_moved", F.round("mean_moved", 6))
 
 
 def _paths(spark, sf):
@@ -676,7 +712,7 @@ def t7_stream_idle_sessions(spark, sf):
     return T.stream_idle_sessions(t, "time", "1 hour").select("session_id", F.unix_micros("from_time").alias("from_us"), "events", "total")
 
 
-@query()
+@query(with_sql("ev quota", RESETS + f" SELECT account, pt AS previous_us, us, classification FROM c WHERE classification IS NOT NULL AND us >= {DAY0 + 500 * HOUR}"))
 def t10_refresh_resets(spark, sf):
     q = D.quota_snapshots(spark, sf)
     cut = DAY0 + 500 * HOUR

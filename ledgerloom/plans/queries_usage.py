@@ -456,7 +456,7 @@ def j20_table_diff(spark, sf):
     return J.table_diff(b, a.unionByName(b.where("o_orderkey % 83 = 0").withColumn("o_orderkey", -F.col("o_orderkey"))), "o_orderkey")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('doc_id', 'bigint', 'string', 'Changed'), ('text', 'string', NULL, 'Removed'), ('lang', 'string', NULL, 'Removed'), ('source', 'string', NULL, 'Removed'), ('n_chars', 'bigint', NULL, 'Removed'), ('page_id', NULL, 'bigint', 'Added'), ('url', NULL, 'string', 'Added'), ('html', NULL, 'string', 'Added')) v(\"column\", before, after, change)")
 def j21_schema_diff(spark, sf):
     return J.schema_diff(D.read(spark, sf, "documents"), D.read(spark, sf, "pages").withColumn("doc_id", F.lit("x")))
 
