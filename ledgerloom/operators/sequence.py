@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SECOND_US = 1_000_000
 HOUR_US = 3_600 * SECOND_US
@@ -22,24 +23,23 @@ MAX_LONG = 2**63 - 1
 def fold(df: DataFrame, keys: list[str], order: list[str], uses: list[str], start: Callable, step: Callable, out: str, presorted: bool = False) -> DataFrame:
     """df with the columns `out` (DDL).  step(state, row) -> (state, values), where row is a tuple of `uses`."""
     added = T._parse_datatype_string(out)
-    names = added.fieldNames()
+    arrow = to_arrow_schema(added)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
+            named = dict(zip(batch.schema.names, batch.columns))
             values = []
-            rows = zip(*(batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in uses)) if len(batch) else ()
-            ids = zip(*(batch[k].astype(object).where(batch[k].notna(), None).tolist() for k in keys))
-            for k, row in zip(ids, rows):
+            for k, row in zip(zip(*(named[c].to_pylist() for c in keys)), zip(*(named[c].to_pylist() for c in uses))):
                 if k != key:
                     key, state = k, start()
                 state, value = step(state, row)
                 values.append(value)
-            new = pd.DataFrame(values, columns=names, index=batch.index, dtype=object)
-            yield pd.concat([batch, new], axis=1)
+            new = zip(*values) if values else ([] for _ in arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, f.type) for v, f in zip(new, arrow))], [*batch.schema.names, *arrow.names])
 
     rows = df if presorted else df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return rows.mapInPandas(walk, T.StructType([*df.schema.fields, *added.fields]))
+    return rows.mapInArrow(walk, T.StructType([*df.schema.fields, *added.fields]))
 
 
 # --- W1: cumulative counters to disjoint increments
