@@ -102,3 +102,10 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             break
         root = new
     return root
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what Python makes of them stays small."""
+    for batch in batches:
+        for a in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(a, rows)

@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, slices
 
 ROWS_PER_LANG = 600
 MOST_CONTEXTS = 20_000
 UNKNOWN = "und"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _codes(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def _codes(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of four-byte grams for each language, of whole texts."""
     same = np.arange(256)
-    for b in batches:
+    for b in slices(batches):
         texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs) if x == lang]
@@ -110,8 +110,8 @@ class ContextTrees:
                 room -= len(texts[j])
                 j += 1
             flat, ends = _codes(texts[i:j], self.alphabet)
-            for a in range(0, max(len(flat) - 3, 0), 4 * CHUNK_BYTES):  # a very long text is summed in parts
-                f = flat[a : a + 4 * CHUNK_BYTES + 3]
+            for a in range(0, max(len(flat) - 3, 0), CHUNK_BYTES):  # a very long text is summed in parts
+                f = flat[a : a + CHUNK_BYTES + 3]
                 rows = self.context[(f[:-3] * w + f[1:-2]) * w + f[2:-1]] * np.int64(w) + f[3:]
                 own = np.clip(ends - a, 0, len(rows))
                 sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits[rows], axis=0, dtype=np.float64)])
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             has = np.array([t is not None for t in texts], dtype=bool)
             bits, size = m.lengths([t for t in texts if t is not None])
