@@ -371,7 +371,7 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert len(out) > 100 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.98 and all(0 <= r.score <= 1 for r in out)
 
 
-def test_code_lengths_are_those_of_the_context_tree():
+def test_code_lengths_are_those_of_the_context_tree(monkeypatch):
     texts = {"a": ["abab abba", "bab"], "b": ["cdcd ddcc"]}
     grams = {}
     for lang, ts in texts.items():
@@ -388,6 +388,10 @@ def test_code_lengths_are_those_of_the_context_tree():
     assert bits[0, 0] < bits[0, 1] and bits[1, 1] < bits[1, 0] and size.tolist() == [4, 4, 0, 100]
     whole = trees.lengths(["abab", "cdcd"])[0]
     assert np.allclose(whole, np.vstack([trees.lengths(["abab"])[0], trees.lengths(["cdcd"])[0]]))
+    many = ["abab" * n for n in (0, 1, 7, 60, 2)]
+    whole = trees.lengths(many)[0]
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 17)  # texts that run over several parts
+    assert np.allclose(whole, trees.lengths(many)[0])
 
 
 def test_language_messy(spark, messy, empty):
