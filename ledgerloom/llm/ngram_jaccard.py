@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_key, local_roots, salted_join, sorted_groups, written
+from .common import doc_key, local_roots, salted_join, slices, sorted_groups, written
 from .components import connected_components
 from .words import hashes, mixed, windows
 
@@ -76,7 +76,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: i
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("dk", T.LongType()), T.StructField("node", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             nodes, marks, sigs = [], [], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), n)
@@ -172,7 +172,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(doc_key(id_col, text_col).alias("rep"), F.col(text_col).alias("text")).join(members, "rep")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t.as_py(), n) for t in b.column("text")]
             own = np.array([len(s) > 0 and set_digest(s)[0] == k for s, k in zip(sets, b.column("node").to_pylist())], dtype=bool)
             keep = pa.array(np.flatnonzero(own))
