@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import authority, like_escaped, valid_percent
 
 UNKNOWN = "(unknown)"
+#: The source whose readings belong to the default limit, and that limit's name.
+DEFAULT_SOURCE, DEFAULT_LIMIT = "codex-app-server:codex", "codex"
 COHORT = ("provider", "profile", "kind", "source", "account", "limit_id", "plan", "session", "window_minutes")
 
 
@@ -76,7 +78,7 @@ def cohort_key() -> Column:
     """The nine columns that keep streams apart; NULL is a value.  A provider's own reading belongs to its default
     limit, and only embedded readings are told apart by session."""
     auth = authority(F.col("source"))
-    limit = F.coalesce("limit_id", F.when((F.col("source") == "codex-app-server:codex") | (F.col("observation_id").isNotNull() & (auth == "EmbeddedObservation")), "codex"))
+    limit = F.coalesce("limit_id", F.when((F.col("source") == DEFAULT_SOURCE) | (F.col("observation_id").isNotNull() & (auth == "EmbeddedObservation")), DEFAULT_LIMIT))
     session = F.when(auth == "EmbeddedObservation", F.col("session"))
     return F.struct(*((limit if c == "limit_id" else session if c == "session" else F.col(c)).alias(c) for c in COHORT))
 
