@@ -1,14 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-Each line's hash has an owner: the first document, by id, that holds it.  A later document is paired with
-the owners of its lines, and in a pair only the lines owned by that earlier document matter (a line that it
-holds but does not own pairs with its own owner), so there are never more pair rows than shared lines, even
-in groups of thousands of copies.  A pair counts if it shares at least one rare line: rare within the pair,
-that is, one that stands once in each of the two documents and has LEAST_CHARS characters.  (Rarity by
-corpus frequency would lose large groups of copies, whose lines are all frequent.)  Pairs are aligned by
-patience diff: the lines that stand once in both documents are the anchors, their longest increasing
-sequence is kept, and blocks grow from the anchors through equal neighbouring lines.  The aligned blocks are
-deleted from the later document.
+Documents with equal lines (blank ones left out) form a class; all but its first document, by id, lose every
+line.  The first ones are aligned with every earlier one with which they share a rare line: rare within the
+pair, that is, one that stands once in each of the two documents and has LEAST_CHARS characters.  (Rarity by
+corpus frequency would lose large groups of copies, whose lines are all frequent.)  A pair is aligned by
+patience diff over both full line lists: common lines at both ends of a range are matched, the longest
+increasing sequence of its rare lines cuts the rest into ranges, and so on.  Matched lines are deleted from
+the later document.
+
+Not every pair has to be aligned for that.  Each document is aligned first with the first holders of its rare
+lines.  A line that is then still there can only be deleted with an earlier document that holds it too, or,
+for a short line, that holds it beside the same neighbour (a short line is matched only from a matched
+neighbour or an end of both documents).  So only documents with such lines are aligned further, and only with
+the holders of these lines or those of their rare lines, whichever are fewer.
 
 Defined results: lines are compared without surrounding white space; blank lines never match, and a blank
 line is deleted only between two deleted lines.  Null text: no lines, stays null.  Repeated rows (same id and
@@ -18,30 +22,60 @@ A document all of whose lines are deleted keeps an empty text.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, salted_join, written
+from .common import free_name, salted_join, slices, written
 
 LEAST_CHARS = 12
 MARKS = "doc long, mark long, at array<int>"
+#: Holders of a key in one cell of the grid over which pairs of its holders are dealt.
+CELL = 2000
+#: Stand before a document's first and after its last line.
+START, END = 2, 4
 
 
 def _order(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, mark, pos, h1, h2, anchor): lines that are not blank; a document is (doc, mark)."""
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    rows = docs.select(_order(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", line).where(F.col("line") != "")
-    return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= LEAST_CHARS).alias("long"))
+def line_hashes(text: str) -> list[int]:
+    """A hash for each line, 0 for a blank one; odd if the line is long enough to be rare."""
+    out = []
+    for line in text.split("\n"):
+        line = line.strip()
+        h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) >> 1 & ~1 if line else 0
+        out.append(max(h, 8) | (len(line) >= LEAST_CHARS) if line else 0)
+    return out
+
+
+def _key(x: int, y: int) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack("<qq", x, y)) >> 1 & ~1
+
+
+def line_keys(lines: list[int], at: Iterable[int] | None = None) -> dict[int, bool]:
+    """What an earlier document must hold too if one of the lines (those at `at`) is to be matched with it; true for rare lines.
+
+    A long line stands for itself, a short one for itself beside either neighbour.
+    """
+    n, out = len(lines), {}
+    for p in range(n) if at is None else at:
+        h = lines[p]
+        if h & 1:
+            out[h] = h not in out
+        else:
+            out[_key(lines[p - 1] if p else START, h)] = False
+            out[_key(h, lines[p + 1] if p + 1 < n else END)] = False
+    return out
 
 
 def patience_blocks(mine: list[int], other: list[int], same: list[int], anchor: list[bool]) -> list[int]:
@@ -79,52 +113,133 @@ def patience_blocks(mine: list[int], other: list[int], same: list[int], anchor:
     return [mine[i] for i in sorted(kept)]
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (doc, mark, owner, owner_mark, pos); a pair may run over several batches."""
-    pair, rows, out = None, [], []
-    for batch in batches:
-        keys = batch[["doc", "mark", "owner", "owner_mark"]].to_numpy()
-        values = list(zip(batch["pos"].tolist(), batch["first"].tolist(), batch["times"].tolist(), batch["long"].tolist()))
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            key = tuple(keys[a].tolist())
-            if key != pair:
-                if pair and (at := patience_blocks(*map(list, zip(*rows)))):
-                    out.append((pair[0], pair[1], at))
-                pair, rows = key, []
-            rows += values[a:b]
-        if len(out) > 1000:
-            yield pd.DataFrame(out, columns=["doc", "mark", "at"])
-            out = []
-    if pair and (at := patience_blocks(*map(list, zip(*rows)))):
-        out.append((pair[0], pair[1], at))
-    yield pd.DataFrame(out, columns=["doc", "mark", "at"])
+def matched_lines(mine: list[int], other: list[int]) -> list[int]:
+    """Places in mine (the later document's lines) that patience diff matches; none without a rare line in common."""
+    once = line_keys(other)
+    if not any(rare and once.get(h) for h, rare in line_keys(mine).items()):
+        return []
+    kept, ranges = [], [(0, len(mine), 0, len(other))]
+    while ranges:
+        a, b, c, d = ranges.pop()
+        while a < b and c < d and mine[a] == other[c]:
+            kept.append(a)
+            a, c = a + 1, c + 1
+        while a < b and c < d and mine[b - 1] == other[d - 1]:
+            b, d = b - 1, d - 1
+            kept.append(b)
+        if a == b or c == d:
+            continue
+        here, there = Counter(mine[a:b]), Counter(other[c:d])
+        place = {h: k for k, h in enumerate(other[c:d], c) if h & 1 and there[h] == 1}
+        rare = [i for i in range(a, b) if here[mine[i]] == 1 and mine[i] in place]
+        if not rare:
+            continue
+        n = len(rare)
+        chain = patience_blocks(rare, [place[mine[i]] for i in rare], [1] * n, [True] * n)
+        kept += chain
+        for i in [*chain, None]:
+            to, upto = (i, place[mine[i]]) if i is not None else (b, d)
+            ranges.append((a, to, c, upto))
+            a, c = to + 1, upto + 1
+    return sorted(kept)
+
+
+def _with_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, text) -> (doc, mark, h: a hash for each line, c1, c2: which lines there are)."""
+    for batch in slices(batches):
+        rows = []
+        for doc, mark, t in zip(*(c.to_pylist() for c in batch.columns)):
+            h = line_hashes(t) if t else []
+            if any(h):
+                c = xxhash.xxh3_128_intdigest(np.array([x for x in h if x], dtype=np.int64).tobytes())
+                rows.append((doc, mark, h, (c >> 64) - 2**63, (c & 2**64 - 1) - 2**63))
+        yield _batch(rows, "doc mark h c1 c2")
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"h": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "rare": pa.bool_()}
+    names = names.split()
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, list(zip(*rows)) or [[]] * len(names))], names)
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, h) -> (key, doc, mark, rare)."""
+    for batch in slices(batches):
+        yield _batch([(k, doc, mark, rare) for doc, mark, h in zip(*(c.to_pylist() for c in batch.columns)) for k, rare in line_keys([x for x in h if x]).items()], "key doc mark rare")
+
+
+def _with_kept_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, h, at) -> (key, doc, mark) of the lines that are not at `at`."""
+    for batch in slices(batches):
+        rows = []
+        for doc, mark, h, at in zip(*(c.to_pylist() for c in batch.columns)):
+            gone, full = set(at), [i for i, x in enumerate(h) if x]
+            rows += [(k, doc, mark) for k in line_keys([h[i] for i in full], [n for n, i in enumerate(full) if i not in gone])]
+        yield _batch(rows, "key doc mark")
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, h, other): a pair in each row -> (doc, mark, at)."""
+    for batch in slices(batches):
+        rows = []
+        for doc, mark, h, other in zip(*(c.to_pylist() for c in batch.columns)):
+            full = [i for i, x in enumerate(h) if x]
+            if at := matched_lines([h[i] for i in full], [x for x in other if x]):
+                rows.append((doc, mark, [full[n] for n in at]))
+        yield _batch(rows, "doc mark at")
+
+
+def _aligned(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc, mark, at) of pairs (b, b_mark, doc, mark), materialised."""
+    total = pairs.count()
+    earlier = pairs.groupBy("b", "b_mark").agg(F.count(F.lit(1)).alias("n"))
+    earlier = written(earlier.join(lists.select(F.col("doc").alias("b"), F.col("mark").alias("b_mark"), F.col("h").alias("other")), ["b", "b_mark"]), "earlier-lines")
+    both = salted_join(pairs, earlier, ["b", "b_mark"], "n", total, F.struct("doc", "mark"), "inner").join(lists, ["doc", "mark"])
+    found = both.select("doc", "mark", "h", "other").mapInArrow(_align, MARKS)
+    return found.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+
+
+def _holders(lines: DataFrame, held: DataFrame) -> DataFrame:
+    """(b, b_mark, doc, mark): the lines' documents with earlier ones of `held` by key; both have m, the key's holders."""
+    parts = F.ceil(F.col("m") / CELL).cast("int")
+    cell, every = F.pmod(F.xxhash64("doc", "mark"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    left = lines.select("key", "doc", "mark", "m", cell.alias("_c")).select("*", every.alias("_b")).drop("m")
+    right = held.select("key", F.col("doc").alias("b"), F.col("mark").alias("b_mark"), "m", cell.alias("_b")).select("*", every.alias("_c")).drop("m")
+    pairs = left.join(right, ["key", "_b", "_c"]).where(F.struct("b", "b_mark") < F.struct(F.col("doc").alias("b"), F.col("mark").alias("b_mark")))
+    return pairs.select("b", "b_mark", "doc", "mark").distinct()
 
 
 def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, mark, at): line positions to delete from each later document."""
-    lines = _lines(docs, id_col, text_col)
-    held = lines.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "mark", "pos")).alias("o"),
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("doc", "mark")).alias("z"),
-    )
-    shared = held.where((F.col("z.doc") != F.col("o.doc")) | (F.col("z.mark") != F.col("o.mark")))
-    shared = written(shared.select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.mark").alias("owner_mark"), F.col("o.pos").alias("first"), "n"), "shared-lines")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    matched = written(salted_join(lines, shared, ["h1", "h2"], "n", total, F.struct("doc", "pos"), "inner"), "matched-lines")
-    own = (F.col("doc") == F.col("owner")) & (F.col("mark") == F.col("owner_mark"))
-    # a line's copies inside its owner are as many as that document repeats it
-    times = matched.where(own).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    later = matched.where(~own).dropDuplicates(["doc", "mark", "pos"])
-    repeated = written(times.join(shared.select("h1", "h2", "n"), ["h1", "h2"]), "repeated-lines")
-    rows = salted_join(later, repeated, ["h1", "h2"], "n", total, F.struct("doc", "pos"), "left").fillna(1, ["times"])
-    rows = rows.select("doc", "mark", "owner", "owner_mark", "pos", "first", "times", "long")
-    sorted_rows = rows.repartition("doc", "mark").sortWithinPartitions("doc", "mark", "owner", "owner_mark", "pos")
-    found = sorted_rows.mapInPandas(_align, MARKS)
-    return found.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    me = F.struct("doc", "mark")
+    rows = docs.select(_order(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = written(rows.mapInArrow(_with_lists, "doc long, mark long, h array<long>, c1 long, c2 long"), "line-lists")
+    same = rows.groupBy("c1", "c2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = written(salted_join(rows, written(same, "equal-lists"), ["c1", "c2"], "n", rows.count(), me, "left").drop("c1", "c2"), "lists")
+    copies = rows.where(me != F.col("first")).select("doc", "mark", F.expr("filter(transform(h, (x, i) -> if(x = 0, -1, i)), i -> i >= 0)").alias("at")).dropDuplicates(["doc", "mark"])
+    firsts = rows.where("first is null").unionByName(rows.where(me == F.col("first")).dropDuplicates(["doc", "mark"])).select("doc", "mark", "h")
+    lists = written(firsts, "first-lists")
+
+    keys = written(lists.mapInArrow(_with_keys, "key long, doc long, mark long, rare boolean"), "line-keys")
+    held = keys.groupBy("key").agg(F.min(me).alias("o"), F.min(F.when(F.col("rare"), me)).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = written(held.withColumn("m", F.col("n")), "held-keys")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    shared = written(salted_join(keys, held, ["key"], "n", total, me, "inner").drop("o"), "shared-keys")
+    rare = shared.where(F.col("rare") & (F.col("owner") < me))
+    first = written(rare.select(F.col("owner.doc").alias("b"), F.col("owner.mark").alias("b_mark"), "doc", "mark").distinct(), "first-pairs")
+    found = written(_aligned(first, lists), "first-marks")
+
+    left = lists.join(first.select("doc", "mark").distinct(), ["doc", "mark"]).join(found, ["doc", "mark"], "left")
+    left = left.select("doc", "mark", "h", F.coalesce("at", F.array().cast("array<int>")).alias("at")).mapInArrow(_with_kept_keys, "key long, doc long, mark long")
+    left = salted_join(left, held.drop("owner"), ["key"], "n", total, me, "inner").where(F.col("o") < me).select("key", "doc", "mark", "m")
+    left = written(left, "lines-left")
+    ways = left.groupBy("doc", "mark").agg(F.sum("m").alias("by_line")).join(rare.groupBy("doc", "mark").agg(F.sum("m").alias("by_rare")), ["doc", "mark"])
+    ways = written(ways.select("doc", "mark", (F.col("by_line") < F.col("by_rare")).alias("by_line")), "ways")
+    by_line = _holders(left.join(ways.where("by_line"), ["doc", "mark"], "left_semi"), shared)
+    by_rare = _holders(rare.join(ways.where("not by_line"), ["doc", "mark"], "left_semi"), shared.where("rare"))
+    more = written(by_line.unionByName(by_rare).join(first, ["b", "b_mark", "doc", "mark"], "left_anti"), "more-pairs")
+    marks = found.unionByName(_aligned(more, lists)).groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    return marks.unionByName(copies)
 
 
 def _without(text: pd.Series, at: pd.Series) -> pd.DataFrame:
