@@ -5,7 +5,8 @@ at ignored positions were replaced.  The hashes of all masked windows of the ben
 of all documents (a hash join inside the scan of the documents, no shuffle), and each hit is verified: along
 the hit's diagonal, item and document are compared word by word, and the longest stretch of which at least
 0.8 are equal words is an overlap if it has MIN_WORDS words, or the whole item's if that is shorter.
-Items with fewer words than the longest mask are sought whole.
+Items with fewer words are sought by masks of their whole length: the item is cut into two parts more than words may
+be replaced, and each mask leaves out as many parts as that, so one mask leaves out all that hold a replaced word.
 
 The benchmark is cut into blocks of about BLOCK_BYTES, and the documents are scanned against one broadcast
 block after another, so what is broadcast stays bounded however large the benchmark is.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,23 @@ from pyspark.sql import types as T
 from .common import free_name, written
 from .words import hashes, windows
 
-#: Fixed masks: whichever two words of a window of 15 are replaced, at least one of these still hits in it.
-MASKS = ("110010110101", "11011000111", "11100101101", "10101101011")
-SPAN = max(map(len, MASKS))
 MIN_WORDS = 13
+#: Fixed masks: whichever words of a stretch of MIN_WORDS or more are replaced, if 0.8 are equal, at least one of these hits in it.
+#: (From 28 words on, either the first 15 have 0.8 equal words or the rest has; shorter stretches are enumerated in the tests.)
+MASKS = ("11101011", "1100000001111", "1110100011")
 #: Equal words that make up for a replaced one: four mean that 0.8 of a stretch are equal.
 REPLACED_COSTS = 4
 BLOCK_BYTES = 16 << 20
 BITMAP_BITS = 22
 
 
+def item_masks(n: int) -> list[tuple[int, ...]]:
+    """Positions of the masks for an item of n words, fewer than MIN_WORDS: one hits whichever words are replaced, if 0.8 are equal."""
+    k = n // (REPLACED_COSTS + 1)
+    parts = [range(n * i // (k + 2), n * (i + 1) // (k + 2)) for i in range(k + 2)] if k else [range(n)]
+    return [tuple(p for part in kept for p in part) for kept in combinations(parts, len(parts) - k)]
+
+
 class Seeds:
     """The masked windows of a block of items, with a bitmap that turns most windows away at once."""
 
@@ -45,11 +54,11 @@ class Seeds:
         self.ids = [i for i, _ in items]
         self.words = [hashes(t) for _, t in items]
         self.masks = [(tuple(p for p, c in enumerate(m) if c == "1"), None) for m in MASKS]
-        short = sorted({len(w) for w in self.words if 0 < len(w) < SPAN})
-        self.masks += [(tuple(range(n)), n) for n in short]
+        short = sorted({len(w) for w in self.words if 0 < len(w) < MIN_WORDS})
+        self.masks += [(m, n) for n in short for m in item_masks(n)]
         self.tables = []
         for positions, only in self.masks:
-            found = [(windows(w, positions), i) for i, w in enumerate(self.words) if (len(w) == only if only else len(w) >= SPAN)]
+            found = [(windows(w, positions), i) for i, w in enumerate(self.words) if (len(w) == only if only else len(w) >= MIN_WORDS)]
             h = np.concatenate([f for f, _ in found] or [np.zeros(0, dtype=np.uint64)])
             item = np.concatenate([np.full(len(f), i) for f, i in found] or [np.zeros(0, dtype=int)])
             pos = np.concatenate([np.arange(len(f)) for f, _ in found] or [np.zeros(0, dtype=int)])
