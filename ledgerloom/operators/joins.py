@@ -168,25 +168,27 @@ def match_selected_direct(points: DataFrame, keys: list[str], role: str = "role"
     return a.join(points.where(F.col(role) == "baseline").select(*keys, F.col("error").alias("baseline_error")), keys)
 
 
-def fingerprint_pairs(sequences: DataFrame, most: int) -> DataFrame:
+def fingerprint_pairs(sequences: DataFrame, cell: int = 1000) -> DataFrame:
     """Files that share a fingerprint and how their sequences relate.  sequences: file, pos, fingerprint.
 
-    Files with a fingerprint that at most `most` files have are all paired with each other; with a commoner one each is
-    paired with the first file that has it, so pairs grow with the files and no group falls apart.
+    All files of a fingerprint are paired.  Those of a common one are dealt into blocks of about `cell` files, and each pair
+    of blocks is a join key of its own.  Where two sequences part is sought once for each pair of different sequences.
     """
     distinct = sequences.select("file", "fingerprint").distinct()
-    shared = distinct.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("first")).where("files > 1")
-    d = distinct.join(shared, "fingerprint")
-    few = d.where(F.col("files") <= most)
-    found = few.select("fingerprint", F.col("file").alias("a")).join(few.select("fingerprint", F.col("file").alias("b")), "fingerprint").where("a < b")
-    found = found.unionByName(d.where((F.col("files") > most) & (F.col("file") != F.col("first"))).select("fingerprint", F.col("first").alias("a"), F.col("file").alias("b")))
-    pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    size = sequences.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    j = pairs.join(size.select(F.col("file").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
-    sa = pairs.select("a", "b").join(sequences.select(F.col("file").alias("a"), "pos", F.col("fingerprint").alias("fa")), "a")
-    both = sa.join(sequences.select(F.col("file").alias("b"), "pos", F.col("fingerprint").alias("fb")), ["b", "pos"])
-    first = both.where("fa <> fb").groupBy("a", "b").agg(F.min("pos").alias("diff"))
-    j = j.join(first, ["a", "b"], "left")
+    shared = distinct.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    parts = F.ceil(F.col("files") / cell).cast("int")
+    d = distinct.join(shared, "fingerprint").select("fingerprint", "file", F.pmod(F.xxhash64("file"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    left = d.select("fingerprint", F.col("file").alias("a"), F.col("own").alias("i"), F.col("other").alias("j"))
+    right = d.select("fingerprint", F.col("file").alias("b"), F.col("other").alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["fingerprint", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    whole = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "fingerprint")))), 256)
+    size = sequences.groupBy("file").agg(F.count(F.lit(1)).alias("n"), whole.alias("whole"))
+    size = size.join(size.groupBy("whole").agg(F.min("file").alias("like")), "whole").drop("whole")
+    j = pairs.join(size.select(F.col("file").alias("a"), F.col("n").alias("na"), F.col("like").alias("la")), "a").join(size.select(F.col("file").alias("b"), F.col("n").alias("nb"), F.col("like").alias("lb")), "b")
+    sa = j.where("la <> lb").select("la", "lb").distinct().join(sequences.select(F.col("file").alias("la"), "pos", F.col("fingerprint").alias("fa")), "la")
+    both = sa.join(sequences.select(F.col("file").alias("lb"), "pos", F.col("fingerprint").alias("fb")), ["lb", "pos"])
+    first = both.where("fa <> fb").groupBy("la", "lb").agg(F.min("pos").alias("diff"))
+    j = j.join(first, ["la", "lb"], "left")
     prefix = F.coalesce("diff", F.least("na", "nb"))
     relation = F.when((prefix == F.col("na")) & (prefix == F.col("nb")), "Equal").when(prefix == F.least("na", "nb"), "Prefix").when(prefix > 0, "Divergent").otherwise("Overlap")
     return j.select("a", "b", "shared", prefix.alias("shared_prefix"), relation.alias("relation"))

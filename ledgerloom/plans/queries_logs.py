@@ -172,7 +172,7 @@ SEQ = ", s AS (SELECT doc_id AS f, unnest(range(len(string_split(text, chr(10)))
 def j19_fingerprint_pairs(spark, sf):
     d = D.read(spark, sf, "documents")
     s = d.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("fingerprint", F.md5("line")).select("file", F.col("pos").cast("long").alias("pos"), "fingerprint")
-    return J.fingerprint_pairs(s, 50)
+    return J.fingerprint_pairs(s)
 
 
 def drained(spark, stream, tag: str, schema) -> object:
