@@ -597,7 +597,7 @@ ISSUED = f", pts AS (SELECT account, us AS o, us + {2 * HOUR} AS t, 100 - used -
 
 @query(with_sql("ev quota", ISSUED + f" SELECT account, o AS origin_us, CASE WHEN t > {DAY0 + 700 * HOUR} THEN 'Pending' WHEN t > r THEN 'BeyondReset' WHEN fu IS NULL THEN 'NoTimelyReading' WHEN u IS NULL OR u > 100 THEN 'InvalidReading' WHEN fr <> r THEN 'ResetChanged' ELSE 'Matched' END AS state FROM s"))
 def m39_score_issued(spark, sf):
-    p = D.quota_snapshots(spark, sf).where("k % 10 = 0 and used is not null").select("account", F.col("us").alias("origin_us"), (F.col("us") + 2 * HOUR).alias("target_us"), (99.0 - F.col("used")).alias("predicted"), "resets_us")
+    p = D.quota_snapshots(spark, sf).where("used is not null").select("account", F.col("us").alias("origin_us"), (F.col("us") + 2 * HOUR).alias("target_us"), (99.0 - F.col("used")).alias("predicted"), "resets_us")
     return M.score_issued(p, D.quota_snapshots(spark, sf), KEYS, DAY0 + 700 * HOUR, 30 * MINUTE).select("account", "origin_us", "state")
 
 
