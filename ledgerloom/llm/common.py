@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where all run in one process may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -36,7 +44,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once all that was derived from them is itself written."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -53,17 +72,18 @@ def doc_key(doc_id: str, text: str) -> Column:
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], count: str, total: int, spread: Column, how: str = "left") -> DataFrame:
-    """Join rows with one row per key (small, materialised; `count` = rows of that key among `total`).
+    """Join rows with the few rows of a key (small, materialised; `count` = rows of that key among `total`).
 
-    A hot key's rows are dealt over several tasks by `spread` and its one row is repeated for each of them.
+    A hot key's rows are dealt over several tasks by `spread` and its rows in `small` are repeated for each of them.
     The hot list is broadcast; by its definition it has at most HOT_SHARE keys.
     """
     least = max(1, total // HOT_SHARE)
+    salt, many = free_name(rows, "_salt"), free_name(rows, "_parts")
     parts = F.ceil(F.col(count) / F.lit(least)).cast("int")
-    hot = small.where(F.col(count) > least).select(*keys, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    spread_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, parts).otherwise(F.lit(1)) - 1)))
-    return salted.join(spread_small.drop(count), [*keys, "_salt"], how).drop("_salt")
+    hot = small.where(F.col(count) > least).select(*keys, parts.alias(many)).distinct()
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(many, F.lit(1))).cast("int")).drop(many)
+    spread_small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(count) > least, parts).otherwise(F.lit(1)) - 1)))
+    return salted.join(spread_small.drop(count), [*keys, salt], how).drop(salt)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -104,8 +124,72 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what Python makes of them stays small."""
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the needed ones under names that clash with nothing, and the columns that undo it."""
+    names = {c: c if c in needed else free_name(docs, f"_passed{i}") for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def others(docs: DataFrame, *results: str) -> list[str]:
+    """docs' columns but those that have a result's name: an operator's result replaces them."""
+    taken = {r.lower() for r in results}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+#: What Python makes of texts at a time: at most about so many bytes of text, or one text.
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, by rows and by the bytes of the text column, so that what Python makes of them stays small."""
     for batch in batches:
-        for a in range(0, max(batch.num_rows, 1), rows):
-            yield batch.slice(a, rows)
+        ends = np.zeros(batch.num_rows, dtype=np.int64)
+        if text is not None and batch.num_rows:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            room = (ends[a - 1] if a else 0) + SLICE_BYTES
+            b = min(a + rows, batch.num_rows) if text is None else min(a + rows, max(a + 1, int(np.searchsorted(ends, room, "right"))))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+#: A hash has two bits in a bitmap of 2 ** BITMAP_BITS.
+BITMAP_BITS = 25
+
+
+def bitmap_of(rows: DataFrame, hash_col: str) -> np.ndarray:
+    """A set of hashes that may hold others too.  Spark combines the bits into at most 2 ** (BITMAP_BITS - 6) numbers,
+    which the driver puts together, so the size is the same however many rows there are."""
+    h = F.col(hash_col)
+    bits = F.explode(F.array(F.shiftrightunsigned(h, 64 - BITMAP_BITS), h.bitwiseAND((1 << BITMAP_BITS) - 1))).alias("bit")
+    parts = rows.select(bits).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out[parts["at"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def among(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash (unsigned) may be in the bitmap's set."""
+    has = lambda bit: (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+    out = has(h >> np.uint64(64 - BITMAP_BITS))
+    out[out] = has(h[out] & np.uint64((1 << BITMAP_BITS) - 1))
+    return out
+
+
+def may_hold(rows: DataFrame, hash_col: str):
+    """A function of a hash column: whether rows may hold it.  Texts of which nothing is to be joined stay where they are."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(rows, hash_col))
+
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(among(shared.value, h.to_numpy().view(np.uint64)))
+
+    return F.pandas_udf(test, "boolean")
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives the memory of a finished task back, as workers outlive their tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()

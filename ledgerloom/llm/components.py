@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import removed, salted_join, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    out = written(out.where(F.col("u") != F.col("v")).distinct(), "cc-edges")
+    removed(edges, least)
+    return out
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -35,5 +37,5 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if state == before:
             break
         before = state
-        pairs = written(_star(written(_star(pairs, True), "cc-large"), False), "cc-edges")
+        pairs = _star(_star(pairs, True), False)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
