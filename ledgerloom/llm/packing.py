@@ -11,36 +11,36 @@ and there are at most CAPACITY patterns.
 Pieces of equal length are interchangeable: each piece gets its rank among them (numbered in buckets of at
 most 1/RANK_SHARE of all rows, with a bounded table of offsets), and the plan maps (length, rank) to a place.
 
-Token ids: byte-level BPE by a public vocabulary, and the end id after each document.  Strings of special
-tokens in a text are ordinary text.  Words repeat, so a worker remembers the ids of recent words; a text is
-cut at spaces that a non-space follows, where the vocabulary's own word pattern cuts as well.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed like any others; an
-empty table gives no pieces.
+Token ids: byte-level BPE by a public vocabulary, and the end id after each document, computed by `tiktoken` from
+the vocabulary's rank file; they equal those of `tokenizers` with the vocabulary's JSON file where that takes
+the strings of special tokens in a text as ordinary text, as this operator does.
+
+Defined results: a null or empty text is the end id alone; a very long text is encoded as a whole and cut into
+pieces; pieces of equal length are ranked by id, piece, place and checksum, and rows that are equal in all of
+these are placed in any order; repeated rows are packed like any others; other columns of docs, whatever
+their names, are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, tidy, written
 
 CAPACITY = 2048
 END_ID = 0
 RANK_SHARE = 4096
-REMEMBERED = 300_000
-CUT = re.compile(r" (?=\S)")
-AWKWARD = re.compile(r"\s\s")
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False)])
 
 
@@ -51,45 +51,29 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class WordIds(dict):
-    """Ids (as little-endian 32-bit bytes) of the stretches between cuts."""
-
-    def __init__(self, path: str | None):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path or vocabulary_path(), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.encode(stretch), dtype="<u4").tobytes()
-        if len(stretch) <= 64:
-            self[stretch] = ids
-        return ids
+@cache
+def _encoder(path: str) -> tiktoken.Encoding:
+    """One for each worker process, however many tasks it runs."""
+    import public_tokenizers
 
-    def ids(self, text: str) -> np.ndarray:
-        first, *rest = CUT.split(text) if AWKWARD.search(text) else text.split(" ")
-        joined = b"".join(map(self.__getitem__, [first, *map(" ".__add__, rest)]))
-        return np.frombuffer(joined, dtype="<u4")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
-        end = np.array([END_ID], dtype="<u4")
-        for b in batches:
+        encode = _encoder(vocabulary or vocabulary_path()).encode_ordinary
+        for b in tidy(slices(batches, "text")):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.concatenate([words.ids(text.as_py() or ""), end])
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                 short = len(ids) % capacity or capacity
                 for n, start in enumerate([0, *range(short, len(ids), capacity)]):
                     part = ids[start : start + (capacity if start else short)]
-                    rows.append((doc, n, start, len(part), zlib.crc32(part.tobytes())))
+                    rows.append((doc, n, start, len(part), zlib.crc32(part)))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], PIECES.names)
 
@@ -176,9 +160,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = _places(plan(counts, capacity))
     bucket = max(500, sum(counts.values()) // RANK_SHARE)
-    parts = F.lit(1)
-    if hot := {x: -(-n // bucket) for x, n in counts.items() if n > bucket}:  # at most RANK_SHARE lengths, and no more than capacity
-        parts = F.coalesce(F.create_map(*(F.lit(v) for x in sorted(hot.items()) for v in x))[F.col("length").cast("int")], F.lit(1))
+    parts = F.lit([max(1, -(-counts.get(x, 0) // bucket)) for x in range(capacity + 1)])[F.col("length").cast("int")]
     rows = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
     sizes = sorted((r["length"], r["_b"], r["count"]) for r in rows.groupBy("length", "_b").count().collect())
     before, sums = [], Counter()
