@@ -3,16 +3,19 @@
 For each language a variable-order byte context tree (order up to 3) holds how often each byte followed
 each context.  A byte's probability is its share in the longest known context; an unseen byte costs that
 context's escape probability (method C: kinds of bytes seen / (visits + kinds)) and is looked up one order
-lower, down to a uniform share.  Statistics are frozen after fitting, so a byte's exact code length depends
-on its context alone: the tree becomes a table (context, byte) -> bits for each language, and a text's code
-length is a sum over its bytes.  Texts are compared in lower case as UTF-8.  Prediction: the shortest code.
-
-Fitting uses a bounded sample of labelled rows: about ROWS_PER_LANG rows of each language, chosen by the
-hash of their id; the tree keeps the MOST_CONTEXTS
-commonest contexts of order 3.  Scoring covers every whole text.
-
-Defined results: null text, or a text without any letter: `und`, score 0.  No labelled row at all: every
-row is `und`.  Ties go to the language that sorts first.  Repeated rows get equal predictions.
+lower, without the bytes that the longer context has, down to a uniform share.  Statistics are frozen after
+fitting, so a byte's exact code length depends on the three bytes before it alone, and a text's code length is a sum
+over its four-byte grams: the tree keeps, for each order, the grams that were seen and the cost of leaving a
+seen context.  Texts are compared in lower case as UTF-8.  Prediction: the shortest code.
+
+Fitting uses a bounded sample of labelled rows: about ROWS_PER_LANG rows of each language, chosen by a
+hash of their id and length.  The model, which is broadcast, holds the grams of that sample and nothing else.
+Scoring covers every whole text.
+
+Defined results: null text, or a text without any letter (so an empty one too): `und`, score 0.  No labelled
+row at all: every row is `und`.  Ties go to the language that sorts first.  Repeated rows get equal
+predictions.  A very long text is scored as a whole, in the memory of its bytes.  A column of docs that is
+named like a result is replaced by it; other names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,143 +28,134 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, others, slices, tidy
 
 ROWS_PER_LANG = 600
-MOST_CONTEXTS = 20_000
+ORDER = 3
 UNKNOWN = "und"
-CHUNK_BYTES = 1 << 19
+#: A draw is one of so many numbers.
+DRAWS = 1_000_000
 
 
-def _codes(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in lower case as one array of alphabet indexes; each starts with three line breaks as context."""
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The four-byte grams of texts in lower case, each of which starts with three line breaks as context, and their text's number."""
     parts = [b"\n\n\n" + t.lower().encode("utf-8", "replace") for t in texts]
-    flat = alphabet[np.frombuffer(b"".join(parts), dtype=np.uint8)].astype(np.int64)
-    return flat, np.cumsum([0, *map(len, parts)])
+    flat = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
+    if len(flat) < 4:
+        return flat[:0], np.zeros(0, dtype=np.int64)
+    gram = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    inside = owner[:-3] == owner[3:]
+    return gram[inside], owner[:-3][inside]
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of four-byte grams for each language, of whole texts."""
-    same = np.arange(256)
-    for b in slices(batches):
-        texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), dtype=object)
+    for b in tidy(slices(batches, "text")):
+        texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
         for lang in sorted(set(langs)):
-            own = [t for t, x in zip(texts, langs) if x == lang]
-            flat, ends = _codes(own, same)
-            key = ((flat[:-3] << 24) | (flat[1:-2] << 16) | (flat[2:-1] << 8) | flat[3:]) if len(flat) > 3 else flat[:0]
-            inside = np.ones(len(key), dtype=bool)
-            for e in ends[1:-1]:
-                inside[max(0, e - 3) : e] = False
-            keys, n = np.unique(key[inside], return_counts=True)
+            keys, n = np.unique(_grams([t for t, x in zip(texts, langs) if x == lang])[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
-class ContextTrees:
-    """Frozen code lengths: `bits[context * width + byte]` has a column for each language."""
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted number its place in the sorted keys (at least one), and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class ContextTree:
+    """One language's frozen code lengths: for each order the grams that were seen, and what leaving a seen context costs."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.grams, self.bits, self.contexts, self.escapes = [], [], [], []
+        lower = np.zeros(0)
+        for order in range(ORDER + 1):
+            g, at = np.unique(gram.astype(np.uint32) & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, n)
+            context, own = np.unique(g >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(own, count), np.bincount(own)
+            below = np.full(len(g), 1 / 256) if not order else lower[_find(self.grams[-1], g & np.uint32((1 << 8 * order) - 1))[0]]
+            rest = 1 - np.bincount(own, below)  # what the bytes that this context never had hold one order lower
+            some = rest > 1e-9
+            p = count / np.where(some, total + kinds, total)[own]
+            self.grams.append(g)
+            self.bits.append(-np.log2(p).astype(np.float32))
+            self.contexts.append(context)
+            self.escapes.append(-np.log2(np.where(some, kinds / (total + kinds), 1) / np.where(some, rest, 1)).astype(np.float32))
+            lower = p
+
+    def lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each four-byte gram."""
+        out, todo = np.zeros(len(gram)), np.arange(len(gram))
+        for order in range(ORDER, -1, -1):
+            g = gram[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, seen = _find(self.grams[order], g)
+            out[todo[seen]] += self.bits[order][at[seen]]
+            todo, g = todo[~seen], g[~seen]
+            at, known = _find(self.contexts[order], g >> np.uint32(8))
+            out[todo[known]] += self.escapes[order][at[known]]
+        out[todo] += 8
+        return out
+
 
+class ContextTrees:
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        seen = np.unique(np.concatenate([np.concatenate([(g >> s) & 255 for s in (24, 16, 8, 0)]) for g, _ in grams.values()]))
-        self.width = width = len(seen) + 1  # the last index stands for all bytes that no language has
-        self.alphabet = np.full(256, width - 1, dtype=np.int64)
-        self.alphabet[seen] = np.arange(len(seen))
-        coded = {}
-        for lang, (g, n) in grams.items():
-            a, b, c, d = (self.alphabet[(g >> s) & 255] for s in (24, 16, 8, 0))
-            coded[lang] = (((a * width + b) * width + c) * width + d, n)
-        visits = np.zeros(width**3, dtype=np.int64)
-        for key, n in coded.values():
-            np.add.at(visits, key // width, n)
-        keep = np.flatnonzero(visits)
-        keep = np.sort(keep[np.argsort(-visits[keep], kind="stable")[:MOST_CONTEXTS]])
-        low = width * width  # contexts 0.. are those of order 2, then come the kept ones of order 3
-        self.context = (np.arange(width**3) % low).astype(np.int32)
-        self.context[keep] = low + np.arange(len(keep), dtype=np.int32)
-        self.bits = np.empty(((low + len(keep)) * width, len(langs)), dtype=np.float32)
-        for i, lang in enumerate(langs):
-            key, n = coded[lang]
-            p0 = self._order(np.zeros(1, dtype=np.int64), key % width, n, np.full((1, width), 1.0 / max(256, width)))
-            p1 = self._order(np.arange(width), key % width**2, n, np.repeat(p0, width, axis=0))
-            p2 = self._order(np.arange(low), key % width**3, n, np.tile(p1, (width, 1)))
-            p3 = self._order(keep, key, n, p2[keep % low])
-            self.bits[:, i] = -np.log2(np.concatenate([p2, p3]).ravel())
-
-    def _order(self, contexts: np.ndarray, key: np.ndarray, n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities of all bytes in the given contexts; lower: those one order below."""
-        w = self.width
-        at = np.searchsorted(contexts, key // w)
-        ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == key // w)
-        counts = np.zeros((len(contexts), w))
-        np.add.at(counts, (at[ok], key[ok] % w), n[ok])
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        unseen = np.where(counts > 0, 0.0, lower)  # bytes that this context has are excluded below it
-        rest = unseen.sum(1, keepdims=True)
-        p = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * unseen / np.maximum(rest, 1e-300))
-        return np.where((rest > 0) | (total == 0), np.maximum(p, 1e-12), np.maximum(counts / np.maximum(total, 1), 1e-12))
+        self.langs, self.trees = langs, [ContextTree(*grams[x]) for x in langs]
 
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code length in bits of each text for each language, and its bytes."""
-        w, out, size = self.width, np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
-        i = 0
-        while i < len(texts):
-            j, room = i, CHUNK_BYTES
-            while j < len(texts) and (j == i or room >= len(texts[j])):
-                room -= len(texts[j])
-                j += 1
-            flat, ends = _codes(texts[i:j], self.alphabet)
-            for a in range(0, max(len(flat) - 3, 0), CHUNK_BYTES):  # a very long text is summed in parts
-                f = flat[a : a + CHUNK_BYTES + 3]
-                rows = self.context[(f[:-3] * w + f[1:-2]) * w + f[2:-1]] * np.int64(w) + f[3:]
-                own = np.clip(ends - a, 0, len(rows))
-                sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits[rows], axis=0, dtype=np.float64)])
-                out[i:j] += sums[np.maximum(np.minimum(ends[1:] - 3 - a, len(rows)), own[:-1])] - sums[own[:-1]]
-            size[i:j] = np.diff(ends) - 3
-            i = j
-        return out, size
+        gram, owner = _grams(texts)
+        each, at = np.unique(gram, return_inverse=True)
+        out = np.zeros((len(texts), len(self.langs)))
+        for i, tree in enumerate(self.trees):
+            out[:, i] = np.bincount(owner, tree.lengths(each)[at], minlength=len(texts))
+        return out, np.bincount(owner, minlength=len(texts))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> ContextTrees | None:
     """Learn from the rows of docs that have a text and a language."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.length("text")), F.lit(DRAWS))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.length("text")), F.lit(1_000_000))
-    sample = rows.where(draw < share * 1_000_000).select("text", "lang")
-    if not sample.take(1):
-        sample = rows.select("text", "lang").limit(rows_per_lang)
+    share = F.lit(0)  # at least the smallest draw of each language is taken
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, int(max(r.least + 1, DRAWS * min(1.0, rows_per_lang / r.n)))).otherwise(share)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-    grams = sample.mapInArrow(_gram_counts, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = rows.where(draw < share).select("text", "lang").mapInArrow(_gram_counts, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(grams["lang"].unique())
+    if not langs:  # only empty texts
+        return None
     return ContextTrees(langs, {x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in grams.groupby("lang")})
 
 
+RESULTS = ("lang_pred", "score", "bits_per_byte")
+
+
 def predict(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
-    """docs' columns `passed` (all by default) with lang_pred, score and bits_per_byte."""
-    passed = docs.columns if passed is None else passed
+    """docs' columns `passed` (by default all but those named like results) with lang_pred, score and bits_per_byte."""
+    passed = others(docs, *RESULTS) if passed is None else passed
     own = free_name(docs, "_text")
     base = docs.select(*passed, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias(own))
     if trees is None:
         return base.select(*passed, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by MOST_CONTEXTS and the alphabet
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # holds the grams of the bounded sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches):
+        for b in tidy(slices(batches, own)):
             texts = b.column(b.num_columns - 1).to_pylist()
             has = np.array([t is not None for t in texts], dtype=bool)
-            bits, size = m.lengths([t for t in texts if t is not None])
-            best = bits.argmin(1) if len(bits) else np.zeros(0, dtype=int)
-            shortest = bits.min(1) if len(bits) else np.zeros(0)
-            certain = 1 / np.exp2(np.maximum(shortest[:, None] - bits, -1000)).sum(1) if len(bits) else shortest
             lang, sure, per = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            lang[has], sure[has], per[has] = np.array(m.langs, dtype=object)[best], certain, shortest / np.maximum(size, 1)
+            if has.any():
+                bits, size = m.lengths([t for t in texts if t is not None])
+                shortest = bits.min(1)
+                lang[has], per[has] = np.array(m.langs, dtype=object)[bits.argmin(1)], shortest / size
+                sure[has] = 1 / np.exp2(np.maximum(shortest[:, None] - bits, -1000)).sum(1)
             cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(sure), pa.array(per, from_pandas=True)], [*b.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(sure), pa.array(per, from_pandas=True)], [*b.schema.names[:-1], *RESULTS])
 
     schema = T.StructType([*(docs.schema[c] for c in passed), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return base.mapInArrow(score, schema)
