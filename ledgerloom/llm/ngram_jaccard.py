@@ -2,21 +2,28 @@
 
 A document is its set of five-word shingles.  Texts with equal sets form a class and are looked at once.
 Each class gets a MinHash signature; bands and rows are chosen so that a pair at the threshold shares a band
-with the target recall.  Classes are shuffled on their band hashes, and each bucket links its members to its
-smallest one, so a bucket of n gives n rows, never all pairs.  The connected blobs of these candidate links
-hold every candidate pair; each blob's sets are brought together once and all pairs in it are verified on
-the full sets.  Blobs larger than CHUNK are dealt over tasks by pairs of chunks, so no task holds more than
-two chunks, and links are counted and spanned inside the task instead of being listed: with the classes'
-sizes every link is counted, between copies too, though pairs are never written out.
+with the target recall.  Classes are shuffled on their band hashes; buckets with the same members are kept once.
+Inside a bucket two members are candidates if their signatures (one byte of each minimum) agree as often as a
+pair at the threshold does at least, within SIGMAS standard deviations; the bucket's candidates become the edges
+of a spanning forest, never a list of pairs.  The connected groups of candidates are therefore near-copies and
+not chains of chance collisions, however large the corpus is.  Each group's sets are brought together once
+and all pairs in it are verified on the full sets.  Buckets and groups that are large (by members or by
+shingles) are dealt over tasks by pairs of chunks, so no task holds more than two chunks, and links are counted
+and spanned inside the task: with the classes' sizes every link is counted, between copies too, though
+pairs are never written out.
 
 Defined results: texts of one to four words have one shingle, all of their words; texts without words (null,
-empty) link with nothing.  A null doc_id is replaced by a hash of its text as key (the output keeps null).
-Repeated rows count as copies of each other.  Sets are compared by 64-bit hashes of shingles.
+empty) link with nothing; a pair of exactly the threshold is linked.  A null doc_id is replaced by a hash of its
+text as key (the output keeps null).  Repeated rows count as copies of each other.  A very long text is one set;
+its words are hashed in pieces.  Sets are compared by 64-bit hashes of shingles.  Columns of docs besides id and text
+are not read, so their names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_key, local_roots, salted_join, slices, sorted_groups, written
+from .common import among, bitmap_of, doc_key, local_roots, removed, salted_join, slices, sorted_groups, tidy, written
 from .components import connected_components
-from .words import hashes, mixed, windows
+from .words import MIX, hashes_of, mixed, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
-CHUNK = 512
+#: Members of a chunk of a group, and shingles that a chunk has on average at most (one text may have more).
+CHUNK, CHUNK_SHINGLES = 128, 1 << 19
+#: Members of a chunk of a bucket, of which only signatures are held.
+BUCKET = 512
+SIGMAS = 5.0
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -45,9 +56,9 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     return most, 1
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    words = hashes(text)
-    return np.unique(windows(words, tuple(range(min(n, len(words)))))) if len(words) else words
+def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
+    words, ends = hashes_of(texts)
+    return [np.unique(windows(w, tuple(range(min(n, len(w)))))) if len(w) else w for w in (words[a:b] for a, b in zip(ends, ends[1:]))]
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -55,38 +66,53 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return (h & (2**64 - 1)) - 2**63, (h >> 64) - 2**63
 
 
+@cache
 def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
-    a = mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return a | np.uint64(1), mixed(a)
+    a = mixed(np.arange(1, k + 1, dtype=np.uint64) * MIX)
+    return (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (mixed(a) >> np.uint64(32)).astype(np.uint32)
 
 
-def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def minima(s: np.ndarray, k: int) -> np.ndarray:
+    """The signature: for each of k hash functions its smallest value in the set."""
+    a, b = _multipliers(k)
+    low, short = np.full(k, np.iinfo(np.uint32).max, dtype=np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(s), 512):
+        np.minimum(low, (short[i : i + 512, None] * a + b).min(axis=0), out=low)
+    return low
+
+
+def band_hashes(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit hash for each band, of the band's number and its minima."""
-    a, b = _multipliers(bands * rows)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(s), 1024):
-        np.minimum(low, (s[i : i + 1024, None] * a + b).min(axis=0), out=low)
     out = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + low[r::rows])
+        out = mixed(out * MIX + low[r::rows].astype(np.uint64))
     return out.view(np.int64)
 
 
+def signature_bytes(low: np.ndarray) -> bytes:
+    return (mixed(low.astype(np.uint64) * MIX) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def least_agreement(k: int, threshold: float) -> float:
+    """How many of k signature bytes a pair at the threshold has in common, SIGMAS standard deviations below the mean."""
+    p = threshold + (1 - threshold) / 256
+    return k * p - SIGMAS * math.sqrt(k * p * (1 - p))
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("dk", T.LongType()), T.StructField("node", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = "id long, dk long, node long, mark long, th long, k long, bands array<long>, code binary"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            nodes, marks, sigs = [], [], []
-            for t in b.column("text"):
-                s = shingles(t.as_py(), n)
-                x, y = set_digest(s) if len(s) else (None, None)
-                nodes.append(x)
-                marks.append(y)
-                sigs.append(band_hashes(s, bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dk"), pa.array(nodes, pa.int64()), pa.array(marks, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema.names)
+        for b in tidy(slices(batches, "text")):
+            out = []
+            for s in shingle_sets(b.column("text").to_pylist(), n):
+                low = minima(s, bands * rows) if len(s) else None
+                out.append((*set_digest(s), len(s), band_hashes(low, bands, rows), signature_bytes(low)) if len(s) else (None, None, 0, None, None))
+            x, y, k, h, c = map(list, zip(*out))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dk"), pa.array(x, pa.int64()), pa.array(y, pa.int64()), b.column("th"), pa.array(k, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(c, pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), doc_key(id_col, text_col).alias("dk"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), doc_key(id_col, text_col).alias("dk"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -149,13 +175,44 @@ def _verify(threshold: float):
     return run
 
 
-def _blobs(classes: DataFrame) -> DataFrame:
-    """(node, blob) for every class that shares a band hash with another."""
-    rows = classes.select("node", F.explode("bands").alias("hash"))
-    buckets = written(rows.groupBy("hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "band-buckets")
+def _dealt(rows: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """Each row in all pairs (a, b) of chunks that its own chunk `part` is in."""
+    part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    out = rows.withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    out = out.withColumn("a", F.least("part", "_other")).withColumn("b", F.greatest("part", "_other")).drop("_other", parts)
+    return out.repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
+
+
+def _agreeing(least: float):
+    """Edges (node, root) that span the members of a bucket whose signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in tidy(sorted_groups(batches, ["hash", "a", "b"])):
+            node, at = np.unique(group["node"].to_numpy(), return_index=True)
+            column = group["code"].combine_chunks()
+            codes = np.frombuffer(b"".join(column[int(k)].as_py() for k in at), dtype=np.uint8).reshape(len(at), -1)
+            root = np.arange(len(node))
+            for x in range(0, len(node), 16):
+                i, j = np.nonzero((codes[x : x + 16, None] == codes[None, x:]).sum(axis=2) >= least)
+                root = local_roots(len(node), np.concatenate([np.arange(len(node)), x + i]), np.concatenate([root, x + j]))
+            some = root != np.arange(len(node))
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["node", "root"])
+
+    return run
+
+
+def _blobs(classes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node, component) for every class that is a candidate of another: they share a bucket, and their signatures agree."""
+    rows = classes.select("node", "code", F.explode("bands").alias("hash"))
+    buckets = rows.groupBy("hash").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = written(buckets.groupBy("least", "most", "all", "size").agg(F.min("hash").alias("hash")).select("hash", "size", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts")), "band-buckets")
     total = buckets.agg(F.sum("size")).first()[0] or 0
-    edges = salted_join(rows, buckets, ["hash"], "size", total, F.col("node"), "inner").where("node != least")
-    return connected_components(edges.select(F.col("node").alias("u"), F.col("least").alias("v")))
+    members = salted_join(rows, buckets, ["hash"], "size", total, F.col("node"), "inner")
+    edges = written(_dealt(members, ["hash"], "parts").mapInArrow(_agreeing(least_agreement(k, threshold)), "node long, root long"), "band-edges")
+    out = connected_components(edges, "node", "root")
+    removed(buckets, edges)
+    return out
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL) -> DataFrame:
@@ -163,32 +220,36 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links), n_links (other documents with a similarity of the threshold or more)."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(_signatures(docs, id_col, text_col, bands, rows, n), "signatures")
-    classes = signed.where("node is not null").groupBy("node", "mark").agg(F.min("dk").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
-    classes = written(classes, "classes")
-    blobs = written(_blobs(classes), "blobs")
-    sizes = written(blobs.groupBy(F.col("component").alias("blob")).agg(F.count(F.lit(1)).alias("m")), "blob-sizes")
-    members = salted_join(blobs.withColumnRenamed("component", "blob"), sizes.withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int")), ["blob"], "m", blobs.count(), F.col("node"), "inner")
-    members = members.join(classes.select("node", "rep", "n"), "node")
-    texts = docs.select(doc_key(id_col, text_col).alias("rep"), F.col(text_col).alias("text")).join(members, "rep")
+    classes = signed.where("node is not null").groupBy("node", "mark").agg(F.min(F.struct("dk", "th")).alias("r"), F.count(F.lit(1)).alias("n"), F.any_value("k").alias("k"), F.any_value("bands").alias("bands"), F.any_value("code").alias("code"))
+    classes = written(classes.select("node", "mark", F.col("r.dk").alias("rep"), F.col("r.th").alias("th"), "n", "k", "bands", "code"), "classes")
+    blobs = _blobs(classes, bands * rows, threshold).withColumnRenamed("component", "blob")
+    blobs = written(blobs.join(classes.select("node", "rep", "th", "n", "k"), "node"), "blobs")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("k") / CHUNK_SHINGLES)).cast("int")
+    sizes = written(blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("m"), parts.alias("parts")), "blob-sizes")
+    members = written(salted_join(blobs, sizes, ["blob"], "m", blobs.count(), F.col("node"), "inner"), "blob-members")
+    # the texts of members are sought in one more scan: a bitmap turns most others away before anything is shuffled
+    named = F.xxhash64("rep", "th")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(members.select(named.alias("hash")), "hash"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t.as_py(), n) for t in b.column("text")]
-            own = np.array([len(s) > 0 and set_digest(s)[0] == k for s, k in zip(sets, b.column("node").to_pylist())], dtype=bool)
-            keep = pa.array(np.flatnonzero(own))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("blob", "node", "n", "parts")), pa.array([s.tobytes() for s, k in zip(sets, own) if k], pa.binary())], ["blob", "node", "n", "parts", "words"])
-
-    loaded = texts.select("blob", "node", "n", "parts", "text").mapInArrow(load, "blob long, node long, n long, parts int, words binary")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = loaded.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("blob", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "n", "words")
-    found = dealt.repartition("blob", "a", "b").sortWithinPartitions("blob", "a", "b").mapInArrow(_verify(threshold), "node long, links long, root long")
-    found = written(found, "verified-links")
+        seen = set()  # rows with equal id and text are copies: one of a task is enough
+        for b in tidy(slices(batches, "text")):
+            h = b.column("named").to_numpy()
+            at = np.flatnonzero(among(wanted.value, h.view(np.uint64)))
+            new = [i for i, x in zip(at.tolist(), h[at].tolist()) if x not in seen and not seen.add(x)]
+            b = b.take(pa.array(new, pa.int64()))
+            sets = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("th"), pa.array(sets, pa.binary())], ["rep", "th", "words"])
+
+    texts = docs.select(doc_key(id_col, text_col).alias("rep"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    loaded = texts.select("rep", "th", named.alias("named"), "text").mapInArrow(load, "rep long, th long, words binary").join(members, ["rep", "th"]).drop("rep", "th", "k")
+    found = written(_dealt(loaded, ["blob"], "parts").mapInArrow(_verify(threshold), "node long, links long, root long"), "verified-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     nodes = classes.select("node", "mark", "rep", "n").join(links, "node", "left").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = written(nodes, "join-nodes")
     groups = written(nodes.groupBy("component").agg(F.min("rep").alias("group_id"), F.count(F.lit(1)).alias("k")), "join-groups")
-    nodes = written(salted_join(nodes, groups, ["component"], "k", nodes.count(), F.col("node"), "inner"), "join-classes")
-    out = salted_join(signed.select("id", "dk", "node", "mark"), nodes.select("node", "mark", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "group_id"), ["node", "mark"], "n", nodes.agg(F.sum("n")).first()[0] or 0, F.col("dk"), "left")
+    classed = written(salted_join(nodes, groups, ["component"], "k", nodes.count(), F.col("node"), "inner"), "join-classes")
+    removed(classes, blobs, sizes, members, found, nodes, groups)
+    out = salted_join(signed.select("id", "dk", "node", "mark"), classed.select("node", "mark", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "group_id"), ["node", "mark"], "n", classed.agg(F.sum("n")).first()[0] or 0, F.col("dk"), "left")
     return out.select(F.col("id").alias(id_col), F.col("dk").alias("key"), F.coalesce("rep", "dk").alias("class_id"), F.coalesce("group_id", "dk").alias("group_id"), F.coalesce(F.col("links"), F.lit(0)).alias("n_links"))
