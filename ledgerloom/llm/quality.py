@@ -1,22 +1,25 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A logistic classifier on features of the whole text gives a document's own evidence.  Sites are a host and a
+A logistic classifier on features of the whole text gives a document's own evidence: shares of byte classes,
+measures of words and lines, and the shares of hashed words and hashed byte trigrams.  Sites are a host and a
 path below it; their labelled documents are counted by grouped aggregation, and each level's rate is a
 beta-binomial posterior shrunk towards the level above (path towards host, host towards the global rate).
 How strongly is estimated from all sites at once by the method of moments, from sums that Spark aggregates.
+A document whose own label was counted is left out of its path's and host's counts.
 The final log odds add the document's evidence and what its path's posterior says beyond the global rate.
 
-The classifier is fitted on a bounded sample of at most about SAMPLE_ROWS labelled rows; site counts use
+The classifier is fitted on a bounded sample of at most about SAMPLE_ROWS labelled documents; site counts use
 every labelled row that is not held out.
 
-Defined results: a null or empty text has zero features; a null host or path is a site of its own; labels
-that are null or not 0/1 are ignored, repeated labels of a document are averaged; without any usable label
-every score is 0.5.  Repeated rows get equal scores.
+Defined results: a null or empty text has zero features, a very long one is measured whole; a null host or path is a site
+of its own; labels that are null or not 0/1 are ignored, repeated labels of a document are averaged; rows that share an id
+share its label, and one of them enters the sample; without any usable label every score is 0.5.  Repeated rows get equal
+scores.  A quality of exactly 0.5 is kept.  Other columns of the tables, whatever their names, are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import salted_join, written
+from .common import salted_join, slices, tidy, written
+from .words import hashes_of
 
-SAMPLE_ROWS = 20_000
-RIDGE = 1.0
-WORD = re.compile(r"\S+")
+SAMPLE_ROWS = 8_000
+RIDGE = 20.0
 CLASSES = np.full(256, 6)  # of bytes: other symbols
 CLASSES[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = 0
 CLASSES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
@@ -37,15 +40,25 @@ CLASSES[[ord(c) for c in "0123456789"]] = 2
 CLASSES[[9, 10, 13, 32]] = 3
 CLASSES[[ord(c) for c in ".,;:!?'\"-()"]] = 4
 CLASSES[128:] = 5
-FEATURES = 14
+SURFACE, HASHED = 14, 256
+FEATURES = SURFACE + 2 * HASHED
 
 
-def features(text: str | None) -> np.ndarray:
-    """Shares of byte classes, and measures of words, repeats and lines."""
+def features_of(texts: list[str | None]) -> np.ndarray:
+    words, ends = hashes_of(texts)
+    bucket = (words >> np.uint64(56)).astype(np.int64)
+    return np.array([_features(t, bucket[a:b]) for t, a, b in zip(texts, ends, ends[1:])]).reshape(-1, FEATURES)
+
+
+def _features(text: str | None, buckets: np.ndarray) -> np.ndarray:
+    """Shares of byte classes, measures of words, repeats and lines, and roots of the shares of hashed words and byte trigrams."""
     out = np.zeros(FEATURES)
     if not text:
         return out
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    out[SURFACE : SURFACE + HASHED] = np.sqrt(np.bincount(buckets, minlength=HASHED) / max(len(buckets), 1))
+    grams = (raw[:-2].astype(np.uint32) * np.uint32(961) + raw[1:-1].astype(np.uint32) * np.uint32(31) + raw[2:]) * np.uint32(2654435761) >> np.uint32(24)
+    out[SURFACE + HASHED :] = np.sqrt(np.bincount(grams, minlength=HASHED) / max(len(grams), 1))
     counts = np.bincount(CLASSES[raw], minlength=7)
     words, lines = text.split(), text.split("\n")
     n = max(len(words), 1)
@@ -99,24 +112,25 @@ def document_evidence(docs: DataFrame, labels: DataFrame, text_col: str, passed:
     """docs' columns `passed` with p_document; labels: (_id, _y).  The sample is drawn from the labels and is small
     enough by SAMPLE_ROWS to be broadcast, so texts are never shuffled."""
     n = labels.count()
-    kind = T.StructType([T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())])
+    kind = "_id string, f array<float>, y double"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tolist() for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["f", "y"])
+        for b in tidy(slices(batches, "t")):
+            x = features_of(b.column("t").to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(list(x), pa.list_(pa.float32())), b.column("_y")], ["_id", "f", "y"])
 
     draw = F.pmod(F.xxhash64("_id", "_y"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))
-    drawn = docs.join(F.broadcast(labels.where(draw)), "_id")
-    sample = drawn.select(F.col(text_col), F.col("_y").cast("double")).mapInArrow(measure, kind).collect()
-    y = np.array([r.y for r in sample])
+    drawn = docs.join(F.broadcast(labels.where(draw)), "_id").select(F.col("_id").cast("string"), F.col(text_col).alias("t"), F.col("_y").cast("double"))
+    sample = drawn.mapInArrow(measure, kind).groupBy("_id").agg(F.min(F.struct("f", "y")).alias("s")).select("s.f", "s.y").toArrow()
+    y = sample["y"].to_numpy()
     if not len(y):
         return docs.select(*passed, F.lit(0.5).alias("p_document"))
-    mean, scale, w = logistic(np.array([r.f for r in sample]), y)
+    mean, scale, w = logistic(np.concatenate(sample["f"].to_numpy()).reshape(-1, FEATURES).astype(np.float64), y)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidy(slices(batches, "_text")):
             last = b.num_columns - 1
-            x = np.array([features(t.as_py()) for t in b.column(last)]).reshape(-1, FEATURES)
+            x = features_of(b.column(last).to_pylist())
             z = np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(last)), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*b.schema.names[:-1], "p_document"])
 
@@ -125,19 +139,21 @@ def document_evidence(docs: DataFrame, labels: DataFrame, text_col: str, passed:
 
 
 def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
-    """rows (_host, _path, _y or null) -> one row per path (_host, _path, host_posterior, path_posterior, _rows), and the global rate."""
+    """rows (_host, _path, _y or null) -> one row per path (_host, _path, host_posterior, path_posterior, _rows, and what they
+    come from: k of n labels of the path, hk of hn of the host, the priors' weights), and the global rate."""
     counts = rows.groupBy("_host", "_path").agg(F.count("_y").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("k"), F.count(F.lit(1)).alias("_rows"))
     paths = written(counts, "quality-paths")
     whole = paths.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
     rate = (whole.k + 0.5) / (whole.n + 1) if whole.n else 0.5
     hosts = written(paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"), F.count(F.lit(1)).alias("_paths")), "quality-hosts")
     strong = _strength(hosts, F.lit(rate), "hk", "hn")
-    hosts = hosts.select("_host", "_paths", ((F.col("hk") + strong * rate) / (F.col("hn") + strong)).alias("host_posterior"))
+    hosts = hosts.select("_host", "_paths", "hk", "hn", ((F.col("hk") + strong * rate) / (F.col("hn") + strong)).alias("host_posterior"))
     n_paths = hosts.agg(F.sum("_paths")).first()[0] or 0
     joined = salted_join(paths, hosts, ["_host"], "_paths", n_paths, F.col("_path"), "inner")
     joined = written(joined, "quality-sites")
     weak = _strength(joined, F.col("host_posterior"))
-    return joined.select("_host", "_path", "host_posterior", ((F.col("k") + weak * F.col("host_posterior")) / (F.col("n") + weak)).alias("path_posterior"), "_rows"), rate
+    path = (F.col("k") + weak * F.col("host_posterior")) / (F.col("n") + weak)
+    return joined.select("_host", "_path", "host_posterior", path.alias("path_posterior"), "_rows", "k", "n", "hk", "hn", F.lit(strong).alias("strong"), F.lit(weak).alias("weak")), rate
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", learn: Column | None = None) -> DataFrame:
@@ -148,7 +164,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     sites, rate = site_posteriors(base.select("_id", "_host", "_path").join(clean, "_id", "left"))
     sites = written(sites, "quality-posteriors")
     total = sites.agg(F.sum("_rows")).first()[0] or 0
-    joined = salted_join(scored, sites, ["_host", "_path"], "_rows", total, F.col("_id"), "inner")
-    odds = _logit(F.col("p_document")) + _logit(F.col("path_posterior")) - _logit(F.lit(rate))
+    joined = salted_join(scored.join(clean, "_id", "left"), sites.drop("host_posterior", "path_posterior"), ["_host", "_path"], "_rows", total, F.col("_id"), "inner")
+    own, y = F.col("_y").isNotNull().cast("int"), F.coalesce("_y", F.lit(0.0))
+    of_host = (F.col("hk") - y + F.col("strong") * rate) / (F.col("hn") - own + F.col("strong"))
+    of_path = (F.col("k") - y + F.col("weak") * of_host) / (F.col("n") - own + F.col("weak"))
+    odds = _logit(F.col("p_document")) + _logit(of_path) - _logit(F.lit(rate))
     quality = 1 / (1 + F.exp(-odds))
-    return joined.select(F.col("_id").alias(id_col), "p_document", "host_posterior", "path_posterior", quality.alias("quality"), (quality >= 0.5).alias("keep"))
+    return joined.select(F.col("_id").alias(id_col), "p_document", of_host.alias("host_posterior"), of_path.alias("path_posterior"), quality.alias("quality"), (quality >= 0.5).alias("keep"))
