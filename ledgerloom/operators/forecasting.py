@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CATEGORIES, complete_categories, half_width, interval_loss, measurement_envelope, median, rank_quantile, valid_percent
+from ..functions.scalars import CATEGORIES, complete_categories, half_width, measurement_envelope, median, rank_quantile, valid_percent
+from ..sources.shared import kept
 from .filters import latest_per_key
 from .joins import range_join
 from .sequence import HOUR_US, chronological_blocks, independent_rows, spaced_origins
@@ -34,6 +35,9 @@ class Options:
     margin: float = 0.10
     margin_points: float = 0.1
     bands_from: int = 20
+    selection_rows: int = 6
+    scenario_rows: int = 12
+    outcomes: int = 16
 
 
 # --- features
@@ -102,22 +106,72 @@ def error_radius(errors: Column, options: Options = Options()) -> Column:
     return F.when(n >= options.least_groups, F.greatest(F.lit(1.0), F.element_at(F.sort_array(errors), F.greatest(F.lit(1), rank))))
 
 
-def calibration_errors(trials: DataFrame, keys: list[str], options: Options = Options(), most: int = 40) -> DataFrame:
-    """M3: trials with the block maxima of earlier matured errors at a comparable lead, and their radius."""
-    b = chronological_blocks(trials, keys, "origin_us", "outcome_us", "resets_us", options.block_hours)
-    past = b.where("block_id is not null").select(*keys, "block_id", F.col("outcome_us").alias("_o"), F.col("lead_hours").alias("_l"), F.col("error").alias("_e"))
-    j = b.select(*keys, "origin_us", "lead_hours").join(past, keys).where((F.col("_o") < F.col("origin_us")) & F.col("_l").between(F.col("lead_hours") / 2, F.col("lead_hours") * 2))
-    block = j.groupBy(*keys, "origin_us", "block_id").agg(F.max("_e").alias("m"))
-    lists = block.groupBy(*keys, "origin_us").agg(F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("block_id", "m")))), 1, most), lambda x: x["m"]).alias("calibration"))
-    out = trials.join(lists, [*keys, "origin_us"], "left").withColumn("calibration", F.coalesce("calibration", F.array().cast("array<double>")))
+def matured_sums(trials: DataFrame, keys: list[str], sums: dict[str, Column], start: str = "origin_us", end: str = "outcome_us") -> DataFrame:
+    """trials with running sums over the rows of their key that ended by the row's start; one window, no join."""
+    row = F.struct(*(F.col(c) for c in trials.columns))
+    none = F.lit(None).cast(trials.select(row.alias("r")).schema["r"].dataType)
+    ends = trials.select(*keys, F.col(end).alias("_t"), F.lit(0).alias("_q"), none.alias("_row"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, c in sums.items()))
+    starts = trials.select(*keys, F.col(start).alias("_t"), F.lit(1).alias("_q"), row.alias("_row"), *(F.lit(0.0).alias(f"_v_{n}") for n in sums))
+    w = Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ends.unionByName(starts).select("_q", "_row", *(F.sum(f"_v_{n}").over(w).alias(n) for n in sums)).where("_q = 1")
+    return seen.select(*(F.col(f"_row.{c}").alias(c) for c in trials.columns), *sums)
+
+
+def block_maxima_before(trials: DataFrame, keys: list[str], error: str, options: Options = Options(), most: int = 40, start: str = "origin_us", end: str = "outcome_us", strict: bool = True) -> DataFrame:
+    """trials with `calibration`: the greatest errors of the last `most` chronological blocks, of rows that ended before the
+    row's start (strict) or by it.  Blocks are built once; a row takes the list of the last block that had begun by then,
+    in which the unfinished block counts as far as it has come."""
+    b = chronological_blocks(trials, keys, start, end, "resets_us", options.block_hours).where("block_id is not null")
+    within = Window.partitionBy(*keys, "block_id").orderBy(end)
+    rows = b.select(*keys, "block_id", F.col(end).alias("_t"), F.max(error).over(within).alias("_so_far"))
+    blocks = b.groupBy(*keys, "block_id").agg(F.max(error).alias("_m"))
+    blocks = blocks.select(*keys, "block_id", F.collect_list("_m").over(Window.partitionBy(*keys).orderBy("block_id").rowsBetween(1 - most, -1)).alias("_past"))
+    state = rows.join(blocks, [*keys, "block_id"]).select(*keys, "_t", F.lit(1 if strict else 0).alias("_q"), F.concat("_past", F.array("_so_far")).alias("_list"))
+    row = F.struct(*(F.col(c) for c in trials.columns))
+    none = F.lit(None).cast(trials.select(row.alias("r")).schema["r"].dataType)
+    asked = trials.select(*keys, F.col(start).alias("_t"), F.lit(0 if strict else 1).alias("_q"), F.lit(None).cast("array<double>").alias("_list"), row.alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    both = state.withColumn("_row", none).unionByName(asked).select("_row", F.last("_list", True).over(w).alias("_list")).where("_row is not null")
+    return both.select(*(F.col(f"_row.{c}").alias(c) for c in trials.columns), F.coalesce("_list", F.array().cast("array<double>")).alias("calibration"))
+
+
+def with_band(trials: DataFrame, options: Options = Options(), low: float = 0.0, high: float | None = 100.0) -> DataFrame:
     r = error_radius(F.col("calibration"), options)
-    return out.withColumns({"radius": r, "lower": F.greatest(F.lit(0.0), F.col("predicted") - r), "upper": F.least(F.lit(100.0), F.col("predicted") + r)})
+    upper = F.col("predicted") + r
+    return trials.withColumns({"radius": r, "lower": F.greatest(F.lit(low), F.col("predicted") - r), "upper": upper if high is None else F.least(F.lit(high), upper)})
+
+
+def calibration_errors(trials: DataFrame, keys: list[str], options: Options = Options(), most: int = 40) -> DataFrame:
+    """M3: trials of one horizon with the block maxima of earlier matured errors, and their radius.
+
+    The outcomes of one horizon follow it within a fifth of it, so all leads are comparable (between half and twice);
+    `reset_calibration_errors` is for targets whose leads differ.
+    """
+    return with_band(block_maxima_before(trials, keys, "error", options, most), options)
+
+
+def reset_calibration_errors(trials: DataFrame, keys: list[str], options: Options = Options(), most: int = 40, jitter_us: int = 1_000_000) -> DataFrame:
+    """M3 for reset targets: one error for each completed reset, of the trial with the most similar lead (between half and
+    twice; of equally similar ones the last), the last `most` resets.
+
+    Trials are joined by the bucket of their lead, of which a comparable lead can only lie in the same or a neighbouring one.
+    """
+    bucket = F.floor(F.log2(F.greatest("lead_hours", F.lit(1e-6)))).cast("int")
+    generation = F.floor((F.col("resets_us") + 30 * MINUTE_US) / (60 * MINUTE_US))
+    past = trials.select(*keys, bucket.alias("_b"), generation.alias("_g"), F.col("resets_us").alias("_r"), F.col("lead_hours").alias("_l"), F.col("error").alias("_e"), F.col("origin_us").alias("_o"))
+    asked = trials.select(*keys, "origin_us", "lead_hours", generation.alias("_mine"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    j = asked.join(past, [*keys, "_b"]).where((F.col("_r") < F.col("origin_us") - jitter_us) & (F.col("_g") != F.col("_mine")) & F.col("_l").between(F.col("lead_hours") / 2, F.col("lead_hours") * 2))
+    best = j.groupBy(*keys, "origin_us", "lead_hours", "_g").agg(F.max("_r").alias("_r"), F.min_by("_e", F.struct(F.abs(F.col("_l") - F.col("lead_hours")).alias("d"), (-F.col("_o")).alias("o"))).alias("_e"))
+    last = latest_per_key(best, [*keys, "origin_us", "lead_hours"], [F.desc("_r")], most)
+    lists = last.groupBy(*keys, "origin_us", "lead_hours").agg(F.collect_list("_e").alias("calibration"))
+    out = trials.join(lists, [*keys, "origin_us", "lead_hours"], "left").withColumn("calibration", F.coalesce("calibration", F.array().cast("array<double>")))
+    return with_band(out, options)
 
 
 def select_model(trials: DataFrame, keys: list[str], fallback: str = "time_ewma_2h", preference: tuple[str, ...] = PACE_MODELS, options: Options = Options()) -> DataFrame:
     """M5: the model of least mean error, unless the fallback is practically as good; ties by preference."""
     order = F.array_position(F.array(*map(F.lit, preference)), F.col("model"))
-    s = trials.groupBy(*keys, "model").agg(F.avg("error").alias("mae"), F.count(F.lit(1)).alias("trials"))
+    s = trials.groupBy(*keys, "model").agg(F.round(F.avg("error"), 9).alias("mae"), F.count(F.lit(1)).alias("trials"))
     g = s.groupBy(*keys).agg(F.min_by(F.struct("model", "mae"), F.struct("mae", order.alias("o"))).alias("best"), F.max(F.when(F.col("model") == fallback, F.col("mae"))).alias("fallback_mae"), F.max("trials").alias("trials"))
     keep = (F.col("fallback_mae") <= F.col("best.mae") * (1 + options.margin) + options.margin_points) | (F.col("trials") < options.least_groups)
     return g.select(*keys, F.when(keep, fallback).otherwise(F.col("best.model")).alias("selected"), F.col("best.model").alias("best"), F.col("best.mae").alias("best_mae"), "fallback_mae", "trials")
@@ -132,22 +186,46 @@ def reset_outlook(epochs: DataFrame, keys: list[str]) -> DataFrame:
     margin = left - rate * hours
     state = F.when((F.col("_n") < 3) | (F.col("us") - F.col("_first") < 15 * MINUTE_US), "Learning").when(F.col("used") >= 100, "Exhaust").when(rate <= 0, "Idle").when(margin <= 0, "Exhaust").when(margin < 10, "Near").otherwise("Safe")
     sustainable = F.when(hours > 0, left / hours)
-    return last.select(*keys, "us", "used", rate.alias("rate"), sustainable.alias("sustainable"), (rate / F.nullif(sustainable, F.lit(0.0))).alias("pressure"), margin.alias("margin"), F.when((rate > 0) & (margin <= 0), left / rate).alias("eta_hours"), state.alias("state"))
+    return last.select(*keys, "us", "used", "resets_us", rate.alias("rate"), sustainable.alias("sustainable"), (rate / F.nullif(sustainable, F.lit(0.0))).alias("pressure"), margin.alias("margin"), F.when((rate > 0) & (margin <= 0), left / rate).alias("eta_hours"), state.alias("state"))
+
 
+def horizon_predictions(epochs: DataFrame, keys: list[str], horizons: tuple[float, ...] = (0.5, 2.0, 24.0), most: int = 48, features: DataFrame | None = None, names: tuple[str, ...] = ("tokens", "roots"), options: Options = Options()) -> DataFrame:
+    """M7: a prediction for each horizon at each stream's latest reading.
 
-def horizon_predictions(epochs: DataFrame, keys: list[str], horizons: tuple[float, ...] = (0.5, 2.0, 24.0), most: int = 48) -> DataFrame:
-    """M7: per horizon the model chosen on the last independent trials, with its prediction at the latest reading."""
+    The pace model is the best on the last `most` independent matured trials, if it beats the fallback by 10 % and 0.05
+    points.  A workload correction (features: origin_us and `names`) replaces it if it beats both by as much on its own
+    last trials.  The band is the rank quantile of at least `bands_from` such errors of what was chosen.
+    """
+    fallback = "time_ewma_2h"
+    epochs, features = kept(epochs, "epochs"), None if features is None else kept(features, "features")
     now = latest_per_key(pace_estimates(epochs.where("epoch_id is not null"), [*keys, "epoch_id"]), keys, [F.desc("us"), F.desc("observation_id")], 1)
+    fits = lambda h: (F.col("us") + int(h * HOUR_US) <= F.col("resets_us")) & (F.col("used") < 100)
+    beats = lambda a, b: F.coalesce(F.col(a) + 0.05 < F.col(b) * (1 - options.margin), F.lit(False))
     out = []
     for h in horizons:
-        trials = replay_trials(epochs, keys, h)
+        trials = kept(replay_trials(epochs, keys, h), "trials")
         recent = latest_per_key(independent_rows(trials, [*keys, "model"], "origin_us", "outcome_us"), [*keys, "model"], [F.desc("origin_us")], most)
-        chosen = select_model(recent, keys)
-        band = recent.groupBy(*keys, "model").agg(error_radius(F.collect_list("error")).alias("radius"))
-        value = F.coalesce(*(F.when(F.col("selected") == m, project_remaining(F.col("used"), F.col(m), F.lit(h), float(m[7]) if m.startswith("damped") else None)) for m in PACE_MODELS))
-        row = now.join(chosen, keys, "left").withColumn("selected", F.coalesce("selected", F.lit("time_ewma_2h"))).withColumn("predicted", value)
-        row = row.join(band.withColumnRenamed("model", "selected"), [*keys, "selected"], "left")
-        out.append(row.select(*keys, F.lit(h).alias("horizon"), F.col("us").alias("origin_us"), "selected", "predicted", "radius", F.coalesce("trials", F.lit(0)).alias("trials")))
+        order = F.array_position(F.array(*map(F.lit, PACE_MODELS)), F.col("model"))
+        s = recent.groupBy(*keys, "model").agg(F.avg("error").alias("mae"), F.count(F.lit(1)).alias("n"), F.collect_list("error").alias("errors"))
+        g = s.groupBy(*keys).agg(F.min_by(F.struct("model", "mae", "errors"), F.struct("mae", order.alias("o"))).alias("_best"), F.max_by(F.struct("model", "mae", "errors"), (F.col("model") == fallback).cast("int")).alias("_usual"), F.max("n").alias("trials"))
+        g = g.withColumn("_chosen", F.when((F.col("trials") >= options.selection_rows) & (F.col("_best.mae") + 0.05 < F.col("_usual.mae") * (1 - options.margin)), F.col("_best")).otherwise(F.col("_usual")))
+        row = now.where(fits(h)).join(g, keys, "left").withColumn("selected", F.coalesce("_chosen.model", F.lit(fallback)))
+        value = lambda name: F.coalesce(*(F.when(F.col(name) == m, project_remaining(F.col("used"), F.col(m), F.lit(h), float(m[7]) if m.startswith("damped") else None)) for m in PACE_MODELS))  # noqa: E731, B023
+        row = row.withColumns({"predicted": value("selected"), "_errors": F.col("_chosen.errors"), "workload_trials": F.lit(0).cast("long")})
+        if features is not None:
+            work = workload_correction(trials.where(F.col("model") == fallback).join(features, "origin_us"), keys, list(names), 10.0).where("training is not null")
+            work = latest_per_key(independent_rows(work, keys, "origin_us", "outcome_us"), keys, [F.desc("origin_us")], most)
+            w = work.groupBy(*keys).agg(F.avg("corrected_error").alias("_w"), F.avg("error").alias("_wb"), F.count(F.lit(1)).alias("_wn"), F.collect_list("corrected_error").alias("_we"))
+            last = trials.where(F.col("model") == fallback).select(*keys, "origin_us", "outcome_us", "predicted", "observed").join(features, "origin_us")
+            live = now.select(*keys, F.col("us").alias("origin_us"), F.lit(None).cast("long").alias("outcome_us"), project_remaining(F.col("used"), F.col(fallback), F.lit(h)).alias("predicted"), F.lit(None).cast("double").alias("observed")).join(features, "origin_us")
+            fit = workload_correction(last.unionByName(live), keys, list(names), 10.0).where("outcome_us is null and training is not null").select(*keys, F.col("corrected").alias("_live"))
+            row = row.join(w, keys, "left").join(fit, keys, "left").withColumns({"_p": F.col("_chosen.mae"), "workload_trials": F.coalesce("_wn", F.lit(0).cast("long"))})
+            use = F.col("_live").isNotNull() & (F.col("workload_trials") >= options.selection_rows) & beats("_w", "_wb") & beats("_w", "_p")
+            row = row.withColumn("_use", use).withColumns({"selected": F.when(F.col("_use"), "workload").otherwise(F.col("selected")), "predicted": F.when(F.col("_use"), F.least(F.col("_live"), 100.0 - F.col("used"))).otherwise(F.col("predicted")), "_errors": F.when(F.col("_use"), F.col("_we")).otherwise(F.col("_errors"))})
+        n = F.size("_errors")
+        rank = F.least(n, F.ceil((n + 1) * options.coverage).cast("int"))
+        radius = F.when(n >= options.bands_from, F.greatest(F.lit(1.0), F.element_at(F.sort_array("_errors"), F.greatest(F.lit(1), rank))))
+        out.append(row.select(*keys, F.lit(h).alias("horizon"), F.col("us").alias("origin_us"), "selected", "predicted", radius.alias("radius"), F.coalesce("trials", F.lit(0)).alias("trials"), "workload_trials"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -170,35 +248,32 @@ def pace_validation(trials: DataFrame) -> DataFrame:
     return trials.sparkSession.sql("SELECT model, use, reset_lead, count(*) AS trials, avg(error) AS mae FROM _pace_validation GROUP BY GROUPING SETS ((model), (model, use), (model, reset_lead))")
 
 
-def score_issued(points: DataFrame, quota: DataFrame, keys: list[str], as_of: int, tolerance_us: int = 5 * MINUTE_US) -> DataFrame:
-    """Issued forecasts (origin_us, target_us, predicted, resets_us) with their outcome's state and error."""
-    read = quota.select(*keys, F.col("us").alias("_at"), "used", F.col("resets_us").alias("_resets"))
-    spans = points.withColumn("_to", F.col("target_us") + tolerance_us)
-    hits = range_join(read, spans, keys, "_at", "target_us", "_to", HOUR_US, closed="both")
-    ids = [*keys, "origin_us", "target_us"]
-    first = hits.groupBy(*ids).agg(F.min_by(F.struct("_at", "used", "_resets"), "_at").alias("o"))
-    j = points.join(first, ids, "left")
-    state = (
-        F.when(F.col("target_us") > as_of, "Pending").when(F.col("target_us") > F.col("resets_us"), "BeyondReset").when(F.col("o").isNull(), "NoTimelyReading")
-        .when(~valid_percent(F.col("o.used")), "InvalidReading").when(F.col("o._resets") != F.col("resets_us"), "ResetChanged").otherwise("Matched")
-    )
-    return j.withColumn("state", state).withColumn("error", F.when(F.col("state") == "Matched", F.abs(F.col("predicted") - (100.0 - F.col("o.used"))))).drop("o")
-
-
 def rank_allowances(forecasts: DataFrame, account: str) -> DataFrame:
-    """Each account's limiting window: exhausted, then soonest to run out, then pressure, then reset."""
+    """Each owner's windows by which limits first: exhausted, then soonest to run out, then pressure, then reset."""
     order = [F.desc(F.col("used") >= 100), F.asc_nulls_last("eta_hours"), F.desc_nulls_last("pressure"), F.asc_nulls_last("resets_us")]
     top = F.row_number().over(Window.partitionBy(account).orderBy(*order))
     status = F.when(F.col("used") >= 100, "Exhausted").when(F.col("eta_hours").isNotNull(), "RunsOut").otherwise("Lasts")
     return forecasts.withColumn("rank", top).withColumn("status", status)
 
 
-def current_forecasts(lanes: DataFrame, now_us: int, stale_us: int = 15 * MINUTE_US) -> DataFrame:
-    """Which lanes may be forecast now, and else why not."""
+def current_forecasts(lanes: DataFrame, now_us: int, stale_us: int = 15 * MINUTE_US, epochs: DataFrame | None = None, keys: list[str] | None = None, horizons: tuple[float, ...] = (0.5, 2.0, 24.0), features: DataFrame | None = None) -> DataFrame:
+    """Each lane's forecasts now: its reset outlook (M6) and horizons (M7), or why there are none.
+
+    Without epochs only the gate is applied.
+    """
     from ..functions.scalars import authority
 
     gate = F.when(F.col("us") > now_us, "future").when(now_us - F.col("us") > stale_us, "stale").when(authority(F.col("source")) != "ProviderAuthoritative", "not-authoritative").when(F.col("account").isNull(), "account-unknown").when(~valid_percent(F.col("used")), "invalid")
-    return lanes.withColumn("withheld", gate)
+    gated = lanes.withColumn("withheld", gate)
+    if epochs is None:
+        return gated
+    open_ = gated.where("withheld is null").select(*keys).distinct()
+    mine = epochs.where(F.col("us") <= now_us).join(open_, keys, "left_semi")
+    outlook = reset_outlook(mine, keys).select(*keys, "state", "rate", "margin", "pressure", "eta_hours")
+    ahead = horizon_predictions(mine, keys, horizons, features=features)
+    points = ahead.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("horizon", "selected", "predicted", "radius", "trials"))).alias("points"))
+    out = gated.join(outlook, keys, "left").join(points, keys, "left")
+    return out.withColumn("withheld", F.coalesce("withheld", F.when(F.col("state").isNull(), "no-epoch")))
 
 
 # --- fits
@@ -246,32 +321,62 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, penalty: float, b
     return _solved(df.groupBy(*by).agg(*_products(features, target)), [*by, "n"], len(features), penalty)
 
 
-def ridge_apply(features: list[str]) -> Column:
-    return F.aggregate(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), F.col("weights"), lambda x, w: x * w), F.col("intercept"), lambda a, v: a + v)
+def ridge_apply(features: list[str], name: str = "") -> Column:
+    return F.aggregate(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), F.col(f"{name}weights"), lambda x, w: x * w), F.col(f"{name}intercept"), lambda a, v: a + v)
 
 
-def ridge_before(trials: DataFrame, keys: list[str], features: list[str], target: str, penalty: float = 1.0, last: int = 120, least: int = 12) -> DataFrame:
-    """M9's fits: for every trial a ridge on the `last` trials that matured by its origin, by differences of running sums."""
-    d = len(features)
+def ridges_before(trials: DataFrame, keys: list[str], fits: dict[str, tuple[list[str], str]], penalty: float = 1.0, last: int = 120, least: int = 12) -> DataFrame:
+    """For every trial ridges on the `last` trials that matured by its origin, by differences of running sums; fits: name -> (features, target).
+
+    All fits share one pass over the trials.  Adds {name}intercept, {name}weights and the number of training rows.
+    """
+    terms, names = {"n": F.lit(1.0)}, {}
+    for name, (features, target) in fits.items():
+        x, y = [F.col(f).cast("double") for f in features], F.col(target).cast("double")
+        own = {"y": y} | {f"s{i}": a for i, a in enumerate(x)} | {f"t{i}": a * y for i, a in enumerate(x)} | {f"p{i}_{j}": x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))}
+        names[name] = list(own)
+        terms |= {f"{name}{n}": t for n, t in own.items()}
+    matured = trials.where("outcome_us is not null")
     w = Window.partitionBy(*keys).orderBy("outcome_us", "origin_us")
-    names = ["n", "y", *(f"s{i}" for i in range(d)), *(f"t{i}" for i in range(d)), *(f"p{i}_{j}" for i in range(d) for j in range(i, d))]
-    x, y = [F.col(f).cast("double") for f in features], F.col(target).cast("double")
-    terms = [F.lit(1.0), y, *x, *(a * y for a in x), *(x[i] * x[j] for i in range(d) for j in range(i, d))]
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    sums = trials.select(*keys, F.row_number().over(w).alias("_i"), *(F.sum(t).over(upto).alias(f"_{n}") for t, n in zip(terms, names)))
-    marks = trials.select(*keys, F.col("outcome_us").alias("_t"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("origin_us")).unionByName(trials.select(*keys, F.col("origin_us").alias("_t"), F.lit(1).alias("_q"), "origin_us"))
+    sums = matured.select(*keys, F.row_number().over(w).alias("_c"), *(F.sum(t).over(upto).alias(f"_{n}") for n, t in terms.items()))
+    marks = matured.select(*keys, F.col("outcome_us").alias("_t"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("origin_us")).unionByName(trials.select(*keys, F.col("origin_us").alias("_t"), F.lit(1).alias("_q"), "origin_us"))
     seen = marks.withColumn("_c", F.sum(1 - F.col("_q")).over(Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0))).where("_q = 1").select(*keys, "origin_us", "_c").distinct()
-    new = sums.withColumnRenamed("_i", "_c")
-    old = sums.select(*keys, (F.col("_i") + last).alias("_c"), *(F.col(f"_{n}").alias(f"o_{n}") for n in names))
-    j = seen.join(new, [*keys, "_c"]).join(old, [*keys, "_c"], "left")
-    stats = j.select(*keys, "origin_us", *((F.col(f"_{n}") - F.coalesce(f"o_{n}", F.lit(0.0))).alias(n) for n in names)).where(F.col("n") >= least)
-    return trials.join(_solved(stats, [*keys, "origin_us", "n"], d, penalty).withColumnRenamed("n", "training"), [*keys, "origin_us"], "left")
+    old = sums.select(*keys, (F.col("_c") + last).alias("_c"), *(F.col(f"_{n}").alias(f"o_{n}") for n in terms))
+    j = seen.join(sums, [*keys, "_c"]).join(old, [*keys, "_c"], "left")
+    stats = j.select(*keys, "origin_us", *((F.col(f"_{n}") - F.coalesce(f"o_{n}", F.lit(0.0))).alias(n) for n in terms)).where(F.col("n") >= least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, rows = b[[*keys, "origin_us", "n"]], b.to_dict("records")
+            for name, (features, _) in fits.items():
+                solved = [solve_ridge({"n": r["n"]} | {n: r[name + n] for n in names[name]}, len(features), penalty) for r in rows]
+                out = out.assign(**{f"{name}intercept": [f[0] if f else None for f in solved], f"{name}weights": [f[1] if f else None for f in solved]})
+            yield out
 
+    ddl = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in [*keys, "origin_us", "n"]) + "".join(f", {n}intercept double, {n}weights array<double>" for n in fits)
+    return trials.join(stats.mapInPandas(run, ddl).withColumnRenamed("n", "training"), [*keys, "origin_us"], "left")
 
-def workload_correction(trials: DataFrame, keys: list[str], features: list[str], penalty: float = 1.0) -> DataFrame:
-    """M9: pace predictions corrected by a ridge on their earlier residuals; without a fit they stay as they are."""
+
+def ridge_before(trials: DataFrame, keys: list[str], features: list[str], target: str, penalty: float = 1.0, last: int = 120, least: int = 12) -> DataFrame:
+    """M9's fits: intercept, weights and training for every trial."""
+    return ridges_before(trials, keys, {"": (features, target)}, penalty, last, least)
+
+
+def workload_correction(trials: DataFrame, keys: list[str], features: list[str], penalty: float = 1.0, seen: str | None = None) -> DataFrame:
+    """M9: pace predictions corrected by a ridge on their earlier residuals; without a fit they stay as they are.
+
+    seen: an array column of the models and efforts at work.  A trial with one that no earlier matured trial of its key had
+    keeps the pace prediction, as such work is not the training rows' average.
+    """
     t = trials.withColumn("_residual", F.col("observed") - F.col("predicted"))
     fit = ridge_before(t, keys, features, "_residual", penalty)
+    if seen is not None:
+        first = t.where("outcome_us is not null").select(*keys, F.explode(seen).alias("_s"), "outcome_us").groupBy(*keys, "_s").agg(F.min("outcome_us").alias("_since"))
+        each = t.select(*keys, "origin_us", F.explode(seen).alias("_s")).distinct().join(first, [*keys, "_s"], "left")
+        unseen = each.groupBy(*keys, "origin_us").agg(F.bool_or(F.coalesce(F.col("_since") > F.col("origin_us"), F.lit(True))).alias("unseen"))
+        fit = fit.join(unseen, [*keys, "origin_us"], "left").withColumn("unseen", F.coalesce("unseen", F.lit(True)))
+        fit = fit.withColumns({c: F.when(~F.col("unseen"), F.col(c)) for c in ("weights", "intercept", "training")})
     shift = F.coalesce(ridge_apply(features), F.lit(0.0))
     value = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("predicted") + shift))
     return fit.withColumns({"corrected": value, "corrected_error": F.abs(value - F.col("observed"))}).drop("_residual", "weights", "intercept")
@@ -279,6 +384,7 @@ def workload_correction(trials: DataFrame, keys: list[str], features: list[str],
 
 def backtest_candidates(trials: DataFrame, keys: list[str], candidates: dict[str, list[str]]) -> DataFrame:
     """Mean errors of pace and of its corrections by several feature sets."""
+    trials = kept(trials, "trials")
     base = trials.groupBy(*keys).agg(F.lit("pace").alias("candidate"), F.count(F.lit(1)).alias("trials"), F.avg("error").alias("mae"))
     rows = [workload_correction(trials, keys, f).groupBy(*keys).agg(F.lit(n).alias("candidate"), F.count(F.lit(1)).alias("trials"), F.avg("corrected_error").alias("mae")) for n, f in candidates.items()]
     return reduce(DataFrame.unionByName, rows, base)
@@ -308,10 +414,12 @@ CANDIDATES = ("recent_30m", "recent_2h", "median_8", "linear_ridge", "log_ridge"
 def token_forecast(tokens: DataFrame, keys: list[str], horizon_us: int, least: int = 16, gain: float = 0.2, bands: int = 20) -> DataFrame:
     """All candidates per origin, the one chosen on earlier comparisons, and a band from its earlier errors."""
     t = token_trials(tokens, keys, horizon_us).withColumns({"_lt": F.log1p("target"), "_l30": F.log1p("recent_30m"), "_l2": F.log1p("recent_2h")})
-    lin = ridge_before(t, keys, ["recent_30m", "recent_2h"], "target")
-    t = lin.withColumn("linear_ridge", F.greatest(F.lit(0.0), F.coalesce(ridge_apply(["recent_30m", "recent_2h"]), F.col("recent_30m")))).drop("intercept", "weights", "training")
-    log = ridge_before(t, keys, ["_l30", "_l2"], "_lt")
-    t = log.withColumn("log_ridge", F.greatest(F.lit(0.0), F.coalesce(F.expm1(F.least(F.lit(60.0), ridge_apply(["_l30", "_l2"]))), F.col("recent_30m")))).drop("intercept", "weights", "training", "_lt", "_l30", "_l2")
+    plain, logs = ["recent_30m", "recent_2h"], ["_l30", "_l2"]
+    t = ridges_before(t, keys, {"lin_": (plain, "target"), "log_": (logs, "_lt")})
+    t = t.withColumns({
+        "linear_ridge": F.greatest(F.lit(0.0), F.coalesce(ridge_apply(plain, "lin_"), F.col("recent_30m"))),
+        "log_ridge": F.greatest(F.lit(0.0), F.coalesce(F.when(F.col("log_weights").isNotNull(), F.expm1(F.least(F.lit(60.0), ridge_apply(logs, "log_")))), F.col("recent_30m"))),
+    }).drop("lin_intercept", "lin_weights", "log_intercept", "log_weights", "training", "_lt", "_l30", "_l2")
     past = Window.partitionBy(*keys).orderBy("origin_us").rowsBetween(-48, -1)
     errors = {c: F.avg(F.abs(F.col(c) - F.col("target"))).over(past) for c in CANDIDATES}
     t = t.withColumns({f"_e_{c}": e for c, e in errors.items()}).withColumn("_n", F.count(F.lit(1)).over(past))
@@ -478,14 +586,9 @@ def nonnegative_ridge(x: np.ndarray, lower: np.ndarray, upper: np.ndarray, penal
     return w / scale
 
 
-def training_rows(observations: DataFrame, keys: list[str], first: int = 20) -> DataFrame:
-    """The first rows of each cohort by end time; they train, all later ones are scored."""
-    return observations.withColumn("training", F.row_number().over(Window.partitionBy(*keys).orderBy("end_us", "start_us")) <= first)
-
-
 def interval_ridge(observations: DataFrame, keys: list[str], features: list[str], first: int = 20, penalty: float = 0.1) -> DataFrame:
     """One fit per cohort on its first rows, so a group is never larger than `first`."""
-    train = latest_per_key(observations, keys, [F.col("end_us"), F.col("start_us")], first).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), "lower", "upper")
+    train = latest_per_key(observations, keys, [F.col("start_us"), F.col("end_us")], first).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), "lower", "upper")
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         w = nonnegative_ridge(g[features].to_numpy(), g["lower"].to_numpy(), g["upper"].to_numpy(), penalty)
@@ -495,19 +598,6 @@ def interval_ridge(observations: DataFrame, keys: list[str], features: list[str]
     return train.groupBy(*keys).applyInPandas(fit, f"{ddl}, n long, weights array<double>")
 
 
-def cost_evaluation(observations: DataFrame, keys: list[str], candidates: dict[str, list[str]], first: int = 20) -> DataFrame:
-    """Each candidate frozen on the first rows and scored on the later ones, beside predicting nothing."""
-    rows = training_rows(observations, keys, first).where("not training")
-    out = [rows.withColumn("predicted", F.lit(0.0)).withColumn("candidate", F.lit("zero"))]
-    for name, features in candidates.items():
-        fit = interval_ridge(observations, keys, features, first).select(*keys, "weights")
-        value = F.aggregate(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-        out.append(rows.join(fit, keys).withColumn("predicted", value).drop("weights").withColumn("candidate", F.lit(name)))
-    scored = reduce(DataFrame.unionByName, out).withColumn("loss", interval_loss(F.col("predicted"), F.col("lower"), F.col("upper")))
-    moved = F.col("end_used") - F.col("start_used")
-    return scored.groupBy(*keys, "candidate").agg(F.count(F.lit(1)).alias("rows"), F.avg("loss").alias("loss"), F.avg(F.abs(F.col("predicted") - moved)).alias("mae"), F.max("loss").alias("worst"))
-
-
 def cost_vectors(cells: DataFrame, ids: list[str], vocabulary: DataFrame) -> DataFrame:
     """Design rows: total, categories, and a column per known (model, effort); unknown cells are one overflow."""
     j = cells.join(vocabulary.withColumn("_known", F.lit(True)), ["model", "effort"], "left")
@@ -552,38 +642,15 @@ def uncertainty_diagnostics(trials: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def regime_report(trials: DataFrame, keys: list[str]) -> DataFrame:
-    """The change point of each cohort's errors and a one-word marker."""
+def regime_report(trials: DataFrame, keys: list[str], control: str | None = None) -> DataFrame:
+    """The change point of each cohort's errors and a one-word marker.  control: a column of errors that must shift the same way."""
     from .windows import change_point
 
     n = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("trials"))
-    j = n.join(change_point(trials, keys, "origin_us", "error"), keys, "left")
+    j = n.join(change_point(trials, keys, "origin_us", "error", control=control), keys, "left")
     return j.withColumn("marker", F.when(F.col("trials") < 16, "Insufficient").when(F.col("boundary").isNotNull(), "Shift").otherwise("Stable"))
 
 
-def composed_evaluation(observations: DataFrame, keys: list[str], features: list[str], tokens: DataFrame, horizon_us: int, first: int = 20) -> DataFrame:
-    """Frozen cost of the actual work, of the continued work and of the pace before, on identical targets."""
-    fit = interval_ridge(observations, keys, features, first).select(*keys, "weights")
-    rows = training_rows(observations, keys, first).where("not training").join(fit, keys)
-    prior = continue_workload(tokens, rows.select(F.col("start_us").alias("origin_us")).distinct(), 2 * HOUR_US, horizon_us).groupBy("origin_us").agg(*(F.sum(c).cast("double").alias(f"f_{c}") for c in features))
-    j = rows.join(prior.withColumnRenamed("origin_us", "start_us"), "start_us", "left")
-    cost = lambda prefix: F.aggregate(F.zip_with(F.array(*(F.coalesce(F.col(prefix + f).cast("double"), F.lit(0.0)) for f in features)), "weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-    loss = lambda p: interval_loss(p, F.col("lower"), F.col("upper"))
-    t = j.withColumns({"actual_work": loss(cost("")), "forecast_work": loss(cost("f_")), "nothing": loss(F.lit(0.0)), "withheld": F.col(f"f_{features[0]}").isNull()})
-    return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), F.count_if("withheld").alias("withheld"), *(F.avg(c).alias(c) for c in ("actual_work", "forecast_work", "nothing")))
-
-
-def assess_selection(trials: DataFrame, keys: list[str], challenger: str, incumbent: str, options: Options = Options()) -> DataFrame:
-    """Why a challenger may not replace the incumbent: counts, margin, majority."""
-    from .joins import reasons
-
-    a = trials.where(F.col("model") == challenger).select(*keys, "origin_us", F.col("error").alias("a"))
-    b = trials.where(F.col("model") == incumbent).select(*keys, "origin_us", F.col("error").alias("b"))
-    g = a.join(b, [*keys, "origin_us"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("paired"), F.avg("a").alias("challenger_mae"), F.avg("b").alias("incumbent_mae"), F.avg((F.col("a") < F.col("b")).cast("double")).alias("wins"))
-    why = reasons(too_few_pairs=F.col("paired") < options.bands_from, within_margin=F.col("challenger_mae") * (1 + options.margin) + options.margin_points >= F.col("incumbent_mae"), no_majority=F.col("wins") <= 0.5)
-    return g.withColumn("reasons", F.array_join(why, ","))
-
-
 def composed_breakdowns(trials: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """Scores by several ways to label a trial, in one pass."""
     labels = F.array(*(F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("label")) for n, c in dims.items()))
@@ -612,79 +679,26 @@ def scenario_funnel(history: DataFrame, stages: dict[str, Column], keys: list[st
 eligibility_funnel = scenario_funnel
 
 
-def scenario_estimate(history: DataFrame, keys: list[str], request: dict[str, float], least: int = 12) -> DataFrame:
-    """Meter movement of a planned scenario by a ridge on hours and sessions, or by elapsed time alone."""
-    names = list(request)
-    fit = ridge_fit(history, names, "moved", 1.0, keys)
-    pace = history.groupBy(*keys).agg((F.sum("moved") / F.nullif(F.sum("lead_hours"), F.lit(0.0))).alias("pace"), error_radius(F.collect_list(F.abs("moved"))).alias("radius"))
-    j = fit.join(pace, keys)
-    for n, v in request.items():
-        j = j.withColumn(n, F.lit(float(v)))
-    value = F.when((F.col("n") >= least) & F.col("weights").isNotNull(), F.greatest(F.lit(0.0), ridge_apply(names))).otherwise(F.col("pace") * request.get("lead_hours", 1.0))
-    return j.select(*keys, F.col("n").alias("rows"), value.alias("moved"), F.when(F.col("n") < least, "too-few-rows").alias("reason"))
-
-
 def threshold_study(trials: DataFrame, keys: list[str], configs: dict[str, Options], split: float = 0.8) -> DataFrame:
-    """One option varied at a time; the choice made on the first part, its error on the last."""
+    """One option varied at a time.  The model is chosen on the first part of the range under each option; the last
+    part gives its error and how wide and how good its bands are.  `best` marks the option with the least error in
+    the first part (of equal ones the default, then by name)."""
+    trials = kept(trials, "trials")
     ends = trials.groupBy(*keys).agg(F.min("origin_us").alias("_a"), F.max("origin_us").alias("_z"))
-    t = trials.join(ends, keys).withColumn("_dev", F.col("origin_us") < F.col("_a") + (F.col("_z") - F.col("_a")) * split)
+    t = kept(trials.join(ends, keys).withColumn("_dev", F.col("origin_us") < F.col("_a") + (F.col("_z") - F.col("_a")) * split), "study")
     out = []
     for name, options in configs.items():
         chosen = select_model(t.where("_dev"), keys, options=options).select(*keys, F.col("selected").alias("model"))
-        final = t.where("not _dev").join(chosen, [*keys, "model"]).groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("trials"), F.avg("error").alias("mae"))
+        banded = calibration_errors(t.join(chosen, [*keys, "model"]), keys, options)
+        inside = F.when(F.col("radius").isNotNull(), (F.abs(F.col("predicted") - F.col("observed")) <= F.col("radius")).cast("double"))
+        final = banded.groupBy(*keys, "model").agg(
+            F.count_if("_dev").alias("development"), F.avg(F.when(F.col("_dev"), F.col("error"))).alias("development_mae"), F.count_if(~F.col("_dev")).alias("trials"), F.avg(F.when(~F.col("_dev"), F.col("error"))).alias("mae"),
+            F.avg(F.when(~F.col("_dev"), inside)).alias("coverage"), F.avg(F.when(~F.col("_dev"), F.col("upper") - F.col("lower"))).alias("width"),
+        )
         out.append(final.withColumn("config", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
-
-
-def rolling_joint_comparison(observations: DataFrame, keys: list[str], candidates: dict[str, list[str]], first: int = 20) -> DataFrame:
-    """Expanding fits (ridge on all earlier rows) beside frozen ones, by candidate."""
-    frozen = cost_evaluation(observations, keys, candidates, first).select(*keys, "candidate", F.lit("frozen").alias("fit"), "rows", "mae")
-    out = [frozen]
-    o = training_rows(observations, keys, first).withColumn("moved", F.col("end_used") - F.col("start_used")).withColumnsRenamed({"start_us": "origin_us", "end_us": "outcome_us"})
-    for name, features in candidates.items():
-        fit = ridge_before(o.withColumnRenamed("training", "_first"), keys, features, "moved", 1.0, 10**6).where("not _first")
-        e = F.abs(F.greatest(F.lit(0.0), F.coalesce(ridge_apply(features), F.lit(0.0))) - F.col("moved"))
-        out.append(fit.groupBy(*keys).agg(F.lit(name).alias("candidate"), F.lit("expanding").alias("fit"), F.count(F.lit(1)).alias("rows"), F.avg(e).alias("mae")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def transfer_evaluation(observations: DataFrame, cohort: str, features: list[str], first: int = 20) -> DataFrame:
-    """Each cohort's fit tried on every other cohort's later rows, as it is and with one scale for all."""
-    fit = interval_ridge(observations, [cohort], features, first)
-    rows = training_rows(observations, [cohort], first)
-    pairs = rows.join(F.broadcast(fit.select(F.col(cohort).alias("donor"), "weights")), F.col(cohort) != F.col("donor"))  # a fit is one row per cohort
-    value = F.aggregate(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-    pairs = pairs.withColumn("p", value).withColumn("moved", F.col("end_used") - F.col("start_used"))
-    scale = pairs.where("training").groupBy(cohort, "donor").agg((F.sum(F.col("p") * F.col("moved")) / F.nullif(F.sum(F.col("p") * F.col("p")), F.lit(0.0))).alias("scale"))
-    j = pairs.where("not training").join(scale, [cohort, "donor"], "left").withColumn("scale", F.greatest(F.lit(0.0), F.coalesce("scale", F.lit(1.0))))
-    loss = lambda p: F.avg(interval_loss(p, F.col("lower"), F.col("upper")))
-    return j.groupBy(cohort, "donor").agg(F.count(F.lit(1)).alias("rows"), loss(F.col("p")).alias("reused"), loss(F.col("p") * F.col("scale")).alias("rescaled"))
-
-
-def aligned_window_study(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Two meters' movements on identical work: one shared scale or each its own."""
-    g = pairs.agg(F.count(F.lit(1)).alias("pairs"), (F.sum(F.col(left) * F.col(right)) / F.nullif(F.sum(F.col(left) * F.col(left)), F.lit(0.0))).alias("scale"), F.corr(left, right).alias("correlation"))
-    return g
-
-
-def tt_evaluation(observations: DataFrame, keys: list[str], features: list[str], first: int = 20) -> DataFrame:
-    """A basis frozen on the first rows, a scale on the next ones, scored on the rest beside raw totals and zero."""
-    fit = interval_ridge(observations, keys, features, first).select(*keys, "weights")
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("end_us", "start_us"))
-    value = F.aggregate(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-    raw = sum((F.col(f) for f in features[1:]), F.col(features[0])).cast("double")
-    r = observations.withColumn("_n", n).join(fit, keys).withColumns({"score": value, "raw": raw, "moved": F.col("end_used") - F.col("start_used")})
-    mid = r.where((F.col("_n") > first) & (F.col("_n") <= 2 * first)).groupBy(*keys).agg(*((F.sum(F.col(c) * F.col("moved")) / F.nullif(F.sum(F.col(c) * F.col(c)), F.lit(0.0))).alias(f"k_{c}") for c in ("score", "raw")))
-    late = r.where(F.col("_n") > 2 * first).join(mid, keys, "left")
-    loss = lambda p: F.avg(interval_loss(F.coalesce(p, F.lit(0.0)), F.col("lower"), F.col("upper")))
-    return late.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), loss(F.col("score") * F.col("k_score")).alias("scored"), loss(F.col("raw") * F.col("k_raw")).alias("raw"), loss(F.lit(0.0)).alias("zero"), (F.sum(F.col("score") * F.col("k_score")) - F.sum("moved")).alias("cumulative_error"))
-
-
-def session_quota_evaluation(hurdles: DataFrame, observations: DataFrame, keys: list[str], first: int = 20) -> DataFrame:
-    """Expected tokens of the hurdle times a frozen cost per token, beside no movement."""
-    cost = training_rows(observations, keys, first).where("training").groupBy(*keys).agg((F.sum(F.col("end_used") - F.col("start_used")) / F.nullif(F.sum(sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0]))), F.lit(0.0))).alias("per_token"))
-    t = hurdles.join(cost, keys).withColumn("expected", F.col("probability") * F.coalesce("conditional_mean", F.lit(0.0)) * F.col("per_token")).withColumn("actual", F.col("target") * F.col("per_token"))
-    return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trials"), F.avg(F.abs(F.col("expected") - F.col("actual"))).alias("hurdle_mae"), F.avg(F.abs("actual")).alias("zero_mae"))
+    whole = reduce(DataFrame.unionByName, out)
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("development_mae"), F.col("config") != "default", "config")
+    return whole.withColumn("best", F.row_number().over(w) == 1)
 
 
 def censoring_study(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -697,21 +711,24 @@ def censoring_study(candidates: DataFrame, keys: list[str]) -> DataFrame:
 # --- path studies
 
 
-def resample_paths(bins: DataFrame, keys: list[str], paths: int, steps: int, run: int = 3, seed: int = 7) -> DataFrame:
-    """Block bootstrap of time bins: each path is made of runs of `run` neighbouring bins, picked by a seeded hash.
-    bins: keys, at, t."""
+def resample_paths(bins: DataFrame, origins: DataFrame, keys: list[str], paths: int, steps: int, run: int = 3, seed: int = 7) -> DataFrame:
+    """Block bootstrap of time bins for each origin: a path is made of runs of `run` neighbouring bins from before the origin, picked by a
+    seeded hash; a bin brings its whole mixture.  bins: keys, at and any amounts; origins: keys, origin_us."""
     w = Window.partitionBy(*keys)
-    numbered = bins.withColumns({"_i": F.row_number().over(w.orderBy("at")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    size = numbered.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    grid = size.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    start = F.pmod(F.xxhash64(F.lit(seed), *keys, "path", F.floor(F.col("step") / run)), F.greatest(F.lit(1), F.col("_n") - run + 1))
-    grid = grid.withColumn("_i", (start + F.col("step") % run).cast("int")).withColumn("_i", F.least("_i", F.col("_n") - 1))
-    return grid.drop("_n").join(numbered.drop("_n", "at"), [*keys, "_i"]).drop("_i")
+    numbered = bins.withColumn("_i", F.row_number().over(w.orderBy("at")) - 1)
+    both = bins.select(*keys, F.col("at").alias("_t"), F.lit(0).alias("_q")).unionByName(origins.select(*keys, F.col("origin_us").alias("_t"), F.lit(1).alias("_q")))
+    size = both.withColumn("_n", F.sum(1 - F.col("_q")).over(w.orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0))).where("_q = 1 and _n > 0").select(*keys, F.col("_t").alias("origin_us"), "_n").distinct()
+    grid = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    start = F.pmod(F.xxhash64(F.lit(seed), *keys, "origin_us", "path", F.floor(F.col("step") / run)), F.greatest(F.lit(1), F.col("_n") - run + 1))
+    grid = grid.withColumn("_i", F.least((start + F.col("step") % run), F.col("_n") - 1).cast("int"))
+    return grid.drop("_n").join(numbered, [*keys, "_i"]).drop("_i")
 
 
 def first_crossing(steps: DataFrame, keys: list[str], budget: float, cost: str = "t") -> DataFrame:
-    """Share of paths whose running cost reaches the budget, and quantiles of the step at which they do."""
+    """Share of paths whose running cost reaches the budget, and quantiles of the step at which they do; a path shorter than its fellows that has
+    not reached it is unresolved."""
     run = F.sum(cost).over(Window.partitionBy(*keys, "path").orderBy("step"))
-    hit = steps.withColumn("_c", run).groupBy(*keys, "path").agg(F.min(F.when(F.col("_c") >= budget, F.col("step"))).alias("hit"))
-    g = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("paths"), F.count("hit").alias("crossed"), F.collect_list("hit").alias("_h"))
-    return g.select(*keys, "paths", "crossed", (F.col("crossed") / F.col("paths")).alias("share"), rank_quantile(F.col("_h"), 0.1).alias("early"), rank_quantile(F.col("_h"), 0.5).alias("middle"), rank_quantile(F.col("_h"), 0.9).alias("late"))
+    hit = steps.withColumn("_c", run).groupBy(*keys, "path").agg(F.min(F.when(F.col("_c") >= budget, F.col("step"))).alias("hit"), F.max("step").alias("_last"))
+    hit = hit.withColumn("_end", F.max("_last").over(Window.partitionBy(*keys)))
+    g = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("paths"), F.count("hit").alias("crossed"), F.count_if(F.col("hit").isNull() & (F.col("_last") < F.col("_end"))).alias("unresolved"), F.collect_list("hit").alias("_h"))
+    return g.select(*keys, "paths", "crossed", "unresolved", (F.col("crossed") / F.col("paths")).alias("share"), rank_quantile(F.col("_h"), 0.1).alias("early"), rank_quantile(F.col("_h"), 0.5).alias("middle"), rank_quantile(F.col("_h"), 0.9).alias("late"))

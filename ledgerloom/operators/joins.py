@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .filters import UNKNOWN
 
 
@@ -151,15 +152,30 @@ def task_accounting(reports: DataFrame, ledger: DataFrame, account: str, order:
     return latest.join(local, task, "left").withColumn("owned", F.col("local_total").isNotNull())
 
 
-def reconcile_periods(periods: DataFrame, ledger: DataFrame, captures: DataFrame) -> DataFrame:
-    """Periods (period, from_day, to_day, reported) with the ledger's sum, and the states that apply."""
-    local = ledger.join(F.broadcast(periods.select("period", "from_day", "to_day")), (F.col("day") >= F.col("from_day")) & (F.col("day") < F.col("to_day"))).groupBy("period").agg(F.sum("total").cast("long").alias("local_total"), F.count_distinct("day").alias("days"))
+def reconcile_periods(periods: DataFrame, ledger: DataFrame, captures: DataFrame, breakdowns: DataFrame | None = None, now_us: int | None = None, fresh_us: int = 7_200_000_000) -> DataFrame:
+    """A provider's periods with the ledger's sum, and the states that apply; the states never stand for each other.
+
+    periods: period, from_day, to_day, reported, and, where known, complete, as_of_us, approximate.  captures: period, captures, revisions.
+    breakdowns: period, dimension, part, amount: ways to split a period, each of which must add up to what is reported, within one.
+    """
+    spans = periods.select("period", F.unix_date("from_day").alias("_from"), F.unix_date("to_day").alias("_to"))
+    days = ledger.groupBy("day").agg(F.sum("total").cast("long").alias("total")).withColumn("_d", F.unix_date("day"))
+    local = range_join(days, spans, [], "_d", "_from", "_to", 31).groupBy("period").agg(F.sum("total").cast("long").alias("local_total"), F.count(F.lit(1)).alias("days"))
     j = periods.join(local, "period", "left").join(captures, "period", "left")
+    if breakdowns is not None:
+        d = breakdowns.groupBy("period", "dimension").agg(F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count_distinct("part").alias("_k"))
+        d = d.join(periods.select("period", "reported"), "period").groupBy("period").agg(F.bool_or(F.col("_n") != F.col("_k")).alias("_repeated"), F.bool_or((F.col("_n") == F.col("_k")) & (F.abs(F.col("_s") - F.col("reported")) > 1)).alias("_conflict"))
+        j = j.join(d, "period", "left")
+    has = lambda c, other: F.col(c) if c in j.columns else F.lit(other)
+    complete, as_of, revisions = has("complete", None).cast("boolean"), has("as_of_us", None).cast("long"), F.coalesce("revisions", F.lit(0))
+    closed = F.lit(True) if now_us is None else F.unix_date("to_day") * F.lit(86_400_000_000) <= now_us
+    age = F.lit(now_us).cast("long") - as_of
     why = reasons(
-        incomplete=F.coalesce("days", F.lit(0)) < F.date_diff("to_day", "from_day"), revised=F.coalesce("revisions", F.lit(0)) > 0,
-        unmatched=F.col("local_total").isNull(), different=F.col("local_total") != F.col("reported"),
+        provisional=~closed | ~F.coalesce(complete, F.lit(now_us is None)), incomplete=(F.coalesce("days", F.lit(0)) < F.date_diff("to_day", "from_day")) | ~F.coalesce(complete, F.lit(True)), freshness_unknown=as_of.isNull() & F.lit(now_us is not None), delayed=F.coalesce(age > fresh_us, F.lit(False)),
+        revised=revisions > 0, unchanged=(revisions == 0) & (has("captures", 0) > 1), approximate=F.coalesce(has("approximate", False), F.lit(False)), unmatched=F.col("local_total").isNull(), different=F.col("local_total") != F.col("reported"),
+        repeated_parts=F.coalesce(has("_repeated", False), F.lit(False)), conflicting_partition=F.coalesce(has("_conflict", False), F.lit(False)),
     )
-    return j.withColumn("states", F.array_join(why, ","))
+    return j.withColumn("states", F.array_join(why, ",")).drop("_repeated", "_conflict")
 
 
 def match_selected_direct(points: DataFrame, keys: list[str], role: str = "role") -> DataFrame:
@@ -229,22 +245,34 @@ def agent_tree(edges: DataFrame, start: str, most: int = 32) -> DataFrame:
     )
 
 
-def browse_threads(threads: DataFrame, edges: DataFrame, search: str, most: int = 32) -> DataFrame:
-    """Matches and all their ancestors, by first parents; flags for missing and several parents and for cycles."""
-    parents = edges.groupBy("child").agg(F.min("parent").alias("parent"), F.count_distinct("parent").alias("parents"))
-    parents.createOrReplaceTempView("_thread_parents")
-    threads.createOrReplaceTempView("_threads")
-    found = threads.sparkSession.sql(
-        f"""WITH RECURSIVE walk (thread, start, path, cyclic) AS (
-            SELECT thread, thread, array(thread), false FROM _threads WHERE contains(lower(title), lower(:search))
-            UNION ALL SELECT p.parent, w.start, array_append(w.path, p.parent), array_contains(w.path, p.parent)
-            FROM walk w JOIN _thread_parents p ON p.child = w.thread WHERE NOT w.cyclic AND size(w.path) < {most})
-        SELECT thread, bool_or(thread = start AND size(path) = 1) AS matched, bool_or(cyclic) AS cyclic FROM walk GROUP BY thread""",
-        {"search": search},
-    )
-    known = threads.select("thread", F.lit(True).alias("_known"))
-    out = found.join(parents.withColumnRenamed("child", "thread"), "thread", "left").join(known, "thread", "left")
-    return out.select("thread", "matched", "cyclic", "parent", (F.coalesce("parents", F.lit(0)) > 1).alias("several_parents"), F.col("_known").isNull().alias("missing"))
+def browse_threads(threads: DataFrame, edges: DataFrame, search: str) -> DataFrame:
+    """Matches and all their ancestors, however far up, by first parents; each with the root of its group and flags for
+    missing and several parents and for chains that run in a circle (which have no root).
+
+    Ancestors are found by doubling the steps, so a chain of n takes log n rounds of joins; each round is written to the shared folder.
+    """
+    parents = kept(edges.groupBy("child").agg(F.min("parent").alias("parent"), F.count_distinct("parent").alias("parents")), "thread-parents")
+    matches = threads.where(F.contains(F.lower("title"), F.lower(F.lit(search)))).select("thread").distinct()
+    seen = kept(matches, "threads-seen")
+    step = parents.select(F.col("child").alias("node"), F.col("parent").alias("up"))  # the ancestor so many steps up
+    top = step  # the furthest ancestor within these steps
+    most, reach, before = parents.count(), 1, -1
+    while True:
+        seen = kept(seen.unionByName(seen.join(step, F.col("thread") == F.col("node")).select(F.col("up").alias("thread"))).distinct(), "threads-seen")
+        n = seen.count()
+        if (n == before and reach > 1 and not step.head(1)) or reach > most:
+            break
+        before = n
+        above, further = step.select(F.col("node").alias("up"), F.col("up").alias("_up")), top.select(F.col("node").alias("up"), F.col("up").alias("_top"))
+        top = kept(top.join(further, "up", "left").select("node", F.coalesce("_top", "up").alias("up")), "threads-top")
+        step = kept(step.join(above, "up").select("node", F.col("_up").alias("up")), "threads-step")
+        reach *= 2
+    endless = step.select(F.col("node").alias("thread"), F.lit(True).alias("cyclic")).distinct() if reach > most else step.limit(0).select(F.col("node").alias("thread"), F.lit(True).alias("cyclic"))
+    known = threads.select("thread", F.lit(True).alias("_known")).distinct()
+    out = seen.join(matches.withColumn("matched", F.lit(True)), "thread", "left").join(parents.withColumnRenamed("child", "thread"), "thread", "left").join(known, "thread", "left")
+    out = out.join(top.select(F.col("node").alias("thread"), F.col("up").alias("_root")), "thread", "left").join(endless, "thread", "left")
+    cyclic = F.coalesce("cyclic", F.lit(False))
+    return out.select("thread", F.coalesce("matched", F.lit(False)).alias("matched"), cyclic.alias("cyclic"), "parent", F.when(~cyclic, F.coalesce("_root", "thread")).alias("root"), (F.coalesce("parents", F.lit(0)) > 1).alias("several_parents"), F.col("_known").isNull().alias("missing"))
 
 
 def catalog_reconcile(observations: DataFrame, key: str, order: list[Column], values: list[str]) -> DataFrame:

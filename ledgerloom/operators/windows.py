@@ -267,17 +267,24 @@ def persistent_shifts(blocks: DataFrame, keys: list[str], order: str, value: str
     return j.withColumn("shifted", (F.col("side") != 0) & (F.lag("side").over(w) == F.col("side"))).drop("_n")
 
 
-def change_point(trials: DataFrame, keys: list[str], order: str, error: str, least: int = 8, most: int = 24) -> DataFrame:
+def change_point(trials: DataFrame, keys: list[str], order: str, error: str, least: int = 8, most: int = 24, control: str | None = None) -> DataFrame:
     """The boundary whose two sides' medians explain the errors best: at least `least` rows each side, at most `most`
-    looked at, a shift beyond max(2, 3 MAD) and a quarter less absolute error."""
+    looked at, a shift beyond max(2, 3 MAD) and a quarter less absolute error.  control: a column with the errors of the same
+    trials without what is studied; a boundary at which they do not shift the same way does not count."""
     w = Window.partitionBy(*keys).orderBy(order)
     before, after = w.rowsBetween(-most, -1), w.rowsBetween(0, most - 1)
-    t = trials.withColumns({"_l": F.collect_list(error).over(before), "_r": F.collect_list(error).over(after)}).where((F.size("_l") >= least) & (F.size("_r") >= least))
+    t = trials.withColumns({"_l": F.collect_list(error).over(before), "_r": F.collect_list(error).over(after)})
+    if control is not None:
+        t = t.withColumn("_control", median(F.collect_list(control).over(after)) - median(F.collect_list(control).over(before)))
+    t = t.where((F.size("_l") >= least) & (F.size("_r") >= least))
     cost = lambda a, m: F.aggregate(F.transform(a, lambda x: F.abs(x - m)), F.lit(0.0), lambda s, x: s + x)
     t = t.withColumns({"left_median": median(F.col("_l")), "right_median": median(F.col("_r")), "_m": median(F.concat("_l", "_r"))})
     t = t.withColumns({"whole": cost(F.concat("_l", "_r"), F.col("_m")), "split": cost(F.col("_l"), F.col("left_median")) + cost(F.col("_r"), F.col("right_median")), "_mad": median(F.transform("_l", lambda x: F.abs(x - F.col("left_median"))))})
     t = t.withColumn("shift", F.col("right_median") - F.col("left_median"))
-    ok = (F.abs("shift") > F.greatest(F.lit(2.0), 3 * F.col("_mad"))) & (F.col("whole") - F.col("split") >= 0.25 * F.col("whole"))
+    agrees = F.lit(True)
+    if control is not None:
+        agrees = F.coalesce(F.signum("_control") == F.signum("shift"), F.lit(False))
+    ok = agrees & (F.abs("shift") > F.greatest(F.lit(2.0), 3 * F.col("_mad"))) & (F.col("whole") - F.col("split") >= 0.25 * F.col("whole"))
     t = t.where(ok).withColumn("gain", F.col("whole") - F.col("split"))
     return t.groupBy(*keys).agg(F.max_by(F.struct(F.col(order).alias("at"), "shift", "gain"), F.struct("gain", (-F.col(order)).alias("o"))).alias("b")).select(*keys, F.col("b.at").alias("boundary"), F.col("b.shift").alias("shift"), F.col("b.gain").alias("gain"))
 

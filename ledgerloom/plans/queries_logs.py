@@ -154,18 +154,27 @@ def j16_task_accounting(spark, sf):
     return J.task_accounting(reports, t.where("session_id % 5 <> 0"), "account", "day", "session_id")
 
 
-PERIODS = ", p AS (SELECT CAST(date_trunc('month', day) AS DATE) AS m, CAST(sum(server_total) AS BIGINT) AS reported FROM server GROUP BY 1), l AS (SELECT CAST(date_trunc('month', day) AS DATE) AS m, CAST(sum(total) AS BIGINT) AS t, count(DISTINCT day) AS d FROM led GROUP BY 1)"
+PERIODS = ", p AS (SELECT CAST(date_trunc('month', day) AS DATE) AS m, CAST(sum(server_total) AS BIGINT) AS reported FROM server GROUP BY 1), l AS (SELECT CAST(date_trunc('month', day) AS DATE) AS m, CAST(sum(total) AS BIGINT) AS t, count(DISTINCT day) AS d FROM led GROUP BY 1), pc AS (SELECT CAST(date_trunc('month', day) AS DATE) AS m, sum(CASE WHEN month(day) % 5 = 0 AND day(day) = 1 THEN server_total + 5 ELSE server_total END) AS s FROM server GROUP BY 1)"
+NOW = "epoch_us(TIMESTAMP '1998-06-15')"
 
 
-@query(with_sql("led server", PERIODS + " SELECT strftime(p.m, '%Y-%m') AS period, reported, l.t AS local_total, array_to_string(list_filter([CASE WHEN coalesce(d, 0) < date_diff('day', p.m, CAST(p.m + INTERVAL 1 MONTH AS DATE)) THEN 'incomplete' END, CASE WHEN month(p.m) % 4 = 0 THEN 'revised' END, CASE WHEN l.t IS NULL THEN 'unmatched' END, CASE WHEN l.t <> reported THEN 'different' END], lambda x: x IS NOT NULL), ',') AS states FROM p LEFT JOIN l ON p.m = l.m"))
+@query(with_sql("led server", PERIODS + f""" SELECT strftime(p.m, '%Y-%m') AS period, reported, l.t AS local_total, array_to_string(list_filter([
+    CASE WHEN epoch_us(CAST(CAST(p.m + INTERVAL 1 MONTH AS DATE) AS TIMESTAMP)) > {NOW} OR month(p.m) % 6 = 0 THEN 'provisional' END, CASE WHEN coalesce(d, 0) < date_diff('day', p.m, CAST(p.m + INTERVAL 1 MONTH AS DATE)) OR month(p.m) % 6 = 0 THEN 'incomplete' END,
+    CASE WHEN month(p.m) % 7 = 0 THEN 'freshness-unknown' END, CASE WHEN month(p.m) % 7 <> 0 AND {NOW} - (epoch_us(CAST(CAST(p.m + INTERVAL 1 MONTH AS DATE) AS TIMESTAMP)) + 3600000000) > 7200000000 THEN 'delayed' END,
+    CASE WHEN month(p.m) % 4 = 0 THEN 'revised' END, CASE WHEN month(p.m) % 4 <> 0 AND month(p.m) % 2 = 0 THEN 'unchanged' END, CASE WHEN month(p.m) = 3 THEN 'approximate' END, CASE WHEN l.t IS NULL THEN 'unmatched' END, CASE WHEN l.t <> reported THEN 'different' END,
+    CASE WHEN abs(pc.s - reported) > 1 THEN 'conflicting-partition' END], lambda x: x IS NOT NULL), ',') AS states FROM p LEFT JOIN l ON p.m = l.m LEFT JOIN pc ON p.m = pc.m"""))
 def j17_reconcile_periods(spark, sf):
-    p = D.server_daily(spark, sf).groupBy(F.trunc("day", "month").alias("from_day")).agg(F.sum("server_total").cast("long").alias("reported"))
-    p = p.select(F.date_format("from_day", "yyyy-MM").alias("period"), "from_day", F.add_months("from_day", 1).alias("to_day"), "reported")
-    captures = p.select("period", F.when(F.month("from_day") % 4 == 0, 1).otherwise(0).alias("revisions"))
-    return J.reconcile_periods(p, D.order_ledger(spark, sf), captures).select("period", "reported", "local_total", "states")
+    daily = D.server_daily(spark, sf)
+    p = daily.groupBy(F.trunc("day", "month").alias("from_day")).agg(F.sum("server_total").cast("long").alias("reported"))
+    month, end = F.month("from_day"), F.add_months("from_day", 1)
+    p = p.select(F.date_format("from_day", "yyyy-MM").alias("period"), "from_day", end.alias("to_day"), "reported", (month % 6 != 0).alias("complete"), F.when(month % 7 != 0, F.unix_date(end) * F.lit(86_400_000_000) + 3_600_000_000).alias("as_of_us"), (month == 3).alias("approximate"))
+    captures = p.select("period", F.when(month % 2 == 0, 2).otherwise(1).alias("captures"), F.when(month % 4 == 0, 1).otherwise(0).alias("revisions"))
+    off = F.when((F.month("day") % 5 == 0) & (F.dayofmonth("day") == 1), 5).otherwise(0)
+    parts = daily.select(F.date_format("day", "yyyy-MM").alias("period"), F.lit("day").alias("dimension"), F.col("day").cast("string").alias("part"), (F.col("server_total") + off).alias("amount"))
+    return J.reconcile_periods(p, D.order_ledger(spark, sf), captures, parts, 897_868_800_000_000).select("period", "reported", "local_total", "states")
 
 
-SEQ = ", s AS (SELECT doc_id AS f, unnest(range(len(string_split(text, chr(10))))) AS pos, md5(unnest(string_split(text, chr(10)))) AS h FROM documents), d AS (SELECT DISTINCT f, h FROM s), r AS (SELECT h, count(*) AS c, min(f) AS first FROM d GROUP BY 1 HAVING count(*) > 1), fo AS (SELECT x.f AS a, y.f AS b FROM d x JOIN d y ON x.h = y.h AND x.f < y.f JOIN r ON r.h = x.h AND c <= 50 UNION ALL SELECT first, d.f FROM d JOIN r ON r.h = d.h AND c > 50 AND d.f <> first), pr AS (SELECT a, b, count(*) AS shared FROM fo GROUP BY 1, 2), n AS (SELECT f, count(*) AS n FROM s GROUP BY 1), df AS (SELECT a, b, min(x.pos) AS diff FROM pr JOIN s x ON x.f = a JOIN s y ON y.f = b AND y.pos = x.pos WHERE x.h <> y.h GROUP BY 1, 2)"
+SEQ = ", s AS (SELECT doc_id AS f, unnest(range(len(string_split(text, chr(10))))) AS pos, md5(unnest(string_split(text, chr(10)))) AS h FROM documents), d AS (SELECT DISTINCT f, h FROM s), fo AS (SELECT x.f AS a, y.f AS b FROM d x JOIN d y ON x.h = y.h AND x.f < y.f), pr AS (SELECT a, b, count(*) AS shared FROM fo GROUP BY 1, 2), n AS (SELECT f, count(*) AS n FROM s GROUP BY 1), df AS (SELECT a, b, min(x.pos) AS diff FROM pr JOIN s x ON x.f = a JOIN s y ON y.f = b AND y.pos = x.pos WHERE x.h <> y.h GROUP BY 1, 2)"
 
 
 @query("WITH one AS (SELECT 1)" + SEQ + " SELECT pr.a, pr.b, shared, coalesce(diff, least(na.n, nb.n)) AS shared_prefix, CASE WHEN coalesce(diff, least(na.n, nb.n)) = na.n AND coalesce(diff, least(na.n, nb.n)) = nb.n THEN 'Equal' WHEN coalesce(diff, least(na.n, nb.n)) = least(na.n, nb.n) THEN 'Prefix' WHEN coalesce(diff, least(na.n, nb.n)) > 0 THEN 'Divergent' ELSE 'Overlap' END AS relation FROM pr JOIN n na ON na.f = pr.a JOIN n nb ON nb.f = pr.b LEFT JOIN df ON df.a = pr.a AND df.b = pr.b")
@@ -214,6 +223,6 @@ def t3_stream_dedup(spark, sf):
     return drained(spark, s, "once", s.schema)
 
 
-@query()
+@query("SELECT agree, count(*) AS files FROM (" + ORACLE["w2_watermark_totals"] + ") GROUP BY 1")
 def w2_lineage_sessions(spark, sf):
     return W.watermark_totals(D.token_observations(spark, sf)).groupBy("agree").agg(F.count(F.lit(1)).alias("files"))

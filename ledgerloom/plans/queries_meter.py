@@ -10,10 +10,12 @@ from ..operators import aggregates as A
 from ..operators import forecasting as M
 from ..operators import joins as J
 from ..operators import sequence as Q
+from ..operators import studies as S
 from ..operators import windows as W
 from ..sources import adapters as D
 from ..sources.adapters import with_sql
 from ..streaming import streams as T
+from .queries_usage import PRICES
 from .registry import query
 
 DAY0 = 1_704_067_200_000_000  # 2024-01-01
@@ -319,6 +321,22 @@ TRIAL_SQL = PACE + f""", n AS (SELECT *, row_number() OVER (PARTITION BY account
     tr AS (SELECT *, least(100.0, greatest(0.0, 100 - used - rate * lead)) AS predicted FROM t)"""
 
 
+_BACK = ((30 * MINUTE, "r30"), (2 * HOUR, "r2"), (6 * HOUR, "r6"), (24 * HOUR, "r24"))
+ALL_TRIALS = PACE + f""", g6 AS (SELECT *, CASE WHEN h > 0 THEN 6 * (1 - exp(-h / 6)) * exp(t / 6) END AS x6 FROM pace),
+    b AS (SELECT *, coalesce(sum(up / h * x6) OVER (PARTITION BY account, epoch_id ORDER BY us ROWS UNBOUNDED PRECEDING) / nullif(sum(x6) OVER (PARTITION BY account, epoch_id ORDER BY us ROWS UNBOUNDED PRECEDING), 0), 0) AS e6,
+        {", ".join(f"coalesce(max(us) OVER (PARTITION BY account, epoch_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING), ft) AS u_{n}, coalesce(arg_max(used, us) OVER (PARTITION BY account, epoch_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING), fu) AS v_{n}" for w, n in _BACK)} FROM g6),
+    all_pace AS (SELECT *, {", ".join(f"CASE WHEN us > u_{n} THEN greatest(0.0, used - v_{n}) / ((us - u_{n}) / {HOUR}.0) ELSE 0 END AS {n}" for _, n in _BACK)} FROM b),
+    n AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS i, count(*) OVER (PARTITION BY account, epoch_id) AS c, min(us) OVER (PARTITION BY account, epoch_id) AS f0 FROM all_pace),
+    e AS (SELECT n.*, (SELECT min(us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us BETWEEN n.us + {6 * HOUR} AND n.us + {6 * HOUR + 5 * MINUTE}) AS eu, (SELECT arg_min(used, us) FROM n x WHERE x.account = n.account AND x.epoch_id = n.epoch_id AND x.us BETWEEN n.us + {6 * HOUR} AND n.us + {6 * HOUR + 5 * MINUTE}) AS ou FROM n),
+    g AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS j FROM e WHERE c >= 3 AND i > 1 AND i < c AND used < 100 AND us - f0 >= {15 * MINUTE} AND us + {6 * HOUR} <= resets_us AND eu IS NOT NULL),
+    q AS (SELECT account, epoch_id, j, us, true AS ok, us AS last FROM g WHERE j = 1 UNION ALL SELECT g.account, g.epoch_id, g.j, g.us, g.us - q.last >= {30 * MINUTE}, CASE WHEN g.us - q.last >= {30 * MINUTE} THEN g.us ELSE q.last END FROM q JOIN g ON g.account = q.account AND g.epoch_id = q.epoch_id AND g.j = q.j + 1),
+    o AS (SELECT g.* FROM g JOIN q USING (account, epoch_id, j) WHERE q.ok),
+    t AS (SELECT account, epoch_id, us AS origin_us, eu AS outcome_us, resets_us, 100 - ou AS observed, used, (eu - us) / {HOUR}.0 AS lead, unnest({list(W.PACE_MODELS)}) AS model, unnest(range(10)) AS pref, unnest([0.0::DOUBLE, e2, e6, whole, r30, r2, r6, r24, r2, r2]) AS rate FROM o),
+    tr AS (SELECT *, least(100.0, greatest(0.0, 100 - used - rate * CASE model WHEN 'damped_2h' THEN 2 * (1 - exp(-lead / 2)) WHEN 'damped_6h' THEN 6 * (1 - exp(-lead / 6)) ELSE lead END)) AS predicted FROM t),
+    nx AS (SELECT account, epoch_id, us, (SELECT min(x.us) FROM o x WHERE x.account = o.account AND x.epoch_id = o.epoch_id AND x.us >= o.eu) AS nu FROM o),
+    ind AS (SELECT account, epoch_id, min(us) AS us FROM o GROUP BY 1, 2 UNION ALL SELECT ind.account, ind.epoch_id, nx.nu FROM ind JOIN nx ON nx.account = ind.account AND nx.epoch_id = ind.epoch_id AND nx.us = ind.us WHERE nx.nu IS NOT NULL)"""
+
+
 @query(with_sql("ev quota", TRIAL_SQL + " SELECT account, epoch_id, model, origin_us, outcome_us, observed, round(predicted, 6) AS predicted, round(abs(predicted - observed), 6) AS error FROM tr"))
 def m2_replay_trials(spark, sf):
     t = M.replay_trials(_epochs(spark, sf), KEYS, 6.0, ("persistence", "epoch", "time_ewma_2h"))
@@ -346,9 +364,11 @@ def m3_m4_calibration(spark, sf):
     return M.calibration_errors(_trials(spark, sf).where("model = 'time_ewma_2h'"), KEYS, M.Options(least_groups=4)).drop("calibration")
 
 
-@query()
+@query(with_sql("ev quota", ALL_TRIALS + """, m AS (SELECT account, model, any_value(pref) AS pref, round(avg(abs(predicted - observed)), 9) AS mae, count(*) AS k FROM tr GROUP BY 1, 2),
+    z AS (SELECT account, arg_min(model, (mae, pref)) AS best, min(mae) AS best_mae, max(mae) FILTER (model = 'time_ewma_2h') AS fallback_mae, max(k) AS trials FROM m GROUP BY 1)
+    SELECT account, CASE WHEN fallback_mae <= best_mae * 1.1 + 0.1 OR trials < 8 THEN 'time_ewma_2h' ELSE best END AS selected, best, round(best_mae, 6) AS best_mae, round(fallback_mae, 6) AS fallback_mae, trials FROM z"""))
 def m5_select_model(spark, sf):
-    return M.select_model(_trials(spark, sf), KEYS)
+    return M.select_model(_trials(spark, sf), KEYS).withColumns({c: F.round(c, 6) for c in ("best_mae", "fallback_mae")})
 
 
 @query(with_sql("ev quota", PACE + f""", l AS (SELECT *, count(*) OVER (PARTITION BY account, epoch_id) AS n, min(us) OVER (PARTITION BY account, epoch_id) AS f FROM pace), z AS (SELECT *, (resets_us - us) / {HOUR}.0 AS hrs, 100 - used AS rest FROM l QUALIFY row_number() OVER (PARTITION BY account ORDER BY us DESC, observation_id DESC) = 1)
@@ -360,7 +380,8 @@ def m6_reset_outlook(spark, sf):
 
 @query()
 def m7_horizon_predictions(spark, sf):
-    return M.horizon_predictions(_epochs(spark, sf), KEYS, (0.5, 2.0))
+    f = _features(spark, sf, _epochs(spark, sf).where("epoch_id is not null").select(F.col("us").alias("origin_us")).distinct()).select("origin_us", "tokens", "roots")
+    return M.horizon_predictions(_epochs(spark, sf), KEYS, features=f)
 
 
 @query(with_sql("ev", """, s AS (SELECT event_type, count(*) AS n, avg(CAST(k AS DOUBLE)) AS mx, avg(CAST(inc AS DOUBLE)) AS my, avg(CAST(k AS DOUBLE) * k) AS xx, avg(CAST(k AS DOUBLE) * inc) AS xy FROM ev GROUP BY 1)
@@ -372,13 +393,15 @@ def m8_ridge_fit(spark, sf):
 
 def _trials_with_work(spark, sf):
     t = _trials(spark, sf).where("model = 'time_ewma_2h'")
-    f = _features(spark, sf, t.select("origin_us").distinct()).select("origin_us", "tokens", "roots")
-    return t.join(f, "origin_us")
+    o = t.select("origin_us").distinct()
+    f = _features(spark, sf, o).select("origin_us", "tokens", "roots")
+    cells = M.joint_before(D.token_events(spark, sf), o, 2 * HOUR).groupBy("origin_us").agg(F.array_distinct(F.concat(F.collect_set("model"), F.collect_set("effort"))).alias("seen"))
+    return t.join(f, "origin_us").join(cells, "origin_us", "left")
 
 
 @query()
 def m9_workload_correction(spark, sf):
-    return M.workload_correction(_trials_with_work(spark, sf), KEYS, ["tokens", "roots"])
+    return M.workload_correction(_trials_with_work(spark, sf), KEYS, ["tokens", "roots"], 10.0, "seen").drop("seen")
 
 
 @query()
@@ -435,10 +458,16 @@ def m16_usual_activity_study(spark, sf):
     return M.usual_activity_study(_hurdles(spark, sf), ["model"])
 
 
-@query()
+SIX = TRIALS.replace(str(2 * HOUR), "@H").replace("(a + @H)", f"(a + {2 * HOUR})").replace("p > o - @H", f"p > o - {2 * HOUR}").replace("@H", str(6 * HOUR))
+
+
+@query(with_sql("ev tok", SIX + f""", pr AS (SELECT o, sum(two * 3.0) AS predicted FROM tr WHERE two > 0 GROUP BY 1), cl AS (SELECT o, model, effort, {", ".join(f"sum({c}) AS {c}" for c in CATEGORIES)} FROM pr JOIN tok ON us > o - {2 * HOUR} AND us <= o GROUP BY 1, 2, 3),
+    lg AS (SELECT o, model, effort, unnest({list(CATEGORIES)}) AS category, unnest([{", ".join(CATEGORIES)}]) AS n FROM cl)
+    SELECT o AS origin_us, model, effort, category, round(predicted, 6) AS predicted, round(n / sum(n) OVER (PARTITION BY o), 6) AS share, round(n / sum(n) OVER (PARTITION BY o) * predicted, 4) AS amount FROM lg JOIN pr USING (o)"""))
 def m17_project_composition(spark, sf):
     t = M.token_trials(D.token_events(spark, sf), ["model"], 6 * HOUR).groupBy("origin_us").agg(F.sum("recent_2h").alias("predicted"))
-    return M.project_composition(D.token_events(spark, sf), t)
+    c = M.project_composition(D.token_events(spark, sf), t)
+    return c.select("origin_us", "model", "effort", "category", F.round("predicted", 6).alias("predicted"), F.round("share", 6).alias("share"), F.round("amount", 4).alias("amount"))
 
 
 CONT = ORIGINS + f", c AS (SELECT o AS origin_us, model, effort, " + ", ".join(f"round(CAST(sum({c}) AS DOUBLE) * 0.25, 6) AS {c}" for c in CATEGORIES) + f" FROM origins JOIN tok ON us > o - {2 * HOUR} AND us <= o GROUP BY 1, 2, 3)"
@@ -450,9 +479,17 @@ def m18_continue_workload(spark, sf):
     return c.select("origin_us", "model", "effort", *(F.round(F.col(x).cast("double"), 6).alias(x) for x in CATEGORIES))
 
 
-@query()
+_WHOLE = " + ".join(CATEGORIES)
+
+
+@query(with_sql("ev tok", ORIGINS + f""", ac AS (SELECT o, model, effort, CAST(sum({_WHOLE}) AS DOUBLE) AS a FROM origins JOIN tok ON us > o AND us <= o + {HOUR} GROUP BY 1, 2, 3),
+    px AS (SELECT '30m' AS context, o, model, effort, CAST(sum({_WHOLE}) AS DOUBLE) * 2 AS p FROM origins JOIN tok ON us > o - {30 * MINUTE} AND us <= o GROUP BY 1, 2, 3, 4 UNION ALL SELECT '2h', o, model, effort, CAST(sum({_WHOLE}) AS DOUBLE) * 0.5 FROM origins JOIN tok ON us > o - {2 * HOUR} AND us <= o GROUP BY 1, 2, 3, 4),
+    ax AS (SELECT c.context, ac.* FROM ac CROSS JOIN (VALUES ('30m'), ('2h')) c(context)), fj AS (SELECT context, o, coalesce(a, 0) AS a, coalesce(p, 0) AS p FROM ax FULL JOIN px USING (context, o, model, effort)),
+    sm AS (SELECT *, sum(a) OVER w AS sa, sum(p) OVER w AS sp FROM fj WINDOW w AS (PARTITION BY context, o)), gr AS (SELECT context, o, sum(a) AS a, sum(p) AS p, sum(abs(a / sa - p / sp)) AS l1 FROM sm WHERE sa > 0 AND sp > 0 GROUP BY 1, 2)
+    SELECT context, count(*) AS targets, round(avg(abs(p - a)), 4) AS mae, round(sum(abs(p - a)) / sum(a), 6) AS wape, round(sum(p - a), 4) AS signed, round(avg(l1), 6) AS share_distance FROM gr GROUP BY 1"""))
 def m19_continuation_scores(spark, sf):
-    return M.continuation_scores(D.token_events(spark, sf), _origins(spark, sf), HOUR, {"30m": 30 * MINUTE, "2h": 2 * HOUR})
+    s = M.continuation_scores(D.token_events(spark, sf), _origins(spark, sf), HOUR, {"30m": 30 * MINUTE, "2h": 2 * HOUR})
+    return s.withColumns({c: F.round(c, 4 if c in ("mae", "signed") else 6) for c in ("mae", "wape", "signed", "share_distance")})
 
 
 def _candidates(spark, sf):
@@ -468,10 +505,11 @@ def m20_cost_candidates(spark, sf):
 
 def _cost(spark, sf):
     # an account's readings are sparse in small tables: outcomes within a wide tolerance still make intervals
-    e = _epochs(spark, sf).where("epoch_id is not null")
+    e = W.pace_estimates(_epochs(spark, sf).where("epoch_id is not null"), ["account", "epoch_id"])
     w = Window.partitionBy("account", "epoch_id").orderBy("us")
-    c = e.select("account", "epoch_id", F.col("us").alias("start_us"), F.lead("us", 3).over(w).alias("end_us"), F.col("used").alias("start_used"), F.lead("used", 3).over(w).alias("end_used"), "resets_us", "source").where("end_us is not null").withColumn("reason", F.lit(None).cast("string"))
-    return M.cost_observations(c, KEYS, D.token_events(spark, sf).withColumnRenamed("k", "_k"))
+    hours = (F.lead("us", 3).over(w) - F.col("us")) / HOUR
+    c = e.select("account", "epoch_id", F.col("us").alias("start_us"), F.lead("us", 3).over(w).alias("end_us"), F.col("used").alias("start_used"), F.lead("used", 3).over(w).alias("end_used"), "resets_us", "source", (F.col("time_ewma_2h") * hours).alias("pace_delta"), (F.col("epoch") * hours).alias("incumbent_delta"))
+    return M.cost_observations(c.where("end_us is not null").withColumn("reason", F.lit(None).cast("string")), KEYS, D.token_events(spark, sf).withColumnRenamed("k", "_k"))
 
 
 COST = ["uncached", "output"]
@@ -489,7 +527,7 @@ def m21_interval_ridge(spark, sf):
 
 @query()
 def m22_cost_evaluation(spark, sf):
-    return M.cost_evaluation(_cost(spark, sf), KEYS, {"categories": COST, "total": ["events"]})
+    return S.cost_evaluation(_cost(spark, sf), KEYS, {"categories": COST, "total": ["events"]}, parent="pace")
 
 
 @query(with_sql("ev tok", "SELECT us // 86400000000 AS day, CAST(sum(uncached+cache_read+cache_write+output+reasoning) AS DOUBLE) AS total, " + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in CATEGORIES) + ", count(DISTINCT CASE WHEN model <> 'error' THEN model || '|' || effort ELSE 'overflow' END) AS cells FROM tok GROUP BY 1"))
@@ -499,9 +537,18 @@ def m23_cost_vectors(spark, sf):
     return M.cost_vectors(cells, ["day"], known).withColumn("cells", F.size("cells").cast("long"))
 
 
-@query()
+@query(with_sql("ev quota", EPOCHS + """, iv AS (SELECT account, epoch_id, us AS a, lead(us, 3) OVER (PARTITION BY account, epoch_id ORDER BY us) AS b FROM ep WHERE epoch_id IS NOT NULL), iw AS (SELECT * FROM iv WHERE b IS NOT NULL),
+    nx AS (SELECT account, epoch_id, a, b, (SELECT min(x.a) FROM iw x WHERE x.account = iw.account AND x.epoch_id = iw.epoch_id AND x.a >= iw.b) AS n FROM iw),
+    ch AS (SELECT account, epoch_id, min(a) AS a FROM iw GROUP BY 1, 2 UNION ALL SELECT ch.account, ch.epoch_id, nx.n FROM ch JOIN nx ON nx.account = ch.account AND nx.epoch_id = ch.epoch_id AND nx.a = ch.a WHERE nx.n IS NOT NULL),
+    co AS (SELECT account, a, b, row_number() OVER (PARTITION BY account ORDER BY a) AS i, row_number() OVER (PARTITION BY account ORDER BY a DESC) AS z FROM ch JOIN nx USING (account, epoch_id, a))""" + f"""
+    SELECT account, 'native' AS role, count(*) AS rows, min(a) AS from_us, max(b) AS to_us FROM co WHERE i <= 20 GROUP BY 1 UNION ALL
+    SELECT account, 'asserted', count(*), min(a) - {60 * 24 * HOUR}, max(b) - {60 * 24 * HOUR} FROM co WHERE z <= 120 AND account IN (SELECT account FROM co WHERE i = 20) GROUP BY 1"""))
 def m24_training_policy(spark, sf):
-    return M.training_rows(_cost(spark, sf), KEYS).groupBy("account", "training").agg(F.count(F.lit(1)).alias("rows"))
+    o = _cost(spark, sf)
+    # what a user asserted of the time before: the same intervals, each twice, 60 days earlier
+    early = o.select(*((F.col(c) - 60 * 24 * HOUR).alias(c) if c in ("start_us", "end_us") else F.col(c) for c in o.columns))
+    rows = S.training_policy(o, KEYS, early.unionByName(early))
+    return rows.groupBy("account", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("start_us").alias("from_us"), F.max("end_us").alias("to_us"))
 
 
 @query(with_sql("ev tok", ", g AS (SELECT model, count(*) AS n, sum(CAST(uncached AS DOUBLE) * uncached) AS aa, sum(CAST(cache_read AS DOUBLE) * cache_read) AS bb, sum(CAST(uncached AS DOUBLE) * cache_read) AS ab FROM tok GROUP BY 1) SELECT model, n, 2::BIGINT AS active, round(ab / sqrt(aa * bb), 6) AS max_cosine, round(4.0 / (2 + 2 * (ab / sqrt(aa * bb)) * (ab / sqrt(aa * bb))), 6) AS participation FROM g"))
@@ -517,23 +564,28 @@ def m26_uncertainty_diagnostics(spark, sf):
 
 @query()
 def m27_regime_report(spark, sf):
-    return M.regime_report(_trials(spark, sf), ["account", "model"])
+    t = _trials(spark, sf)
+    still = t.where("model = 'persistence'").select("account", "epoch_id", "origin_us", F.col("error").alias("control_error"))
+    return M.regime_report(t.join(still, ["account", "epoch_id", "origin_us"]), ["account", "model"], "control_error")
 
 
 @query()
 def m28_composed_evaluation(spark, sf):
-    return M.composed_evaluation(_cost(spark, sf), KEYS, COST, D.token_events(spark, sf), 3 * HOUR)
+    return S.composed_evaluation(_cost(spark, sf), KEYS, COST, D.token_events(spark, sf))
 
 
 @query()
 def m29_assess_selection(spark, sf):
-    return M.assess_selection(_trials(spark, sf), KEYS, "epoch", "persistence")
+    t = S.composed_trials(_cost(spark, sf), KEYS, COST, D.token_events(spark, sf)).where("withheld is null")
+    t = t.select("account", F.col("start_us").alias("origin_us"), F.col("end_us").alias("outcome_us"), "resets_us", F.abs(F.col("forecast_delta") - S.moved()).alias("error"), F.col("forecast_work_loss").alias("loss"), "pace_loss", "incumbent_loss")
+    return S.assess_selection(t, KEYS, LATER, strict=True)
 
 
-@query()
+@query(with_sql("ev quota", ALL_TRIALS + """, l AS (SELECT *, unnest(['lead', 'pace', 'size']) AS dimension, unnest([CAST(CAST(round(lead) AS INT) AS VARCHAR), CASE WHEN rate > 0 THEN 'active' ELSE 'flat' END, CASE WHEN observed < 50 THEN 'low' ELSE 'high' END]) AS label FROM tr)
+    SELECT model, dimension, label, count(*) AS trials, round(avg(abs(predicted - observed)), 6) AS mae FROM l GROUP BY 1, 2, 3"""))
 def m30_composed_breakdowns(spark, sf):
-    dims = {"lead": F.round("lead_hours", 0), "exhausted": F.col("exhausted"), "size": F.when(F.col("observed") < 50, "low").otherwise("high")}
-    return M.composed_breakdowns(_trials(spark, sf), dims)
+    dims = {"lead": F.round("lead_hours", 0).cast("int"), "pace": F.when(F.col("rate") > 0, "active").otherwise("flat"), "size": F.when(F.col("observed") < 50, "low").otherwise("high")}
+    return M.composed_breakdowns(_trials(spark, sf), dims).withColumn("mae", F.round("mae", 6))
 
 
 def _history(spark, sf):
@@ -541,19 +593,25 @@ def _history(spark, sf):
     return M.scenario_history(t, _features(spark, sf, t.select(F.col("outcome_us").alias("origin_us")).distinct()))
 
 
-@query()
+HISTORY = ALL_TRIALS + f""", hw AS (SELECT o.us AS w, o.eu AS x, k.*, e.child IS NOT NULL AS sub FROM (SELECT DISTINCT us, eu FROM o) o JOIN tok k ON k.us > o.eu - {2 * HOUR} AND k.us <= o.eu LEFT JOIN edges e ON e.child = k.session_id),
+    hf AS (SELECT w, x, CAST(sum(total) AS BIGINT) AS tokens, count(DISTINCT CASE WHEN NOT sub THEN session_id END) AS roots, count(DISTINCT CASE WHEN sub THEN session_id END) AS subagents FROM hw GROUP BY 1, 2),
+    hs AS (SELECT account, us AS origin_us, eu AS outcome_us, ou - used AS moved, coalesce(roots, 0) AS roots, coalesce(subagents, 0) AS subagents, coalesce(tokens, 0) AS tokens FROM o LEFT JOIN hf ON hf.w = o.us AND hf.x = o.eu)"""
+
+
+@query(with_sql("ev quota tok edges", HISTORY + " SELECT * FROM hs"))
 def m31_scenario_history(spark, sf):
     return _history(spark, sf).select("account", "origin_us", "outcome_us", "moved", "roots", "subagents", "tokens")
 
 
-@query()
+@query(with_sql("ev quota tok edges", HISTORY + """, fu AS (SELECT account, count(*) AS a, count(*) FILTER (moved > 0) AS b, count(*) FILTER (moved > 0 AND tokens > 0) AS c, count(*) FILTER (moved > 0 AND tokens > 0 AND subagents = 0) AS d FROM hs GROUP BY 1)
+    SELECT account, unnest([0, 1, 2]) AS position, unnest(['moved', 'with_work', 'roots_only']) AS stage, unnest([a, b, c]) AS entered, unnest([b, c, d]) AS passed FROM fu"""))
 def m32_scenario_funnel(spark, sf):
     return M.scenario_funnel(_history(spark, sf), {"moved": F.col("moved") > 0, "with_work": F.col("tokens") > 0, "roots_only": F.col("subagents") == 0}, KEYS)
 
 
 @query()
 def m33_scenario_estimate(spark, sf):
-    return M.scenario_estimate(_history(spark, sf), KEYS, {"lead_hours": 6.0, "roots": 2.0})
+    return S.scenario_estimate(_history(spark, sf), KEYS, {"lead_hours": 6.02, "roots": 2.0, "subagents": 1.0})
 
 
 @query(with_sql("ev tok edges", ORIGINS + f""", h AS (SELECT o, t.model, t.session_id, e.child IS NOT NULL AS sub FROM origins LEFT JOIN tok t ON t.us > o - {2 * HOUR} AND t.us <= o LEFT JOIN edges e ON e.child = t.session_id)
@@ -564,19 +622,32 @@ def m34_recent_pattern(spark, sf):
     return M.recent_pattern(_features(spark, sf, o), cells)
 
 
-@query()
+@query(with_sql("ev tok", PRICES.split(", cells AS")[0] + ORIGINS + f""", cl AS (SELECT o, CASE WHEN model = 'error' THEN 'click' ELSE model END AS model, {", ".join(f"sum({c}) * 0.5 AS {c}" for c in CATEGORIES)} FROM origins JOIN tok ON us > o - {2 * HOUR} AND us <= o GROUP BY 1, 2),
+    lg AS (SELECT o, model, unnest({list(CATEGORIES)}) AS category, unnest([{", ".join(CATEGORIES)}]) AS n FROM cl)
+    SELECT o AS origin_us, CAST(sum(n) AS DOUBLE) AS tokens, round(CAST(sum(n * price) AS DOUBLE), 4) AS value, CAST(coalesce(sum(n) FILTER (price IS NULL), 0) AS DOUBLE) AS unpriced FROM lg LEFT JOIN prices USING (model, category) GROUP BY 1"""))
 def m35_work_plan(spark, sf):
     from .queries_usage import _category_prices
 
     c = M.continue_workload(D.token_events(spark, sf), _origins(spark, sf), 2 * HOUR, HOUR)
     p = M.work_plan(c, {"error": "click"}, _category_prices(spark, sf))
-    return p.select("origin_us", *(F.col(x).cast("double").alias(x) for x in ("tokens", "value", "unpriced")))
+    return p.select("origin_us", F.col("tokens").cast("double").alias("tokens"), F.round(F.col("value").cast("double"), 4).alias("value"), F.col("unpriced").cast("double").alias("unpriced"))
 
 
 @query()
+def m35_plan_fit(spark, sf):
+    """M35 to the end: what the planned work would take of each meter that has a frozen cost, and whether that fits into what is left."""
+    fits = M.interval_ridge(_cost(spark, sf), KEYS, COST).select(*KEYS, "weights")
+    lanes = M.reset_outlook(_epochs(spark, sf), KEYS).join(fits, KEYS)
+    c = M.continue_workload(D.token_events(spark, sf), lanes.select(F.col("us").alias("origin_us")).distinct(), 2 * HOUR, HOUR)
+    return S.plan_fit(c, lanes, KEYS, COST, 1.0)
+
+
+@query(with_sql("ev quota", PACE + f""", l AS (SELECT *, count(*) OVER (PARTITION BY account, epoch_id) AS n, min(us) OVER (PARTITION BY account, epoch_id) AS f FROM pace), z AS (SELECT *, (resets_us - us) / {HOUR}.0 AS hrs, 100 - used AS rest FROM l QUALIFY row_number() OVER (PARTITION BY account ORDER BY us DESC, observation_id DESC) = 1),
+    y AS (SELECT *, CASE WHEN account IN ('click', 'view') THEN 'reader' ELSE 'buyer' END AS owner, CASE WHEN e2 > 0 AND rest - e2 * hrs <= 0 THEN rest / e2 END AS eta, CASE WHEN hrs > 0 THEN e2 / nullif(rest / hrs, 0) END AS pressure, CASE WHEN n < 3 OR us - f < {15 * MINUTE} THEN 'Learning' WHEN used >= 100 THEN 'Exhaust' WHEN e2 <= 0 THEN 'Idle' WHEN rest - e2 * hrs <= 0 THEN 'Exhaust' WHEN rest - e2 * hrs < 10 THEN 'Near' ELSE 'Safe' END AS state FROM z)
+    SELECT owner, account, state, CAST(row_number() OVER (PARTITION BY owner ORDER BY used >= 100 DESC, eta ASC NULLS LAST, pressure DESC NULLS LAST, resets_us ASC NULLS LAST) AS INT) AS rank, CASE WHEN used >= 100 THEN 'Exhausted' WHEN eta IS NOT NULL THEN 'RunsOut' ELSE 'Lasts' END AS status FROM y"""))
 def m36_rank_allowances(spark, sf):
-    o = M.reset_outlook(_epochs(spark, sf), KEYS).withColumn("resets_us", F.lit(None).cast("long"))
-    return M.rank_allowances(o.withColumn("owner", F.lit("all")), "owner").select("account", "state", "rank", "status")
+    o = M.reset_outlook(_epochs(spark, sf), KEYS).withColumn("owner", F.when(F.col("account").isin("click", "view"), "reader").otherwise("buyer"))
+    return M.rank_allowances(o, "owner").select("owner", "account", "state", "rank", "status")
 
 
 @query(with_sql("ev quota", f", l AS (SELECT * FROM quota QUALIFY row_number() OVER (PARTITION BY account ORDER BY us DESC, observation_id DESC) = 1) SELECT account, CASE WHEN {DAY0 + 717 * HOUR} - us > {15 * MINUTE} THEN 'stale' WHEN us > {DAY0 + 717 * HOUR} THEN 'future' WHEN used IS NULL OR used > 100 THEN 'invalid' END AS withheld FROM l"))
@@ -588,28 +659,60 @@ def m37_current_forecasts(spark, sf):
 
 
 @query()
+def m37_current_points(spark, sf):
+    """M37 to the end: the lanes that pass the gate with outlook and horizons."""
+    from ..operators.filters import latest_per_key
+
+    lanes = latest_per_key(D.quota_snapshots(spark, sf).where("used is not null"), KEYS, [F.desc("us"), F.desc("observation_id")], 1)
+    now = DAY0 + 719 * HOUR
+    c = M.current_forecasts(lanes, now, 48 * HOUR, _epochs(spark, sf), KEYS, (0.5, 2.0))
+    return c.select("account", "withheld", "state", F.size("points").alias("horizons"), F.to_json("points").alias("points"))
+
+
+@query(with_sql("ev quota", ALL_TRIALS + """, fi AS (SELECT account, count(*) AS independent FROM ind GROUP BY 1)
+    SELECT account, model, count(*) AS trials, round(avg(abs(predicted - observed)), 6) AS mae, round(sqrt(avg((predicted - observed) * (predicted - observed))), 6) AS rmse, any_value(independent) AS independent FROM tr JOIN fi USING (account) GROUP BY 1, 2"""))
 def m38_forecast_scores(spark, sf):
-    return M.forecast_scores(_trials(spark, sf), ["account", "model"])
+    t = M.forecast_scores(_trials(spark, sf), ["account", "model"])
+    return t.select("account", "model", "trials", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "independent")
 
 
-ISSUED = f", pts AS (SELECT account, us AS o, us + {2 * HOUR} AS t, 100 - used - 1 AS p, resets_us AS r FROM quota WHERE k % 10 = 0 AND used IS NOT NULL), m AS (SELECT p.*, (SELECT arg_min([used, resets_us], us) FROM quota q WHERE q.account = p.account AND q.us BETWEEN t AND t + {30 * MINUTE}) AS f, (SELECT min(us) FROM quota q WHERE q.account = p.account AND q.us BETWEEN t AND t + {30 * MINUTE}) AS fu FROM pts p), s AS (SELECT m.*, (SELECT used FROM quota q WHERE q.account = m.account AND q.us = m.fu ORDER BY observation_id LIMIT 1) AS u, (SELECT resets_us FROM quota q WHERE q.account = m.account AND q.us = m.fu LIMIT 1) AS fr FROM m)"
+AS_OF = DAY0 + 700 * HOUR
+ISSUED = EPOCHS + f""", pts AS (SELECT account, us AS o, us + {2 * HOUR} AS t, resets_us AS r, used AS au, CASE WHEN k % 31 <> 0 THEN 99 - used END AS p, CASE WHEN k % 33 = 0 THEN NULL WHEN k % 37 = 0 THEN us + {3 * HOUR} WHEN k % 41 = 0 THEN us - 1 ELSE collected_us END AS conf FROM quota WHERE used IS NOT NULL),
+    kn AS (SELECT * FROM ep WHERE epoch_id IS NOT NULL AND us <= {AS_OF} AND collected_us <= {AS_OF} QUALIFY row_number() OVER (PARTITION BY account, us ORDER BY observation_id DESC) = 1),
+    j AS (SELECT p.*, a.epoch_id AS e, a.used AS xu, a.resets_us AS xr FROM pts p LEFT JOIN kn a ON a.account = p.account AND a.us = p.o),
+    f AS (SELECT j.*, q.us AS qu, q.used AS qused, q.collected_us AS qc FROM j ASOF LEFT JOIN kn q ON q.account = j.account AND q.epoch_id = j.e AND j.t <= q.us)"""
 
 
-@query(with_sql("ev quota", ISSUED + f" SELECT account, o AS origin_us, CASE WHEN t > {DAY0 + 700 * HOUR} THEN 'Pending' WHEN t > r THEN 'BeyondReset' WHEN fu IS NULL THEN 'NoTimelyReading' WHEN u IS NULL OR u > 100 THEN 'InvalidReading' WHEN fr <> r THEN 'ResetChanged' ELSE 'Matched' END AS state FROM s"))
+@query(with_sql("ev quota", ISSUED + f""" SELECT account, o AS origin_us, CASE WHEN conf IS NULL THEN 'unconfirmed' WHEN conf < o THEN 'invalid-issue-clock' WHEN conf >= t THEN 'issued-at-or-after-target' WHEN conf > {AS_OF} THEN 'confirmation-after-cutoff' WHEN p IS NULL THEN 'point-unsupported'
+    WHEN NOT (au >= 0 AND au < 100) THEN 'anchor-not-forecastable' WHEN t > r THEN 'target-crosses-reset' WHEN t > {AS_OF} THEN 'target-immature' WHEN e IS NULL OR xu <> au OR abs(xr - r) > 1000000 THEN 'anchor-unavailable-or-revised' WHEN qu IS NULL OR qu > t + {5 * MINUTE} THEN 'compatible-target-unavailable'
+    WHEN qc IS NULL THEN 'outcome-collection-unknown' WHEN qc < qu THEN 'invalid-outcome-clock' WHEN qc > qu + {5 * MINUTE} THEN 'outcome-collected-too-late' ELSE 'matched' END AS state FROM f"""))
 def m39_score_issued(spark, sf):
-    p = D.quota_snapshots(spark, sf).where("used is not null").select("account", F.col("us").alias("origin_us"), (F.col("us") + 2 * HOUR).alias("target_us"), (99.0 - F.col("used")).alias("predicted"), "resets_us")
-    return M.score_issued(p, D.quota_snapshots(spark, sf), KEYS, DAY0 + 700 * HOUR, 30 * MINUTE).select("account", "origin_us", "state")
+    return _issued(spark, sf).select("account", "origin_us", "state")
+
+
+def _issued(spark, sf):
+    k = F.col("k")
+    confirmed = F.when(k % 33 == 0, F.lit(None)).when(k % 37 == 0, F.col("us") + 3 * HOUR).when(k % 41 == 0, F.col("us") - 1).otherwise(F.col("collected_us"))
+    p = D.quota_snapshots(spark, sf).where("used is not null").select("account", F.col("us").alias("origin_us"), (F.col("us") + 2 * HOUR).alias("target_us"), "resets_us", F.col("used").alias("anchor_used"), F.when(k % 31 != 0, 99.0 - F.col("used")).alias("predicted"), F.lit(2.0).alias("horizon_hours"), confirmed.alias("confirmed_us"))
+    p = p.withColumns({"lower": F.col("predicted") - 2, "upper": F.col("predicted") + 2})
+    return S.score_issued(p, _epochs(spark, sf), KEYS, AS_OF)
 
 
 @query()
+def m39_issued_scores(spark, sf):
+    return S.issued_scores(_issued(spark, sf), KEYS)
+
+
+@query(with_sql("ev quota", ALL_TRIALS + """ SELECT a.account, a.epoch_id, a.origin_us, a.outcome_us, round(abs(a.predicted - a.observed), 6) AS selected_error, round(abs(b.predicted - b.observed), 6) AS baseline_error FROM tr a JOIN tr b USING (account, epoch_id, origin_us, outcome_us) WHERE a.model = 'time_ewma_2h' AND b.model = 'persistence'"""))
 def j18_match_selected_direct(spark, sf):
     t = _trials(spark, sf).where("model in ('time_ewma_2h', 'persistence')").withColumn("role", F.when(F.col("model") == "persistence", "baseline").otherwise("selected"))
-    return J.match_selected_direct(t, ["account", "epoch_id", "origin_us", "outcome_us"])
+    return J.match_selected_direct(t, ["account", "epoch_id", "origin_us", "outcome_us"]).withColumns({c: F.round(c, 6) for c in ("selected_error", "baseline_error")})
 
 
 @query()
 def m40_threshold_study(spark, sf):
-    return M.threshold_study(_trials(spark, sf), KEYS, {"default": M.Options(), "no-margin": M.Options(margin=0.0, margin_points=0.0)})
+    one = {"default": M.Options(), "no-margin": M.Options(margin=0.0, margin_points=0.0), "wide-margin": M.Options(margin=0.3, margin_points=1.0), "short-blocks": M.Options(block_hours=2.0), "long-blocks": M.Options(block_hours=12.0), "few-groups": M.Options(least_groups=4), "many-groups": M.Options(least_groups=16), "half": M.Options(coverage=0.5), "nine-tenths": M.Options(coverage=0.9)}
+    return M.threshold_study(_trials(spark, sf), KEYS, one)
 
 
 @query(with_sql("ev quota ties", ELIGIBLE + """, f AS (SELECT account, count(*) AS a, count(*) FILTER (starts_with(reason, 'hist')) AS b, count(*) FILTER (starts_with(reason, 'hist') AND used < 100) AS c FROM dec GROUP BY 1)
@@ -619,35 +722,40 @@ def m41_eligibility_funnel(spark, sf):
     return M.eligibility_funnel(d, {"eligible": F.col("eligible"), "below_full": F.col("used") < 100, "known_collection": F.col("collected_us").isNotNull()}, KEYS)
 
 
-@query()
+@query(with_sql("ev quota", ALL_TRIALS + f""", pv AS (SELECT *, CASE WHEN rate > 0 THEN 'active' ELSE 'flat' END AS use, CASE WHEN (resets_us - origin_us) / {HOUR}.0 < 24 THEN 'under-24h' ELSE 'later' END AS reset_lead FROM tr)
+    SELECT model, use, reset_lead, count(*) AS trials, round(avg(abs(predicted - observed)), 6) AS mae FROM pv GROUP BY GROUPING SETS ((model), (model, use), (model, reset_lead))"""))
 def m42_pace_validation(spark, sf):
-    return M.pace_validation(_trials(spark, sf))
+    return M.pace_validation(_trials(spark, sf)).withColumn("mae", F.round("mae", 6))
 
 
 @query()
 def m43_rolling_joint_comparison(spark, sf):
-    return M.rolling_joint_comparison(_cost(spark, sf), KEYS, {"categories": COST, "events": ["events"]})
+    return S.rolling_joint_comparison(_cost(spark, sf), KEYS, {"categories": COST, "events": ["events"], "all-categories": list(CATEGORIES), "cache": ["cache_read", "cache_write"]})
 
 
 @query()
 def m44_transfer_evaluation(spark, sf):
-    return M.transfer_evaluation(_cost(spark, sf), "account", COST)
+    return S.transfer_evaluation(_cost(spark, sf), ["account"], "epoch_id", COST, 8)
 
 
-@query(with_sql("ev", ", a AS (SELECT user_id, CAST(sum(inc) AS DOUBLE) AS x, CAST(sum(k) AS DOUBLE) AS y FROM ev GROUP BY 1) SELECT count(*) AS pairs, round(sum(x * y) / sum(x * x), 9) AS scale, round(corr(x, y), 6) AS correlation FROM a"))
+@query()
 def m45_aligned_window_study(spark, sf):
-    a = D.events(spark, sf).groupBy("user_id").agg(F.sum("inc").cast("double").alias("x"), F.sum("k").cast("double").alias("y"))
-    return M.aligned_window_study(a, "x", "y").withColumns({"scale": F.round("scale", 9), "correlation": F.round("correlation", 6)})
+    o = _cost(spark, sf)
+    # the second meter over the same work moves twice as far, and a point more every other hour
+    more = F.floor(F.col("start_us") / HOUR) % 2
+    p = o.select("account", "start_us", "end_us", "resets_us", *COST, F.col("lower").alias("left_lower"), F.col("upper").alias("left_upper"), S.moved().alias("left_moved"), (2 * F.col("lower") + more).alias("right_lower"), (2 * F.col("upper") + more).alias("right_upper"), (2 * S.moved() + more).alias("right_moved"))
+    return S.aligned_window_study(p, KEYS, COST)
 
 
 @query()
 def m46_tt_evaluation(spark, sf):
-    return M.tt_evaluation(_cost(spark, sf), KEYS, COST)
+    return S.tt_evaluation(_cost(spark, sf), KEYS, COST)
 
 
 @query()
 def m47_session_quota_evaluation(spark, sf):
-    return M.session_quota_evaluation(_hurdles(spark, sf).withColumnRenamed("model", "account"), _cost(spark, sf), KEYS)
+    h = M.activity_hurdle(D.token_events(spark, sf).withColumn("all", F.lit("all")), ["all"], HOUR)
+    return S.session_quota_evaluation(h, _cost(spark, sf), KEYS, HOUR)
 
 
 @query(with_sql("ev quota", EPOCHS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY account, epoch_id ORDER BY us) AS i, count(*) OVER (PARTITION BY account, epoch_id) AS c, min(us) OVER (PARTITION BY account, epoch_id) AS f FROM ep WHERE epoch_id IS NOT NULL),
@@ -658,8 +766,9 @@ def m48_censoring_study(spark, sf):
 
 
 def _paths(spark, sf):
-    b = D.token_events(spark, sf).groupBy("model", (F.ceil(F.col("us") / (5 * MINUTE)) * 5 * MINUTE).alias("at")).agg(F.sum("total").cast("long").alias("t"))
-    return M.resample_paths(b, ["model"], 64, 24)
+    b = D.token_events(spark, sf).groupBy("model", (F.ceil(F.col("us") / (5 * MINUTE)) * 5 * MINUTE).alias("at")).agg(F.sum("total").cast("long").alias("t"), *(F.sum(c).cast("long").alias(c) for c in CATEGORIES))
+    days = b.select("model", (F.floor(F.col("at") / D.DAY_US) * D.DAY_US).alias("origin_us")).distinct()
+    return M.resample_paths(b, days, ["model"], 16, 24)
 
 
 @query()
@@ -669,7 +778,7 @@ def m49_resample_paths(spark, sf):
 
 @query()
 def m50_first_crossing(spark, sf):
-    return M.first_crossing(_paths(spark, sf), ["model"], 100_000.0)
+    return M.first_crossing(_paths(spark, sf), ["model", "origin_us"], 100_000.0)
 
 
 # --- streams over the same rows, as batches

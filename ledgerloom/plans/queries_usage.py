@@ -469,8 +469,9 @@ def j22_agent_tree(spark, sf):
 
 @query("""WITH RECURSIVE edges AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer),
     threads AS (SELECT 'N' || n_nationkey AS thread, n_name AS title FROM nation UNION ALL SELECT 'C' || c_custkey, c_name FROM customer),
-    w AS (SELECT thread, thread AS start FROM threads WHERE contains(lower(title), '00001') UNION SELECT e.parent, w.start FROM w JOIN edges e ON e.child = w.thread)
-    SELECT w.thread, bool_or(w.thread = w.start) AS matched, false AS cyclic, any_value(e.parent) AS parent, false AS several_parents, any_value(t.thread) IS NULL AS missing FROM w LEFT JOIN edges e ON e.child = w.thread LEFT JOIN threads t ON t.thread = w.thread GROUP BY w.thread""")
+    w AS (SELECT thread, thread AS start FROM threads WHERE contains(lower(title), '00001') UNION SELECT e.parent, w.start FROM w JOIN edges e ON e.child = w.thread),
+    r AS (SELECT thread, thread AS top FROM w UNION SELECT r.thread, e.parent FROM r JOIN edges e ON e.child = r.top)
+    SELECT w.thread, bool_or(w.thread = w.start) AS matched, false AS cyclic, any_value(e.parent) AS parent, (SELECT min(top) FROM r WHERE r.thread = w.thread AND top NOT IN (SELECT child FROM edges)) AS root, false AS several_parents, any_value(t.thread) IS NULL AS missing FROM w LEFT JOIN edges e ON e.child = w.thread LEFT JOIN threads t ON t.thread = w.thread GROUP BY w.thread""")
 def j23_browse_threads(spark, sf):
     n, c = D.read(spark, sf, "nation"), D.read(spark, sf, "customer")
     threads = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("thread"), F.col("n_name").alias("title")).unionByName(c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("thread"), F.col("c_name").alias("title")))

@@ -176,4 +176,4 @@ SQL = {
 def with_sql(names: str, body: str) -> str:
     """A query over the named tables; body may start with further `, name AS (...)` tables."""
     text = "WITH RECURSIVE " + ", ".join(SQL[n] for n in names.split()) + " " + body
-    return re.sub(r"\bat\b", '"at"', text)  # DuckDB reserves the word
+    return re.sub(r"\bat\b(?=(?:[^']*'[^']*')*[^']*$)", '"at"', text)  # DuckDB reserves the word; quoted text stays

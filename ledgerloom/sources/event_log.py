@@ -87,16 +87,19 @@ def with_time(records: DataFrame) -> DataFrame:
     return records.withColumn("us", us).withColumn("quality", quality)
 
 
+#: The counters' names in a log, and ours.
+USAGE = {"input": "input_tokens", "cached": "cached_input_tokens", "cache_write": "cache_write_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "total": "total_tokens"}
+_COUNTS = f"struct<{', '.join(f'{c}: string' for c in USAGE.values())}>"
+
+
 def _usage(path: str) -> Column:
-    get = lambda c: F.get_json_object("payload", f"$.info.{path}.{c}").try_cast("long")
-    names = {"input": "input_tokens", "cached": "cached_input_tokens", "cache_write": "cache_write_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "total": "total_tokens"}
-    some = F.get_json_object("payload", f"$.info.{path}").isNotNull()
-    return F.when(some, F.struct(*(get(c).alias(n) for n, c in names.items())))
+    each = F.col(f"_info.info.{path}")
+    return F.when(each.isNotNull(), F.struct(*(each[c].try_cast("long").alias(n) for n, c in USAGE.items())))
 
 
 def extract_token_observations(records: DataFrame) -> DataFrame:
     """Nullable total and last counters of token_count events."""
-    r = with_time(records.where("nested = 'token_count'"))
+    r = with_time(records.where("nested = 'token_count'")).withColumn("_info", F.from_json("payload", f"info struct<total_token_usage: {_COUNTS}, last_token_usage: {_COUNTS}>"))  # all counters by one parse
     keep = [c for c in ("owner", "model", "effort") if c in records.columns]
     return r.select("file", "ordinal", *keep, "us", "quality", _usage("total_token_usage").alias("total"), _usage("last_token_usage").alias("last"))
 

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import adapters as D
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+from .shared import scratch  # noqa: F401
 
 
 def session_uuid(user: Column) -> Column:

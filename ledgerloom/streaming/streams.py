@@ -66,19 +66,34 @@ def split_late(events: DataFrame, delay_us: int, keys: list[str], time: str = "u
     return events.withColumn("late", F.coalesce(F.col(time) < F.max(time).over(w) - delay_us, F.lit(False)))
 
 
-def route_late(delay_us: int, main: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], time: str = "us") -> Callable[[DataFrame, int], None]:
-    """T4 in a stream: a foreachBatch function that keeps late rows in a table of their own, before any watermark drops them."""
-    newest = [0]
+class LateProcessor(StatefulProcessor):
+    """T4 as a stream: the newest time of each key is state, so it outlives a restart; rows keep their order of arrival."""
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        df = df.persist()
-        limit = newest[0] - delay_us
-        late(df.where(F.col(time) < limit), epoch)
-        main(df.where(F.col(time) >= limit), epoch)
-        newest[0] = max(newest[0], df.agg(F.max(time)).first()[0] or 0)
-        df.unpersist()
+    def __init__(self, delay_us: int):
+        self.delay = delay_us
 
-    return batch
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "us long")
+
+    def handleInputRows(self, key, rows, timer):
+        parts = [r for r in rows if len(r)]
+        if not parts:
+            return
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        out = []
+        for ident, us in pd.concat(parts).sort_values("arrival", kind="stable")[["event_id", "us"]].itertuples(index=False):
+            out.append((key[0], int(ident), int(us), newest is not None and us < newest - self.delay))
+            newest = int(us) if newest is None else max(newest, int(us))
+        self.newest.update((newest,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_late(events: DataFrame, delay_us: int) -> DataFrame:
+    """T4 as a stream: events (user_id, event_id, arrival, us) with `late`; all rows stay, and the sink parts them, before any watermark drops them."""
+    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=LateProcessor(delay_us), outputStructType="user_id long, event_id long, us long, late boolean", outputMode="Append", timeMode="None")
 
 
 def stream_usage(events: DataFrame, time: str, width: str, delay: str, amount: str = "total") -> DataFrame:
@@ -121,49 +136,100 @@ def quota_alerts(readings: DataFrame, keys: list[str], thresholds: list[int]) ->
 
 
 class AlertProcessor(StatefulProcessor):
-    """T8 as a stream: low alerts once for each window and threshold."""
+    """T8 as a stream: the batch rule with the last reading, the generation of windows of unknown reset, and what was sent as state."""
 
     def __init__(self, thresholds: list[int]):
         self.thresholds = sorted(thresholds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getMapState("sent", "window long, threshold int", "us long")
+        self.last = handle.getValueState("last", "remaining double, resets long, generation int")
+        self.sent = handle.getMapState("sent", "window string, alert string, threshold int", "us long")
 
     def handleInputRows(self, key, rows, timer):
         parts = [r for r in rows if len(r)]
         if not parts:
             return
+        before, resets0, generation = self.last.get() if self.last.exists() else (None, None, 0)
         out = []
-        for us, used, resets in pd.concat(parts).sort_values("us", kind="stable")[["us", "used", "resets_us"]].itertuples(index=False):
+        for us, used, resets in pd.concat(parts).sort_values(["us", "observation_id"], kind="stable")[["us", "used", "resets_us"]].itertuples(index=False):
             if used != used:
                 continue
-            t = next((t for t in self.thresholds if 100 - used <= t), None)
-            if t is not None and not self.sent.containsKey((int(resets), t)):
-                self.sent.updateValue((int(resets), t), (int(us),))
-                out.append((key[0], int(us), int(resets), t, 100.0 - used))
-        yield pd.DataFrame(out, columns=["account", "us", "window", "threshold", "remaining"])
+            left, resets = 100.0 - used, None if pd.isna(resets) else int(resets)
+            back = before is not None and left > before + 5
+            blind = back and resets is None and resets0 is None
+            generation += blind
+            window = f"generation-{generation}" if resets is None else str(resets)
+            alerts = [("refreshed", 0)] if blind or (back and None not in (resets, resets0) and resets != resets0) else []
+            near = next((t for t in self.thresholds if left <= t), None)
+            for alert, threshold in alerts + ([("low", near)] if near is not None else []):
+                if not self.sent.containsKey((window, alert, threshold)):
+                    self.sent.updateValue((window, alert, threshold), (int(us),))
+                    out.append((key[0], int(us), window, alert, threshold, left))
+            before, resets0 = left, resets
+        if before is not None:
+            self.last.update((before, resets0, int(generation)))
+        yield pd.DataFrame(out, columns=["account", "us", "window", "alert", "threshold", "remaining"])
 
     def close(self) -> None:
         pass
 
 
 def stream_quota_alerts(readings: DataFrame, thresholds: list[int]) -> DataFrame:
-    return readings.groupBy("account").transformWithStateInPandas(statefulProcessor=AlertProcessor(thresholds), outputStructType="account string, us long, window long, threshold int, remaining double", outputMode="Append", timeMode="None")
+    return readings.groupBy("account").transformWithStateInPandas(statefulProcessor=AlertProcessor(thresholds), outputStructType="account string, us long, window string, alert string, threshold int, remaining double", outputMode="Append", timeMode="None")
+
+
+class HealthProcessor(StatefulProcessor):
+    """T9 as a stream: the last state of each key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "state string")
+
+    def handleInputRows(self, key, rows, timer):
+        parts = [r for r in rows if len(r)]
+        if not parts:
+            return
+        before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for ident, state in pd.concat(parts).sort_values("event_id", kind="stable")[["event_id", "state"]].itertuples(index=False):
+            if state in BAD and state != before:
+                out.append((key[0], int(ident), state))
+            before = state
+        self.last.update((before,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "state"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_health_alerts(status: DataFrame) -> DataFrame:
+    """T9 as a stream: status (user_id, event_id, state)."""
+    return status.groupBy("user_id").transformWithStateInPandas(statefulProcessor=HealthProcessor(), outputStructType="user_id long, event_id long, state string", outputMode="Append", timeMode="None")
+
+
+BAD = ("Unavailable", "Error")
 
 
 def health_alerts(status: DataFrame, key: str, order: str) -> DataFrame:
     """Entries into a bad state; repeats are quiet until the state changes."""
     before = F.lag("state").over(Window.partitionBy(key).orderBy(order))
-    return status.withColumn("_b", before).where(F.col("state").isin("Unavailable", "Error") & ~F.col("state").eqNullSafe(F.col("_b"))).drop("_b")
+    return status.withColumn("_b", before).where(F.col("state").isin(*BAD) & ~F.col("state").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-def refresh_resets(history: DataFrame, batch: DataFrame, keys: list[str], tail: int = 512) -> DataFrame:
-    """Resets of the streams that a batch touches, from each stream's last rows and the batch."""
-    from ..operators.filters import latest_per_key
+def refresh_resets(history: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The resets that a batch's streams show from its first row on.  Only these streams are rebuilt, from all of their history,
+    so readings that come late change what follows them as well."""
     from ..operators.windows import detect_resets
 
-    touched = batch.select(*keys).distinct()
-    old = latest_per_key(history.join(touched, keys, "left_semi"), keys, [F.desc("us"), F.desc("observation_id")], tail)
-    return detect_resets(old.unionByName(batch)).join(batch.select("us", "account").distinct(), ["us", "account"], "left_semi")
+    touched = batch.groupBy(*keys).agg(F.min("us").alias("_from"))
+    old = history.join(touched.select(*keys), keys, "left_semi")
+    return detect_resets(old.unionByName(batch)).join(touched, keys).where(F.col("us") >= F.col("_from")).drop("_from")
 
 
+def keep_resets(history: Callable[[], DataFrame], keys: list[str], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """T10 in a stream: a foreachBatch function; history() reads what was there before the batch, and the sink replaces each
+    touched stream's resets from the batch's first row on, so a repeated batch does no harm."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        sink(refresh_resets(history(), df, keys), epoch)
+
+    return batch
