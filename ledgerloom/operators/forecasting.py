@@ -525,12 +525,17 @@ def continuation_scores(tokens: DataFrame, origins: DataFrame, horizon_us: int,
     return reduce(DataFrame.unionByName, out)
 
 
-def work_plan(continued: DataFrame, relabel: dict[str, str], prices: DataFrame) -> DataFrame:
-    """Continued work after an edit of model labels, valued anew.  prices: model, category, price."""
+def work_plan(continued: DataFrame, relabel: dict[str, str], prices: DataFrame, weights: DataFrame | None = None, reference: float = 1e6) -> DataFrame:
+    """Continued work after an edit of model labels, valued anew.  prices: model, category, price; weights: category, weight, by which the
+    edited work is scored as well, per `reference` weighted tokens."""
     swap = F.coalesce(*(F.when(F.col("model") == a, F.lit(b)) for a, b in relabel.items()), F.col("model"))
     cells = continued.withColumn("model", swap).groupBy("origin_us", "model", "effort").agg(*(F.sum(c).alias(c) for c in CATEGORIES))
     long = cells.unpivot(["origin_us", "model", "effort"], list(CATEGORIES), "category", "tokens").join(prices, ["model", "category"], "left")
-    return long.groupBy("origin_us").agg(F.sum("tokens").cast("decimal(38,9)").alias("tokens"), F.sum((F.col("tokens") * F.col("price")).cast("decimal(38,9)")).alias("value"), F.sum(F.when(F.col("price").isNull(), F.col("tokens")).otherwise(0)).cast("decimal(38,9)").alias("unpriced"))
+    sums = [F.sum("tokens").cast("decimal(38,9)").alias("tokens"), F.sum((F.col("tokens") * F.col("price")).cast("decimal(38,9)")).alias("value"), F.sum(F.when(F.col("price").isNull(), F.col("tokens")).otherwise(0)).cast("decimal(38,9)").alias("unpriced")]
+    if weights is not None:
+        long = long.join(weights, "category", "left")
+        sums.append((F.sum(F.col("tokens").cast("double") * F.col("weight")) / reference).alias("score"))
+    return long.groupBy("origin_us").agg(*sums)
 
 
 # --- cost of work in meter points

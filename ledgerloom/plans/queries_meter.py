@@ -624,13 +624,14 @@ def m34_recent_pattern(spark, sf):
 
 @query(with_sql("ev tok", PRICES.split(", cells AS")[0] + ORIGINS + f""", cl AS (SELECT o, CASE WHEN model = 'error' THEN 'click' ELSE model END AS model, {", ".join(f"sum({c}) * 0.5 AS {c}" for c in CATEGORIES)} FROM origins JOIN tok ON us > o - {2 * HOUR} AND us <= o GROUP BY 1, 2),
     lg AS (SELECT o, model, unnest({list(CATEGORIES)}) AS category, unnest([{", ".join(CATEGORIES)}]) AS n FROM cl)
-    SELECT o AS origin_us, CAST(sum(n) AS DOUBLE) AS tokens, round(CAST(sum(n * price) AS DOUBLE), 4) AS value, CAST(coalesce(sum(n) FILTER (price IS NULL), 0) AS DOUBLE) AS unpriced FROM lg LEFT JOIN prices USING (model, category) GROUP BY 1"""))
+    SELECT o AS origin_us, CAST(sum(n) AS DOUBLE) AS tokens, round(CAST(sum(n * price) AS DOUBLE), 4) AS value, CAST(coalesce(sum(n) FILTER (price IS NULL), 0) AS DOUBLE) AS unpriced, round(CAST(sum(n * CASE category WHEN 'uncached' THEN 1.0 WHEN 'cache_read' THEN 0.25 WHEN 'cache_write' THEN 2.0 ELSE 4.0 END) AS DOUBLE) / 1000000, 6) AS score FROM lg LEFT JOIN prices USING (model, category) GROUP BY 1"""))
 def m35_work_plan(spark, sf):
     from .queries_usage import _category_prices
 
     c = M.continue_workload(D.token_events(spark, sf), _origins(spark, sf), 2 * HOUR, HOUR)
-    p = M.work_plan(c, {"error": "click"}, _category_prices(spark, sf))
-    return p.select("origin_us", F.col("tokens").cast("double").alias("tokens"), F.round(F.col("value").cast("double"), 4).alias("value"), F.col("unpriced").cast("double").alias("unpriced"))
+    weights = spark.createDataFrame(list(zip(CATEGORIES, (1.0, 0.25, 2.0, 4.0, 4.0))), "category string, weight double")
+    p = M.work_plan(c, {"error": "click"}, _category_prices(spark, sf), weights)
+    return p.select("origin_us", F.col("tokens").cast("double").alias("tokens"), F.round(F.col("value").cast("double"), 4).alias("value"), F.col("unpriced").cast("double").alias("unpriced"), F.round("score", 6).alias("score"))
 
 
 @query()
