@@ -6,9 +6,11 @@ binary search with a greedy check.  The check runs on block sums: digest prefixe
 Only blocks in which a cut can fall are split further (by two more digits), until the capacity and the cuts
 are exact, so the driver holds a bounded number of sums however many groups there are.
 
-Defined results: a null text has size 1 and the digest '' (all null texts are one group, which comes first);
-repeated rows are rows of the same group; an empty table gives no rows; a group larger than a fair share
-fills a shard alone, and shards may then stay empty.
+Defined results: a null text has size 1 and the digest '' (all null texts are one group, which comes first; the empty
+text is another group); repeated rows are rows of the same group; an empty table gives no rows; a group larger than
+a fair share fills a shard alone, and shards may then stay empty; of capacities the smallest is taken, so there are no
+ties; rows of a shard are numbered in any order; a very long text counts with all its bytes; other columns of docs, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -87,6 +89,7 @@ def shard_rows(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: st
         (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(t.cast("binary")), F.lit("")).alias("digest"),
+        F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("_draw"),  # written, so it stays the same
     )
     slim = written(slim, "shard-rows")
     groups = written(slim.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "shard-groups")
@@ -96,10 +99,10 @@ def shard_rows(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: st
     for c in cuts:
         shard = shard + (F.col("digest") >= F.lit(c)).cast("int")
     width = max(1, total // min(SLOT_ROWS, max(500, total // 512)))
-    rows = slim.withColumn("shard", shard).withColumn("_b", F.pmod(F.xxhash64("_id", "digest"), F.lit(width)).cast("int"))
+    rows = slim.withColumn("shard", shard).withColumn("_b", F.pmod("_draw", F.lit(width)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_id", "digest")))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_draw", "_id", "digest")))
     out = numbered.join(offsets, ["shard", "_b"])
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "digest", "shard", (F.col("_before") + F.col("_r") - 1).cast("long").alias("slot"))
