@@ -4,10 +4,13 @@ Each rule's regular expression is turned into a Boolean trigram query: an OR of
 trigrams that every match must hold.  The index keeps postings (trigram, document) for the trigrams that
 any query asks for, is intersected per clause, and only documents that pass are verified by the expression
 itself, over the whole text.  A rule without a mandatory trigram (a bare hex run) scans every document.
+Which rules a document passed is brought to its text: by broadcast if at most SMALL documents passed any, so
+that no text is shuffled, else by a join that deals rows of one key over several tasks.
 
 Defined results: a null text counts as empty and has no span; repeated rows are scanned alike and each
-keeps its own result; a null doc_id is an ordinary key; an empty table gives an empty result.
-Positions are code points, end exclusive.
+keeps its own result, as do rows that share an id only; a null doc_id is an ordinary one; spans that start together
+come in the order of their rules; a very long text is scanned whole; other columns of docs, whatever their
+names, are not read; an empty table gives an empty result.  Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted_join, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,6 +47,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 MOST_STRINGS = 64
+#: Documents (two longs and an int each) of which the list may be broadcast.
+SMALL = 200_000
 
 
 def _runs(nodes) -> list[set[str] | None]:
@@ -109,7 +116,7 @@ def build_index(docs: DataFrame, key: str, text: str, rules=RULES) -> DataFrame:
 
 
 def candidates(postings: DataFrame, key: str, rules=RULES) -> DataFrame:
-    """(key, rules): a bit for each rule one of whose clauses is wholly present."""
+    """(key, rules, times): a bit for each rule one of whose clauses is wholly present; times: rows of the key."""
     clauses = [(i, sorted(c)) for i, r in enumerate(rules) for c in trigram_query(r.pattern)]
     uses: dict[str, list[tuple[int, int]]] = {}
     for n, (_, c) in enumerate(clauses):
@@ -119,8 +126,10 @@ def candidates(postings: DataFrame, key: str, rules=RULES) -> DataFrame:
     lookup = F.create_map(*(x for t, a in sorted(pairs.items()) for x in (F.lit(t), a)))
     full = F.array(*(F.lit((1 << len(c)) - 1).cast("long") for _, c in clauses))
     rule_of = F.array(*(F.lit(1 << i) for i, _ in clauses))
-    hits = postings.select(key, F.explode(lookup[F.col("trigram")]).alias("u")).groupBy(key, F.col("u.clause").alias("clause")).agg(F.bit_or("u.bit").alias("bits"))
-    return hits.where(F.col("bits") == full[F.col("clause")]).groupBy(key).agg(F.bit_or(rule_of[F.col("clause")]).alias("rules"))
+    hits = postings.select(key, F.explode(lookup[F.col("trigram")]).alias("u")).groupBy(key, F.col("u.clause").alias("clause")).agg(F.bit_or("u.bit").alias("bits"), F.count(F.lit(1)).alias("uses"))
+    # a row of the key uses each of the clause's trigrams once
+    full_ones = hits.where(F.col("bits") == full[F.col("clause")]).withColumn("times", F.expr("uses div bit_count(bits)"))
+    return full_ones.groupBy(key).agg(F.bit_or(rule_of[F.col("clause")]).alias("rules"), F.max("times").alias("times"))
 
 
 def _spans(text: Column, i: int, rule: Rule) -> Column:
@@ -139,9 +148,11 @@ def _spans(text: Column, i: int, rule: Rule) -> Column:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """docs' rows as (id, text, spans): all matches of all rules, by start and then by rule order."""
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    passed = candidates(build_index(base, "_key", "_text", rules), "_key", rules)
-    joined = base.join(passed.hint("shuffle_hash"), "_key", "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), text.alias("_text"))
+    passed = written(candidates(build_index(base, "_key", "_text", rules), "_key", rules), "secret-candidates")
+    n, total = passed.agg(F.count(F.lit(1)), F.sum("times")).first()
+    joined = base.join(F.broadcast(passed), "_key", "left") if n <= SMALL else salted_join(base, passed, ["_key"], "times", total, F.monotonically_increasing_id())
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = [_spans(F.col("_text"), i, r) if not trigram_query(r.pattern) else F.when(F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << i) != 0, _spans(F.col("_text"), i, r)).otherwise(none) for i, r in enumerate(rules)]
     return joined.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.array_sort(F.concat(*each)).alias("spans"))
