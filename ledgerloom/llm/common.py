@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,7 @@ HOT_SHARE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +44,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -177,14 +179,39 @@ def among(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_hold(rows: DataFrame, hash_col: str):
-    """A function of a hash column: whether rows may hold it.  Texts of which nothing is to be joined stay where they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(rows, hash_col))
+def with_flag(docs: DataFrame, h: Column, wanted: DataFrame, hash_col: str, flag: str, bits: int = 24) -> DataFrame:
+    """docs with a flag: whether `wanted` may hold the hash h.  Texts of which nothing is to be joined stay where they are.
+
+    The bitmap is a table of at most 2 ** (bits - 6) pairs of longs, however many rows `wanted` has, and so is broadcast.
+    """
+    split = lambda c: (F.shiftrightunsigned(c, 64 - bits), c.bitwiseAND((1 << bits) - 1))
+    words = wanted.select(F.explode(F.array(*split(F.col(hash_col)))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    words = written(words, "bitmap")
+    out, tests = docs, []
+    for bit in split(h):
+        at, has = free_name(out, "_at"), free_name(out, "_bits")
+        out = out.withColumn(at, F.shiftright(bit, 6)).join(F.broadcast(words.select(F.col("at").alias(at), F.col("bits").alias(has))), at, "left").drop(at)
+        tests.append(F.coalesce(F.call_function("shiftrightunsigned", F.col(has), bit.bitwiseAND(63).cast("int")).bitwiseAND(1) != 0, F.lit(False)))
+    return out.withColumn(flag, tests[0] & tests[1]).select(*(F.col(f"`{c}`") for c in docs.columns), flag)
+
+
+BATCH_ROWS = 1_000
 
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(among(shared.value, h.to_numpy().view(np.uint64)))
 
-    return F.pandas_udf(test, "boolean")
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session: texts are long, and the JVM builds a batch before Python can cut it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+@cache
+def _trim():
+    """The C library's way to give freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,3 +220,4 @@ def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches
     finally:
         pa.default_memory_pool().release_unused()
+        _trim()(0)

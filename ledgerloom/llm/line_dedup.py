@@ -1,31 +1,32 @@
 """Line deduplication by pairwise alignment.
 
 Documents with equal lines (blank ones left out) form a class; all but its first document, by id, lose every
-line.  The first ones are aligned with every earlier one with which they share a rare line: rare within the
-pair, that is, one that stands once in each of the two documents and has LEAST_CHARS characters.  (Rarity by
-corpus frequency would lose large groups of copies, whose lines are all frequent.)  A pair is aligned by
-patience diff over both full line lists: common lines at both ends of a range are matched, the longest
-increasing sequence of its rare lines cuts the rest into ranges, and so on.  Matched lines are deleted from
-the later document.
-
-Not every pair has to be aligned for that.  Each document is aligned first with the first holders of its rare
-lines.  A line that is then still there can only be deleted with an earlier document that holds it too, or,
-for a short line, that holds it beside the same neighbour (a short line is matched only from a matched
-neighbour or an end of both documents).  So only documents with such lines are aligned further, and only with
-the holders of these lines or those of their rare lines, whichever are fewer.
+line.  The first ones are aligned in pairs, an earlier with a later one, that share a run of lines.  The run
+that starts at a line is the shortest one from there with LEAST_WORDS words, so often that line alone; every
+block that can be deleted holds one.  A run is rare if at most RARE of the first documents hold it: they
+are all aligned with each other.  A run in more documents is boilerplate or a passage that many share: each of
+them is aligned with the first one, which holds all of the run, so that pairs grow with the number of lines and
+not with the square of a passage's holders.
+
+A pair is aligned by patience diff over both whole line lists: common lines at both ends of a range are matched,
+the longest increasing sequence of lines that stand once in either range cuts the rest into ranges, and so on.
+Matched lines that follow each other in both documents are a block, and blocks of LEAST_WORDS words or more
+are deleted from the later document.  So a lone footer or heading stays, and a passage goes.
 
 Defined results: lines are compared without surrounding white space; blank lines never match, and a blank
-line is deleted only between two deleted lines.  Null text: no lines, stays null.  Repeated rows (same id and
-text) are one document and get the same edits.  Documents with a null id come last, by a hash of their text.
-A document all of whose lines are deleted keeps an empty text.
+line is deleted only between two deleted lines.  Of equally long increasing sequences that counts whose ends
+come last.  Null text: no lines, stays null; so does an empty text.  Repeated rows (same id and text) are one
+document and get the same edits; rows that share an id but not their text are two documents, in the order of a
+hash of their text.  Documents with a null id come last.  A document all of whose lines are deleted keeps an empty
+text.  Very long texts are aligned whole.  A column of docs named `_lines_removed` is replaced by the
+result; other names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import struct
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, salted_join, slices, written
+from .common import free_name, others, removed, salted_join, slices, tidy, with_flag, written
 
-LEAST_CHARS = 12
+LEAST_WORDS = 20
+RARE = 16
 MARKS = "doc long, mark long, at array<int>"
-#: Holders of a key in one cell of the grid over which pairs of its holders are dealt.
-CELL = 2000
-#: Stand before a document's first and after its last line.
-START, END = 2, 4
+#: A line's hash holds its number of words, up to so many, in its last bits.
+COUNTED = 255
 
 
 def _order(id_col: str) -> Column:
@@ -49,104 +49,90 @@ def _order(id_col: str) -> Column:
 
 
 def line_hashes(text: str) -> list[int]:
-    """A hash for each line, 0 for a blank one; odd if the line is long enough to be rare."""
+    """A hash for each line, 0 for a blank one; its last byte is the number of words."""
     out = []
     for line in text.split("\n"):
-        line = line.strip()
-        h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) >> 1 & ~1 if line else 0
-        out.append(max(h, 8) | (len(line) >= LEAST_CHARS) if line else 0)
+        words = len(line.split())
+        out.append(xxhash.xxh3_64_intdigest(line.strip().encode("utf-8", "replace")) >> 1 & ~COUNTED | min(words, COUNTED) if words else 0)
     return out
 
 
-def _key(x: int, y: int) -> int:
-    return xxhash.xxh3_64_intdigest(struct.pack("<qq", x, y)) >> 1 & ~1
-
-
-def line_keys(lines: list[int], at: Iterable[int] | None = None) -> dict[int, bool]:
-    """What an earlier document must hold too if one of the lines (those at `at`) is to be matched with it; true for rare lines.
-
-    A long line stands for itself, a short one for itself beside either neighbour.
-    """
-    n, out = len(lines), {}
-    for p in range(n) if at is None else at:
-        h = lines[p]
-        if h & 1:
-            out[h] = h not in out
-        else:
-            out[_key(lines[p - 1] if p else START, h)] = False
-            out[_key(h, lines[p + 1] if p + 1 < n else END)] = False
+def run_keys(lines: list[int]) -> set[int]:
+    """A hash for the shortest run of LEAST_WORDS words from each line (lines: without blank ones)."""
+    out, end, words = set(), 0, 0
+    for i, h in enumerate(lines):
+        while end < len(lines) and words < LEAST_WORDS:
+            words += lines[end] & COUNTED
+            end += 1
+        if words < LEAST_WORDS:
+            break
+        out.add(h if end == i + 1 else xxhash.xxh3_64_intdigest(np.array(lines[i:end], dtype=np.int64).tobytes()) >> 1)
+        words -= h & COUNTED
     return out
 
 
-def patience_blocks(mine: list[int], other: list[int], same: list[int], anchor: list[bool]) -> list[int]:
-    """Positions in the later document that lie in aligned blocks.
-
-    mine: its positions with a line of the earlier document, ascending; other: the first position of that line
-    there; same: how often the line stands there; anchor: whether it is long enough to be rare.
-    """
-    times: dict[int, int] = {}
-    for o in other:
-        times[o] = times.get(o, 0) + 1
-    rare = [i for i, o in enumerate(other) if anchor[i] and same[i] == 1 and times[o] == 1]
+def increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing sequence of distinct values."""
     tops: list[int] = []
-    last: list[int] = []
-    back = [-1] * len(other)
-    for i in rare:  # the longest increasing sequence of anchors
-        k = bisect_left(tops, other[i])
-        back[i] = last[k - 1] if k else -1
-        tops[k : k + 1], last[k : k + 1] = [other[i]], [i]
-    chain, i = [], last[-1] if last else -1
+    piles: list[int] = []
+    back = []
+    for i, v in enumerate(values):
+        k = bisect_left(tops, v)
+        back.append(piles[k - 1] if k else -1)
+        tops[k : k + 1], piles[k : k + 1] = [v], [i]
+    out, i = [], piles[-1] if piles else -1
     while i >= 0:
-        chain.append(i)
+        out.append(i)
         i = back[i]
-    chain.reverse()
-    kept = set()
-    for n, i in enumerate(chain):
-        low = other[chain[n - 1]] if n else -1
-        high = other[chain[n + 1]] if n + 1 < len(chain) else float("inf")
-        kept.add(i)
-        for step in (-1, 1):  # neighbours whose lines stand between the anchors' in the other document
-            j, at = i + step, other[i]
-            while 0 <= j < len(mine) and j not in kept and low < other[j] < high and (other[j] - at) * step >= 0:
-                kept.add(j)
-                at, j = other[j], j + step
-    return [mine[i] for i in sorted(kept)]
-
-
-def matched_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places in mine (the later document's lines) that patience diff matches; none without a rare line in common."""
-    once = line_keys(other)
-    if not any(rare and once.get(h) for h, rare in line_keys(mine).items()):
-        return []
-    kept, ranges = [], [(0, len(mine), 0, len(other))]
+    return out[::-1]
+
+
+def matched_lines(mine: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """Places (in mine, in other) of the lines that patience diff matches."""
+    out, ranges = [], [(0, len(mine), 0, len(other))]
     while ranges:
         a, b, c, d = ranges.pop()
         while a < b and c < d and mine[a] == other[c]:
-            kept.append(a)
+            out.append((a, c))
             a, c = a + 1, c + 1
         while a < b and c < d and mine[b - 1] == other[d - 1]:
             b, d = b - 1, d - 1
-            kept.append(b)
+            out.append((b, d))
         if a == b or c == d:
             continue
         here, there = Counter(mine[a:b]), Counter(other[c:d])
-        place = {h: k for k, h in enumerate(other[c:d], c) if h & 1 and there[h] == 1}
-        rare = [i for i in range(a, b) if here[mine[i]] == 1 and mine[i] in place]
-        if not rare:
-            continue
-        n = len(rare)
-        chain = patience_blocks(rare, [place[mine[i]] for i in rare], [1] * n, [True] * n)
-        kept += chain
-        for i in [*chain, None]:
-            to, upto = (i, place[mine[i]]) if i is not None else (b, d)
-            ranges.append((a, to, c, upto))
-            a, c = to + 1, upto + 1
-    return sorted(kept)
+        place = {h: k for k, h in enumerate(other[c:d], c) if there[h] == 1 == here.get(h)}
+        once = [i for i in range(a, b) if mine[i] in place]
+        at = [place[mine[i]] for i in once]
+        kept = [(once[k], at[k]) for k in increasing(at)]
+        out += kept
+        for i, j in [*kept, (b, d)] if kept else []:
+            ranges.append((a, i, c, j))
+            a, c = i + 1, j + 1
+    return sorted(out)
+
+
+def blocks(mine: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """First and end places in mine of the aligned blocks with LEAST_WORDS words."""
+    out, start, last = [], 0, (-2, -2)
+    for i, j in matched_lines(mine, other):
+        if (i - 1, j - 1) != last:
+            out.append((start, last[0] + 1))
+            start = i
+        last = i, j
+    out.append((start, last[0] + 1))
+    return [(a, b) for a, b in out if sum(h & COUNTED for h in mine[a:b]) >= LEAST_WORDS]
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"h": pa.list_(pa.int64()), "at": pa.list_(pa.int32())}
+    names = names.split()
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, list(zip(*rows)) or [[]] * len(names))], names)
 
 
 def _with_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, mark, text) -> (doc, mark, h: a hash for each line, c1, c2: which lines there are)."""
-    for batch in slices(batches):
+    for batch in tidy(slices(batches, "text")):
         rows = []
         for doc, mark, t in zip(*(c.to_pylist() for c in batch.columns)):
             h = line_hashes(t) if t else []
@@ -156,26 +142,10 @@ def _with_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, "doc mark h c1 c2")
 
 
-def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
-    kinds = {"h": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "rare": pa.bool_()}
-    names = names.split()
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, list(zip(*rows)) or [[]] * len(names))], names)
-
-
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, h) -> (key, doc, mark, rare)."""
-    for batch in slices(batches):
-        yield _batch([(k, doc, mark, rare) for doc, mark, h in zip(*(c.to_pylist() for c in batch.columns)) for k, rare in line_keys([x for x in h if x]).items()], "key doc mark rare")
-
-
-def _with_kept_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, h, at) -> (key, doc, mark) of the lines that are not at `at`."""
+    """(doc, mark, h) -> (key, doc, mark)."""
     for batch in slices(batches):
-        rows = []
-        for doc, mark, h, at in zip(*(c.to_pylist() for c in batch.columns)):
-            gone, full = set(at), [i for i, x in enumerate(h) if x]
-            rows += [(k, doc, mark) for k in line_keys([h[i] for i in full], [n for n, i in enumerate(full) if i not in gone])]
-        yield _batch(rows, "key doc mark")
+        yield _batch([(k, doc, mark) for doc, mark, h in zip(*(c.to_pylist() for c in batch.columns)) for k in run_keys([x for x in h if x])], "key doc mark")
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,62 +154,45 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, mark, h, other in zip(*(c.to_pylist() for c in batch.columns)):
             full = [i for i, x in enumerate(h) if x]
-            if at := matched_lines([h[i] for i in full], [x for x in other if x]):
-                rows.append((doc, mark, [full[n] for n in at]))
+            if at := [full[k] for a, b in blocks([h[i] for i in full], [x for x in other if x]) for k in range(a, b)]:
+                rows.append((doc, mark, at))
         yield _batch(rows, "doc mark at")
 
 
-def _aligned(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(doc, mark, at) of pairs (b, b_mark, doc, mark), materialised."""
-    total = pairs.count()
-    earlier = pairs.groupBy("b", "b_mark").agg(F.count(F.lit(1)).alias("n"))
-    earlier = written(earlier.join(lists.select(F.col("doc").alias("b"), F.col("mark").alias("b_mark"), F.col("h").alias("other")), ["b", "b_mark"]), "earlier-lines")
-    both = salted_join(pairs, earlier, ["b", "b_mark"], "n", total, F.struct("doc", "mark"), "inner").join(lists, ["doc", "mark"])
-    found = both.select("doc", "mark", "h", "other").mapInArrow(_align, MARKS)
-    return found.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
-
-
-def _holders(lines: DataFrame, held: DataFrame) -> DataFrame:
-    """(b, b_mark, doc, mark): the lines' documents with earlier ones of `held` by key; both have m, the key's holders."""
-    parts = F.ceil(F.col("m") / CELL).cast("int")
-    cell, every = F.pmod(F.xxhash64("doc", "mark"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-    left = lines.select("key", "doc", "mark", "m", cell.alias("_c")).select("*", every.alias("_b")).drop("m")
-    right = held.select("key", F.col("doc").alias("b"), F.col("mark").alias("b_mark"), "m", cell.alias("_b")).select("*", every.alias("_c")).drop("m")
-    pairs = left.join(right, ["key", "_b", "_c"]).where(F.struct("b", "b_mark") < F.struct(F.col("doc").alias("b"), F.col("mark").alias("b_mark")))
-    return pairs.select("b", "b_mark", "doc", "mark").distinct()
+def _pairs(keys: DataFrame) -> DataFrame:
+    """(b, b_mark, doc, mark): earlier and later documents to be aligned; keys (key, doc, mark) is materialised."""
+    me = F.struct("doc", "mark")
+    held = written(keys.groupBy("key").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "held-runs")
+    shared = written(salted_join(keys, held.withColumn("m", F.col("n")), ["key"], "n", keys.count(), me, "inner"), "shared-runs")
+    few = shared.where(F.col("m") <= RARE).groupBy("key").agg(F.array_sort(F.collect_list(me)).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("k", "later")).select(F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("b"), "later")
+    many = shared.where((F.col("m") > RARE) & (F.col("first") < me)).select(F.col("first").alias("b"), me.alias("later"))
+    pairs = few.unionByName(many).select(F.col("b.doc").alias("b"), F.col("b.mark").alias("b_mark"), "later.doc", "later.mark").distinct()
+    pairs = written(pairs, "pairs")
+    removed(held, shared)
+    return pairs
 
 
 def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, mark, at): line positions to delete from each later document."""
     me = F.struct("doc", "mark")
-    rows = docs.select(_order(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    rows = written(rows.mapInArrow(_with_lists, "doc long, mark long, h array<long>, c1 long, c2 long"), "line-lists")
-    same = rows.groupBy("c1", "c2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(salted_join(rows, written(same, "equal-lists"), ["c1", "c2"], "n", rows.count(), me, "left").drop("c1", "c2"), "lists")
-    copies = rows.where(me != F.col("first")).select("doc", "mark", F.expr("filter(transform(h, (x, i) -> if(x = 0, -1, i)), i -> i >= 0)").alias("at")).dropDuplicates(["doc", "mark"])
-    firsts = rows.where("first is null").unionByName(rows.where(me == F.col("first")).dropDuplicates(["doc", "mark"])).select("doc", "mark", "h")
+    base = docs.select(_order(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = written(base.mapInArrow(_with_lists, "doc long, mark long, h array<long>, c1 long, c2 long"), "line-lists")
+    same = written(rows.groupBy("c1", "c2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal-lists")
+    classed = written(salted_join(rows, same, ["c1", "c2"], "n", rows.count(), me, "left").drop("c1", "c2"), "lists")
+    copies = classed.where(me != F.col("first")).select("doc", "mark", F.expr("filter(transform(h, (x, i) -> if(x = 0, -1, i)), i -> i >= 0)").alias("at")).dropDuplicates(["doc", "mark"])
+    firsts = classed.where("first is null").unionByName(classed.where(me == F.col("first")).dropDuplicates(["doc", "mark"])).select("doc", "mark", "h")
     lists = written(firsts, "first-lists")
-
-    keys = written(lists.mapInArrow(_with_keys, "key long, doc long, mark long, rare boolean"), "line-keys")
-    held = keys.groupBy("key").agg(F.min(me).alias("o"), F.min(F.when(F.col("rare"), me)).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = written(held.withColumn("m", F.col("n")), "held-keys")
-    total = held.agg(F.sum("n")).first()[0] or 0
-    shared = written(salted_join(keys, held, ["key"], "n", total, me, "inner").drop("o"), "shared-keys")
-    rare = shared.where(F.col("rare") & (F.col("owner") < me))
-    first = written(rare.select(F.col("owner.doc").alias("b"), F.col("owner.mark").alias("b_mark"), "doc", "mark").distinct(), "first-pairs")
-    found = written(_aligned(first, lists), "first-marks")
-
-    left = lists.join(first.select("doc", "mark").distinct(), ["doc", "mark"]).join(found, ["doc", "mark"], "left")
-    left = left.select("doc", "mark", "h", F.coalesce("at", F.array().cast("array<int>")).alias("at")).mapInArrow(_with_kept_keys, "key long, doc long, mark long")
-    left = salted_join(left, held.drop("owner"), ["key"], "n", total, me, "inner").where(F.col("o") < me).select("key", "doc", "mark", "m")
-    left = written(left, "lines-left")
-    ways = left.groupBy("doc", "mark").agg(F.sum("m").alias("by_line")).join(rare.groupBy("doc", "mark").agg(F.sum("m").alias("by_rare")), ["doc", "mark"])
-    ways = written(ways.select("doc", "mark", (F.col("by_line") < F.col("by_rare")).alias("by_line")), "ways")
-    by_line = _holders(left.join(ways.where("by_line"), ["doc", "mark"], "left_semi"), shared)
-    by_rare = _holders(rare.join(ways.where("not by_line"), ["doc", "mark"], "left_semi"), shared.where("rare"))
-    more = written(by_line.unionByName(by_rare).join(first, ["b", "b_mark", "doc", "mark"], "left_anti"), "more-pairs")
-    marks = found.unionByName(_aligned(more, lists)).groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
-    return marks.unionByName(copies)
+    keys = written(lists.mapInArrow(_with_keys, "key long, doc long, mark long"), "run-keys")
+    pairs = _pairs(keys)
+    earlier = pairs.groupBy("b", "b_mark").agg(F.count(F.lit(1)).alias("n"))
+    earlier = written(earlier.join(lists.select(F.col("doc").alias("b"), F.col("mark").alias("b_mark"), F.col("h").alias("other")), ["b", "b_mark"]), "earlier-lines")
+    both = salted_join(pairs, earlier, ["b", "b_mark"], "n", pairs.count(), me, "inner").join(lists, ["doc", "mark"])
+    found = both.select("doc", "mark", "h", "other").mapInArrow(_align, MARKS)
+    found = found.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    out = written(found.unionByName(copies), "line-marks")
+    removed(rows, same, classed, lists, keys, pairs, earlier)
+    return out
 
 
 def _without(text: pd.Series, at: pd.Series) -> pd.DataFrame:
@@ -266,12 +219,19 @@ def _without(text: pd.Series, at: pd.Series) -> pd.DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the edited text, and _lines_removed."""
+    """docs with the edited text, and _lines_removed.  Texts that nothing is deleted from are not shuffled."""
     without = F.pandas_udf(_without, "text string, removed int")
-    marks = written(aligned_lines(docs, id_col, text_col), "line-marks")
-    doc, mark, at, new = (free_name(docs, c) for c in ("_doc", "_mark", "_at", "_new"))
+    doc, mark, at, new, n = (free_name(docs, c) for c in ("_doc", "_mark", "_at", "_new", "_n"))
     keyed = docs.withColumn(doc, _order(id_col)).withColumn(mark, F.xxhash64(text_col))
-    joined = keyed.join(marks.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("at").alias(at)), [doc, mark], "left")
-    edited = joined.withColumn(new, without(F.when(F.col(at).isNotNull(), F.col(text_col)), at))
+    edits = aligned_lines(docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("at").alias(at))
+    edited = free_name(keyed, "_edited")
+    keyed = with_flag(keyed, F.xxhash64(doc, mark), edits.select(F.xxhash64(doc, mark).alias("hash")), "hash", edited)
+    passed = others(docs, "_lines_removed")
+    whole = keyed.where(~F.col(edited)).select(*passed, F.lit(0).alias("_lines_removed"))
+    some = keyed.where(edited).drop(edited)
+    # how often each of these documents is repeated, so that one that fills many rows is dealt over several tasks
+    times = written(some.groupBy(doc, mark).agg(F.count(F.lit(1)).alias(n)).join(edits, [doc, mark], "left"), "edits")
+    joined = salted_join(some, times, [doc, mark], n, times.agg(F.sum(n)).first()[0] or 0, F.monotonically_increasing_id())
+    joined = joined.withColumn(new, without(F.when(F.col(at).isNotNull(), F.col(text_col)), at))
     text = F.when(F.col(at).isNotNull(), F.col(new)["text"]).otherwise(F.col(text_col))
-    return edited.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col(new)["removed"].alias("_lines_removed"))
+    return whole.unionByName(joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in passed), F.coalesce(F.col(new)["removed"], F.lit(0)).alias("_lines_removed")))
