@@ -29,7 +29,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages have no capture time: a second for each id after a fixed day
     ts = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0)))
-    return warc.archive_pages(table(spark, sf_dir, "pages"), ts).drop("run")
+    return warc.archive_pages(table(spark, sf_dir, "pages"), ts).drop("run", "record_offset", "record_length")  # which differ from run to run
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ each archive; a payload written before the mark existed cannot hold it, so readi
 two lines, and Content-Length is checked for each record.
 Each file is one capture run, sorted by URL key and time.  The runs' indexes are range-partitioned by
 (URL key, time, id) and k-way merged by a loser tree in each range, so captures come out in global order
-and a hot URL spreads over several ranges.
+and a hot URL spreads over several ranges.  Each entry names its file and where the record stands in it (offset and
+length in bytes of the file as it is without compression).
 
 Defined results: a null payload is an empty one; rows that share the largest id of a payload are all
 responses; a null URL has an empty key; line breaks in a URL are percent-encoded; a null id never becomes
-the response of a payload that also has an id; an empty table gives an empty archive.
+the response of a payload that also has an id; captures of one URL and time are ordered by id, and rows equal in all of
+these come in any order; repeated rows are records of their own; a page of any length is one record; other columns,
+whatever their names, are not read; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, salted_join, written
@@ -94,8 +97,8 @@ def write_warc(captures: DataFrame, path: str, id_col: str, url_col: str, payloa
 
 
 def read_warc(spark: SparkSession, path: str, mark: str) -> DataFrame:
-    """Records: run, id, url, ts, type, digest, payload_bytes, payload (null for revisits), refers_to, whole."""
-    raw = spark.read.option("lineSep", f"{VERSION}\r\nWARC-Mark: {mark}\r\n").text(path).select("value", F.col("_metadata.file_name").alias("run")).where(F.col("value") != "")
+    """Records: run, turn (their order in it), record_length, id, url, ts, type, digest, payload_bytes, payload (null for revisits), refers_to, whole."""
+    raw = spark.read.option("lineSep", f"{VERSION}\r\nWARC-Mark: {mark}\r\n").text(path).select("value", F.col("_metadata.file_name").alias("run"), F.monotonically_increasing_id().alias("turn")).where(F.col("value") != "")
     head = F.substring_index("value", "\r\n\r\n", 1)
     split = raw.withColumn("head", head).withColumn("block", F.expr("substr(value, length(head) + 5, length(value) - length(head) - 8)"))
     split = split.withColumn("http", F.concat(F.substring_index("block", "\r\n\r\n", 1), F.lit("\r\n\r\n")))
@@ -103,6 +106,8 @@ def read_warc(spark: SparkSession, path: str, mark: str) -> DataFrame:
     ident = lambda name: F.nullif(F.regexp_extract(field(name), rf"^<{RECORD_URN}(.*)>$", 1), F.lit("")).cast("long")
     return split.select(
         "run",
+        "turn",
+        (F.octet_length("value") + len(f"{VERSION}\r\nWARC-Mark: {mark}\r\n")).cast("long").alias("record_length"),
         ident("WARC-Record-ID").alias("id"),
         field("WARC-Target-URI").alias("url"),
         F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
@@ -167,6 +172,12 @@ def merge_index(index: DataFrame, ranges: int | None = None, key: str = "url_key
     return index.repartitionByRange(ranges, *order).sortWithinPartitions(run, *order).mapInPandas(merge, index.schema)
 
 
+def located(records: DataFrame) -> DataFrame:
+    """records with record_offset: the bytes before each in its file."""
+    before = Window.partitionBy("run").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("record_offset", F.coalesce(F.sum("record_length").over(before), F.lit(0)))
+
+
 def archive_pages(pages: DataFrame, ts: Column, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write pages as an archive in the shared folder, read it back, and return its merged capture index.
 
@@ -186,6 +197,8 @@ def archive_pages(pages: DataFrame, ts: Column, id_col: str = "page_id", url_col
         url_key(F.col("url")).alias("url_key"),
         F.col("ts").alias("capture_ts"),
         "run",
+        "turn",
+        "record_length",
         (F.col("whole") & (~response | (payload_digest(F.col("payload")) == F.col("digest")))).alias("intact"),
     )
-    return merge_index(written(index, "warc-index"))
+    return merge_index(located(written(index, "warc-index")).drop("turn"))
