@@ -5,7 +5,9 @@ import collections
 import corpus_pipeline
 import numpy as np
 from ledgerloom.llm import decontaminate, langid
-from test_llm import brute_lines, grams, linked, reach
+from pyspark.sql import functions as F
+from test_line_dedup import brute
+from test_llm import grams, linked, reach
 
 
 def test_stages_equal_brute_force(spark):
@@ -19,9 +21,9 @@ def test_stages_equal_brute_force(spark):
         if name != names[-1]:
             assert frame.columns == docs.columns
     pred = {r.doc_id: r for r in langid.identify(docs).collect()}
-    first = {r.doc_id: r.text for r in docs.collect() if pred[r.doc_id].lang_pred != "und" and pred[r.doc_id].bits_per_byte < 8}
+    first = {r.doc_id: r.text for r in docs.collect() if pred[r.doc_id].lang_pred != "und" and pred[r.doc_id].bits_per_byte < corpus_pipeline.RAW_BITS}
     assert {r.doc_id: r.text for r in kept["language_id"]} == first
-    lines = brute_lines(list(first.items()))
+    lines = brute(list(first.items()))
     got = {r.doc_id: r.text for r in kept["line_dedup"]}
     assert {i: [x for x in t.split("\n") if x.strip()] for i, t in got.items()} == {i: x for i, x in lines.items() if x}
     order = sorted(got)
@@ -41,6 +43,35 @@ def test_stages_equal_brute_force(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in kept["packing"])
 
 
+def test_clashing_columns_and_messy_rows(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ("score", "lang_pred", "bits_per_byte", "_lines_removed", "overlaps", "_key", "_mark", "_text", "key", "node", "_passed0", "item")
+    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "s", 0), (900002, None, "en", "s", None), (900003, "12 !!", None, None, None), (900004, "word " * 30_000, "en", "s", 1)], docs.schema)
+    one = docs.where("text is not null").orderBy("doc_id").limit(1)
+    whole = docs.unionByName(odd).unionByName(one).withColumns({c: F.lit("clash") for c in names})
+    whole.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame, kept = whole, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, sf).persist()
+        assert frame.columns == whole.columns and frame.where(" or ".join(f"{c} <> 'clash'" for c in names)).count() == 0
+        kept[name] = {r.doc_id for r in frame.select("doc_id").collect()}
+    assert not kept["language_id"] & {None, 900001, 900002, 900003}
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    plain = corpus_pipeline.run(spark, sf)
+    same = lambda df: sorted(map(tuple, df.where("doc_id is null or doc_id <> 900004").select("doc_id", "piece", "length", "ids_crc32").collect()))
+    assert same(got) == same(plain)
+
+
+def test_empty_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    frame = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, sf)
+        assert frame.count() == 0
+
+
 def grams_of(t):
     import re
 
