@@ -2,8 +2,9 @@
 
 Fixed masks pick some token positions of a window and ignore the others, so a window still hits when words
 at ignored positions were replaced.  The hashes of all masked windows of the benchmark are written as a table.
-The documents are read once: a window that is not in a bitmap of these hashes (of fixed size, whatever the
-benchmark's) cannot hit, and a document none of whose windows is in it is clean.  The windows that are left are joined
+The documents are scanned: a window that is not in a bitmap of these hashes (of fixed size, whatever the
+benchmark's) cannot hit, and a document none of whose windows is in it is clean.  The windows that are left (the words of
+their documents beside them) are joined
 with the table by hash, and each hit is verified: along the hit's diagonal, item and document are compared word by
 word, and the longest stretch of which at least 0.8 are equal words is an overlap if it has MIN_WORDS words, or
 the whole item's if that is shorter.  Overlaps of an item that touch or lie over each other are one.
@@ -28,11 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import among, bitmap_of, free_name, others, removed, salted_join, slices, tidy, written
+from .common import among, bitmap_of, free_name, others, removed, salted_join, slices, tidy, with_flag, written
 from .words import MIX, hashes_of, mixed, windows
 
 MIN_WORDS = 13
@@ -136,28 +137,29 @@ def _seeds(items: DataFrame, masks: list[Mask]) -> DataFrame:
     return items.mapInArrow(cut, "hash long, ik long, q_lo long, q_hi long")
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, passed: list[str], bitmap: np.ndarray, masks: list[Mask], names: list[str]) -> DataFrame:
-    """docs' columns `passed` with the row's key (two columns), and its words and hits if there are any."""
-    own, k1, k2, words, hits = names
+def _scan(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray, masks: list[Mask]) -> DataFrame:
+    """(k1, k2, words, hits) of the documents that have hits; k1 and k2 name id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = lambda h: among(shared.value, h)
-        for b in tidy(slices(batches, own)):
-            w, ends = hashes_of(b.column(b.num_columns - 1).to_pylist())
+        for b in tidy(slices(batches, "text")):
+            w, ends = hashes_of(b.column("text").to_pylist())
             h, lo, hi = seed_runs(w, _left(ends), masks, keep)
             doc = np.searchsorted(ends, lo, "right") - 1
-            found: list[list | None] = [None] * b.num_rows
+            found: dict[int, list] = {}
             for i, x, p, q in zip(doc.tolist(), h.view(np.int64).tolist(), (lo - ends[doc]).tolist(), (hi - ends[doc]).tolist()):
-                found[i] = found[i] or []
-                found[i].append({"hash": x, "lo": p, "hi": q})
-            own_words = [w[ends[i] : ends[i + 1]].tobytes() if f else None for i, f in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(own_words, pa.binary()), pa.array(found, _ARROW_HITS)], [*b.schema.names[:-1], words, hits])
+                found.setdefault(i, []).append({"hash": x, "lo": p, "hi": q})
+            at = pa.array(list(found), pa.int64())
+            own_words = [w[ends[i] : ends[i + 1]].tobytes() for i in found]
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array(own_words, pa.binary()), pa.array(list(found.values()), _ARROW_HITS)], ["k1", "k2", "words", "hits"])
+
+    keyed = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(find, "k1 long, k2 long, words binary, hits array<struct<hash: long, lo: long, hi: long>>")
+
 
-    keyed = docs.select(*passed, F.xxhash64(id_col, text_col).alias(k1), F.xxhash64(text_col, id_col).alias(k2), F.col(text_col).alias(own))
-    hit = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("hash", "lo", "hi")]))
-    schema = T.StructType([*(docs.schema[c] for c in passed), T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType()), T.StructField(words, T.BinaryType()), T.StructField(hits, hit)])
-    return keyed.mapInArrow(find, schema)
+def _keys(id_col: str, text_col: str, k1: str = "k1", k2: str = "k2") -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias(k1), F.xxhash64(text_col, id_col).alias(k2)]
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -180,14 +182,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", passed: list[str] | None = None) -> DataFrame:
     """docs' columns `passed` (by default all but one named so) and `overlaps`: array of (item, start, end, identity), in words."""
     passed = others(docs, "overlaps") if passed is None else passed
-    names = [free_name(docs, c) for c in ("_words_of", "_k1", "_k2", "_words", "_hits")]
-    _, k1, k2, words, hits = names
     bench = written(_item_words(items, item_id, item_text), "bench-items")
     masks = all_masks(sorted(r.n for r in bench.where(F.col("n") < MIN_WORDS).select("n").distinct().collect()))
     seeds = written(_seeds(bench, masks), "bench-seeds")
-    scanned = written(_scan(docs, id_col, text_col, passed, bitmap_of(seeds, "hash"), masks, names), "bench-scan")
-    candidates = scanned.where(F.col(hits).isNotNull())
-    doubtful = candidates.groupBy(F.col(k1).alias("k1"), F.col(k2).alias("k2")).agg(F.any_value(words).alias("doc_words"), F.any_value(hits).alias("hits"), F.count(F.lit(1)).alias("rows"))
+    scanned = written(_scan(docs, id_col, text_col, bitmap_of(seeds, "hash"), masks), "bench-scan")
+    doubtful = scanned.groupBy("k1", "k2").agg(F.any_value("words").alias("doc_words"), F.any_value("hits").alias("hits"), F.count(F.lit(1)).alias("rows"))
     doubtful = written(doubtful, "bench-doubtful")
 
     places = doubtful.select("k1", "k2", F.inline("hits"))
@@ -200,13 +199,17 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     asked = written(bench.select("item", "ik", F.col("words").alias("item_words")).join(asked, "ik"), "bench-asked")
     both = salted_join(pairs, asked, ["ik"], "times", pairs.count(), F.col("k1"), "inner").join(doubtful.select("k1", "k2", "doc_words"), ["k1", "k2"])
     found = _verified(both).join(doubtful.select("k1", "k2", "rows"), ["k1", "k2"])
-    found = written(found, "bench-overlaps").withColumnsRenamed({"k1": k1, "k2": k2, "overlaps": "_overlaps", "rows": "_rows"})
-    removed(bench, seeds, doubtful, met, pairs, asked)
+    found = written(found, "bench-overlaps")
+    removed(bench, seeds, scanned, doubtful, met, pairs, asked)
+    # documents are read once more; only those that may have an overlap are joined
+    k1, k2, flag, n, own = (free_name(docs, c) for c in ("_k1", "_k2", "_flag", "_rows", "_overlaps"))
+    keyed = with_flag(docs.select(*(F.col(f"`{c}`").alias(f"_passed{i}") for i, c in enumerate(passed)), *_keys(id_col, text_col, k1, k2)), F.col(k1), found, "k1", flag)
     none = F.array().cast(OVERLAPS)
-    clean = scanned.where(F.col(hits).isNull()).select(*passed, none.alias("overlaps"))
-    mine = candidates.select(*(F.col(c).alias(f"_passed{i}") for i, c in enumerate(passed)), k1, k2)
-    joined = salted_join(mine, found, [k1, k2], "_rows", candidates.count(), F.monotonically_increasing_id())
-    return clean.unionByName(joined.select(*(F.col(f"_passed{i}").alias(c) for i, c in enumerate(passed)), F.coalesce("_overlaps", none).alias("overlaps")))
+    back = [F.col(f"_passed{i}").alias(c) for i, c in enumerate(passed)]
+    clean = keyed.where(~F.col(flag)).select(*back, none.alias("overlaps"))
+    small = found.withColumnsRenamed({"k1": k1, "k2": k2, "overlaps": own, "rows": n})
+    joined = salted_join(keyed.where(flag), small, [k1, k2], n, found.agg(F.sum("rows")).first()[0] or 0, F.monotonically_increasing_id())
+    return clean.unionByName(joined.select(*back, F.coalesce(own, none).alias("overlaps")))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -252,4 +252,6 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classed = written(salted_join(nodes, groups, ["component"], "k", nodes.count(), F.col("node"), "inner"), "join-classes")
     removed(classes, blobs, sizes, members, found, nodes, groups)
     out = salted_join(signed.select("id", "dk", "node", "mark"), classed.select("node", "mark", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "group_id"), ["node", "mark"], "n", classed.agg(F.sum("n")).first()[0] or 0, F.col("dk"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("dk").alias("key"), F.coalesce("rep", "dk").alias("class_id"), F.coalesce("group_id", "dk").alias("group_id"), F.coalesce(F.col("links"), F.lit(0)).alias("n_links"))
+    out = out.select(F.col("id").alias(id_col), F.col("dk").alias("key"), F.coalesce("rep", "dk").alias("class_id"), F.coalesce("group_id", "dk").alias("group_id"), F.coalesce(F.col("links"), F.lit(0)).alias("n_links"))
+    out.rests_on = (signed, classed)  # which a caller that has written the result may remove
+    return out
