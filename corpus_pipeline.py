@@ -34,8 +34,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal shingles the one with the smallest id stays; equal rows stay once."""
     own, back = set_aside(docs, "doc_id", "text")
-    found = ngram_jaccard.join_similar(own).groupBy("key").agg(F.bool_or(F.col("key") == F.col("group_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    joined = ngram_jaccard.join_similar(own)
+    found = joined.groupBy("key").agg(F.bool_or(F.col("key") == F.col("group_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
     found = written(found.where("not first or rows > 1"), "copies")  # the keys that go, and those that stand more than once
+    removed(*joined.rests_on)
     keyed = own.withColumn("_key", doc_key("doc_id", "text")).withColumn("_mark", F.xxhash64("text"))
     keyed = with_flag(keyed, F.xxhash64("_key"), found.select(F.xxhash64("key").alias("hash")), "hash", "_copies")
     rest = keyed.where("_copies").join(found.where("not first").select(F.col("key").alias("_key")), "_key", "left_anti").dropDuplicates(["_key", "_mark"])
