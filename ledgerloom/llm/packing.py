@@ -13,7 +13,8 @@ most 1/RANK_SHARE of all rows, with a bounded table of offsets), and the plan ma
 
 Token ids: byte-level BPE by a public vocabulary, and the end id after each document, computed by `tiktoken` from
 the vocabulary's rank file; they equal those of `tokenizers` with the vocabulary's JSON file where that takes
-the strings of special tokens in a text as ordinary text, as this operator does.
+the strings of special tokens in a text as ordinary text, as this operator does.  A text with a run of SPACES white-space
+characters or more, of which a million end `tiktoken`, is encoded by `tokenizers` itself.
 
 Defined results: a null or empty text is the end id alone; a very long text is encoded as a whole and cut into
 pieces; pieces of equal length are ranked by id, piece, place and checksum, and rows that are equal in all of
@@ -24,6 +25,7 @@ their names, are not read; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +44,15 @@ from .common import slices, tidy, written
 CAPACITY = 2048
 END_ID = 0
 RANK_SHARE = 4096
+SPACES = 100_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False)])
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where each machine finds the vocabulary: the installed package of public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 @cache
@@ -61,15 +65,28 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+@cache
+def _slow_encoder(path: str) -> tokenizers.Tokenizer:
+    out = tokenizers.Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def ids_of(text: str, vocabulary: str | None = None, vocabulary_json: str | None = None) -> list[int]:
+    """The ids of a text, however it is made; the two files hold one vocabulary."""
+    if len(text) >= SPACES and re.search(rf"(?<!\s)\s{{{SPACES}}}", text):
+        return _slow_encoder(vocabulary_json or vocabulary_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    return _encoder(vocabulary or vocabulary_path()).encode_ordinary(text)
+
+
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, vocabulary_json: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary or vocabulary_path()).encode_ordinary
         for b in tidy(slices(batches, "text")):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
+                ids = np.array([*ids_of(text or "", vocabulary, vocabulary_json), END_ID], dtype="<u4")
                 short = len(ids) % capacity or capacity
                 for n, start in enumerate([0, *range(short, len(ids), capacity)]):
                     part = ids[start : start + (capacity if start else short)]
@@ -186,5 +203,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(tokenised(docs, id_col, text_col, vocabulary, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, vocabulary_json: str | None = None) -> DataFrame:
+    return pack(written(tokenised(docs, id_col, text_col, vocabulary, capacity, vocabulary_json), "pieces"), capacity)
