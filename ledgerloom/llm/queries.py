@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, langid, line_dedup, ngram_jaccard, packing, quality, secret_scan, sharding, warc
+from . import byte_bpe, decontaminate, embedding_dedup, langid, lexical, line_dedup, merkle, ngram_jaccard, packing, quality, secret_scan, sharding, warc
 from .common import table
 from .sql import SQL
 
@@ -61,6 +61,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", langid.held_out())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_jaccard, op4_warc, op5_packing, op6_line_dedup, op7_language_id, op8_embedding_dedup, op9_decontamination, op10_quality)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_jaccard, op4_warc, op5_packing, op6_line_dedup, op7_language_id, op8_embedding_dedup, op9_decontamination, op10_quality, op11_merkle_manifest, op12_byte_bpe, op13_lexical_search)}
 
 __all__ = ["QUERIES", "SQL"]
