@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..operators import windows as W
 from ..sources import adapters as D
 from ..sources import event_log as L
 from ..sources import merge as G
@@ -221,8 +220,3 @@ def t3_stream_dedup(spark, sf):
     e.union(e).write.parquet(path)
     s = T.stream_dedup(spark.readStream.schema(e.schema).parquet(path), "event_id", "time", "40 days").select("event_id", "user_id")
     return drained(spark, s, "once", s.schema)
-
-
-@query("SELECT agree, count(*) AS files FROM (" + ORACLE["w2_watermark_totals"] + ") GROUP BY 1")
-def w2_lineage_sessions(spark, sf):
-    return W.watermark_totals(D.token_observations(spark, sf)).groupBy("agree").agg(F.count(F.lit(1)).alias("files"))
