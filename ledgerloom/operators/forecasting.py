@@ -49,13 +49,13 @@ def origin_features(tokens: DataFrame, turns: DataFrame, context: DataFrame, ori
 
     spans = origins.select("origin_us", (F.col("origin_us") - lookback_us).alias("from_us"))
     known = lambda c: (F.coalesce(F.col(c) <= F.col("origin_us"), F.lit(False))) if mode == "collected" else F.lit(True)
-    hits = range_join(with_role(tokens, edges), spans, [], "us", "from_us", "origin_us", lookback_us, closed="right").where(known("captured_us"))
+    hits = range_join(with_role(tokens, edges), spans, [], "us", "from_us", "origin_us", lookback_us, closed="right", levels=[0]).where(known("captured_us"))
     g = hits.groupBy("origin_us").agg(
         F.sum(F.greatest("total", F.lit(0))).cast("long").alias("tokens"), F.sum("cache_read").cast("long").alias("_cache"), F.sum(F.col("uncached") + F.col("cache_read") + F.col("cache_write")).cast("long").alias("_in"),
         F.sum("reasoning").cast("long").alias("_reason"), F.sum(F.col("output") + F.col("reasoning")).cast("long").alias("_out"),
         F.count_distinct(F.when(F.col("role") == "Root", F.col("session_id"))).alias("roots"), F.count_distinct(F.when(F.col("role") == "Subagent", F.col("session_id"))).alias("subagents"), F.count(F.lit(1)).alias("events"),
     )
-    c = range_join(context, spans, [], "us", "from_us", "origin_us", lookback_us, closed="right").groupBy("origin_us").agg(F.count_if("compaction").alias("compactions"), F.max_by(F.col("input") / F.col("window"), F.struct("us", "event_id")).alias("window_ratio"))
+    c = range_join(context, spans, [], "us", "from_us", "origin_us", lookback_us, closed="right", levels=[0]).groupBy("origin_us").agg(F.count_if("compaction").alias("compactions"), F.max_by(F.col("input") / F.col("window"), F.struct("us", "event_id")).alias("window_ratio"))
     out = origins.select("origin_us").join(g, "origin_us", "left").join(c, "origin_us", "left").join(turn_overlap(turns, origins, lookback_us), "origin_us", "left")
     out = out.withColumns({"cache_share": F.when(F.col("_in") > 0, F.col("_cache") / F.col("_in")), "reasoning_share": F.when(F.col("_out") > 0, F.col("_reason") / F.col("_out"))}).drop("_in", "_out", "_cache", "_reason")
     return out.fillna(0, ["tokens", "roots", "subagents", "events", "compactions", "completed", "open", "peak"])
@@ -490,7 +490,7 @@ def usual_activity_study(hurdles: DataFrame, keys: list[str], split: float = 0.8
 def joint_before(tokens: DataFrame, origins: DataFrame, context_us: int) -> DataFrame:
     """(origin_us, model, effort) cells of the context before each origin."""
     spans = origins.select("origin_us", (F.col("origin_us") - context_us).alias("from_us"))
-    hits = range_join(tokens, spans, [], "us", "from_us", "origin_us", context_us, closed="right")
+    hits = range_join(tokens, spans, [], "us", "from_us", "origin_us", context_us, closed="right", levels=[0])
     return hits.groupBy("origin_us", "model", "effort").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in CATEGORIES))
 
 

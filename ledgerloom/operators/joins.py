@@ -9,21 +9,72 @@ from ..sources.shared import kept
 from .filters import UNKNOWN
 
 
-def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: int, how: str = "inner", closed: str = "left") -> DataFrame:
-    """Points with the intervals that hold them, by equal keys and equal time buckets of `width`, never by a cartesian
-    product.  closed: which end belongs to the interval (left, right or both); an open end is NULL-free."""
-    spans = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    dots = points.withColumn("_b", F.floor(F.col(at) / width))
+#: Buckets of one level that make one of the next, as a power of two.
+FAN_BITS = 6
+
+
+def _width(width: int, level: int) -> int | None:
+    """How long a bucket of a level is; None for the last level, whose one bucket is all time."""
+    w = width << FAN_BITS * level
+    return w if w < 1 << 62 else None
+
+
+def _levels(width: int) -> int:
+    level = 0
+    while _width(width, level):
+        level += 1
+    return level
+
+
+def level_of(start: Column, end: Column, width: int) -> Column:
+    """The finest level of which an interval meets at most 2 ** FAN_BITS buckets; an open end (NULL) needs the last."""
+    out = None
+    for level in range(_levels(width)):
+        fits = F.floor(end / _width(width, level)) - F.floor(start / _width(width, level)) < 1 << FAN_BITS
+        out = F.when(fits, level) if out is None else out.when(fits, level)
+    return out.otherwise(_levels(width))
+
+
+def levels_in(intervals: DataFrame, start: str, end: str, width: int) -> list[int]:
+    """The levels that intervals need: a handful of numbers, one pass over their ends."""
+    found = intervals.agg(F.collect_set(level_of(F.col(start), F.col(end), width)).alias("levels")).first()
+    return sorted(found.levels) or [0]
+
+
+def covered(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """intervals with (_level, _b): a row for each bucket of its level that an interval meets, 2 ** FAN_BITS at most, however long it is."""
+    level, buckets = level_of(F.col(start), F.col(end), width), None
+    for n in range(_levels(width)):
+        own = F.sequence(F.floor(F.col(start) / _width(width, n)), F.floor(F.col(end) / _width(width, n)))
+        buckets = F.when(F.col("_level") == n, own) if buckets is None else buckets.when(F.col("_level") == n, own)
+    return intervals.withColumn("_level", level).withColumn("_b", F.explode(buckets.otherwise(F.array(F.lit(0).cast("long")))))
+
+
+def placed(points: DataFrame, at: str, width: int, levels: list[int]) -> DataFrame:
+    """points with (_level, _b): a row for each of the levels that any interval needs."""
+    place = lambda n: F.struct(F.lit(n).alias("_level"), (F.floor(F.col(at) / w) if (w := _width(width, n)) else F.lit(0).cast("long")).alias("_b"))
+    if len(levels) == 1:
+        only = place(levels[0])
+        return points.withColumns({"_level": only["_level"], "_b": only["_b"]})
+    return points.withColumn("_p", F.explode(F.array(*map(place, levels)))).withColumns({"_level": F.col("_p._level"), "_b": F.col("_p._b")}).drop("_p")
+
+
+def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: int, closed: str = "left", open_ends: bool = False, levels: list[int] | None = None) -> DataFrame:
+    """Points with the intervals that hold them, by equal keys and equal buckets of time, never by a cartesian product.
+
+    Buckets come in levels: `width` long, then 64 times as long, and so on to all of time.  An interval takes the finest level of which it
+    meets at most 64 buckets, so a long one makes few rows; a point has a row for each level that is in use.  `levels` names these
+    where the caller knows them ([0]: nothing is longer than 64 widths); else one pass over the intervals' ends finds them.
+    closed: which end belongs to the interval (left, right or both).  open_ends: a NULL end is open; else such intervals hold nothing.
+    """
+    if not open_ends:
+        intervals = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    if levels is None:
+        levels = levels_in(intervals, start, end, width)
     low = F.col(at) >= F.col(start) if closed in ("left", "both") else F.col(at) > F.col(start)
     high = F.col(at) <= F.col(end) if closed in ("right", "both") else F.col(at) < F.col(end)
-    if how == "inner":
-        return dots.join(spans, [*keys, "_b"]).where(low & high).drop("_b")
-    on = [dots[k] == spans[k] for k in [*keys, "_b"]]
-    test = on[0]
-    for o in on[1:]:
-        test = test & o
-    out = dots.join(spans, test & low & high, how)
-    return out.drop("_b") if how in ("left_semi", "left_anti") else out.drop(*(spans[k] for k in keys)).drop("_b")
+    hits = placed(points, at, width, levels).join(covered(intervals, start, end, width), [*keys, "_level", "_b"])
+    return hits.where((F.col(start).isNull() | low) & (F.col(end).isNull() | high)).drop("_level", "_b")
 
 
 def active_only(facts: DataFrame, files: DataFrame, key: str) -> DataFrame:
@@ -37,9 +88,10 @@ def session_dimension_join(events: DataFrame, sessions: DataFrame, key: str, nam
 
 
 def associate_account(rows: DataFrame, claims: DataFrame, as_of: int | None = None, width: int = 86_400_000_000) -> DataFrame:
-    """The account whose claim covers session and time; several accounts make it Conflicting, none Unknown."""
+    """The account whose claim covers session and time; several accounts make it Conflicting, none Unknown.  A claim without an end
+    (NULL) holds from, or to, all time."""
     c = claims if as_of is None else claims.where(F.col("asserted_us") <= as_of)
-    hits = range_join(rows.select("event_id", "session_id", "us"), c.select("session_id", "from_us", "to_us", "account"), ["session_id"], "us", "from_us", "to_us", width, closed="both")
+    hits = range_join(rows.select("event_id", "session_id", "us"), c.select("session_id", "from_us", "to_us", "account"), ["session_id"], "us", "from_us", "to_us", width, closed="both", open_ends=True)
     g = hits.groupBy("event_id").agg(F.count_distinct("account").alias("_n"), F.min("account").alias("_a"))
     out = rows.join(g, "event_id", "left")
     return out.withColumn("account", F.when(F.col("_n") == 1, F.col("_a"))).withColumn("association", F.when(F.col("_n") == 1, "Associated").when(F.col("_n") > 1, "Conflicting").otherwise("Unknown")).drop("_n", "_a")

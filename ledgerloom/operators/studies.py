@@ -430,7 +430,7 @@ def session_quota_evaluation(hurdles: DataFrame, observations: DataFrame, keys:
     fit = interval_ridge(observations.withColumn("all_tokens", total), keys, ["all_tokens"], first).select(*keys, F.element_at("weights", 1).alias("_per_token"))
     spans = hurdles.select("origin_us", (F.col("origin_us") + horizon_us).alias("_until"), "probability", "conditional_mean")
     ask = o.select(F.col("start_us").alias("_at")).distinct()
-    near = range_join(ask, spans, [], "_at", "origin_us", "_until", horizon_us).groupBy(F.col("_at").alias("start_us")).agg(F.max_by(F.struct("probability", "conditional_mean"), "origin_us").alias("_h"))
+    near = range_join(ask, spans, [], "_at", "origin_us", "_until", horizon_us, levels=[0]).groupBy(F.col("_at").alias("start_us")).agg(F.max_by(F.struct("probability", "conditional_mean"), "origin_us").alias("_h"))
     j = o.join(near, "start_us", "left").join(fit, keys, "left")
     hours = (F.col("end_us") - F.col("start_us")) / horizon_us
     conditional = F.col("_h.conditional_mean") * hours * F.col("_per_token")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import authority, median, valid_percent
 from .filters import COHORT, cohort_key
-from .joins import range_join
+from .joins import levels_in, range_join
 from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold
 
 STREAM = ["provider", "profile", "kind", "source", "account"]
@@ -111,11 +111,12 @@ def burn_interval_aggregate(intervals: DataFrame, events: DataFrame, edges: Data
 
     spans = intervals.select("observation_id", "start_us", "end_us")
     e = with_role(events.where("quality = 'Valid'"), edges).select("session_id", "us", "total", "model", "effort", "role")
-    hits = range_join(e, spans, [], "us", "start_us", "end_us", HOUR_US, closed="right")
+    levels = levels_in(spans, "start_us", "end_us", HOUR_US)
+    hits = range_join(e, spans, [], "us", "start_us", "end_us", HOUR_US, closed="right", levels=levels)
     cells = hits.groupBy("observation_id", "model", "effort").agg(F.sum("total").cast("long").alias("t"), F.sum(F.when(F.col("role") == "Root", F.col("total")).otherwise(0)).cast("long").alias("r"))
     g = cells.groupBy("observation_id").agg(F.sum("t").cast("long").alias("tokens"), F.sum("r").cast("long").alias("root_tokens"), F.min_by(F.struct("model", "effort"), F.struct((-F.col("t")).alias("t"), "model", "effort")).alias("top"))
     n = hits.groupBy("observation_id").agg(F.count_distinct("session_id").alias("sessions"))
-    marks = range_join(compactions.select("us"), spans, [], "us", "start_us", "end_us", HOUR_US, closed="right").groupBy("observation_id").agg(F.count(F.lit(1)).alias("compactions"))
+    marks = range_join(compactions.select("us"), spans, [], "us", "start_us", "end_us", HOUR_US, closed="right", levels=levels).groupBy("observation_id").agg(F.count(F.lit(1)).alias("compactions"))
     out = intervals.join(g, "observation_id", "left").join(n, "observation_id", "left").join(marks, "observation_id", "left").fillna(0, ["tokens", "root_tokens", "sessions", "compactions"])
     minutes = (F.col("end_us") - F.col("start_us")) / 60e6
     confidence = 0.67 + F.when(minutes <= 30, 0.13).when(minutes <= 90, 0.07).otherwise(0.0) + F.when(F.col("tokens") > 0, 0.1).otherwise(0.0)
