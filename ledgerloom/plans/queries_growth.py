@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage as L
 from ..sources import adapters as D
+from ..sources import samples as X
 from ..sources.adapters import with_sql
+from ..sources.event_log import parse_lines
+from ..streaming import tail as T
 from .queries_meter import OBS
 from .registry import query
 
@@ -39,3 +42,21 @@ def w2_lineage_sessions(spark, sf):
 @query(with_sql("ev", LINEAGE + "SELECT transition, count(*) AS observations, count(*) FILTER (a <> b OR a <> c) AS disagreements, CAST(sum(a) AS BIGINT) AS reducer_tokens, CAST(sum(b) AS BIGINT) AS watermark_tokens, CAST(sum(c) AS BIGINT) AS lineage_tokens FROM z WHERE n > 0 GROUP BY transition"))
 def w2_lineage_transitions(spark, sf):
     return L.lineage_transitions(_delivered(spark, sf))
+
+
+FACTS = "SELECT 'token_count' AS nested, 'ledger' AS tab FROM ev UNION ALL SELECT 'turn_context', 'evidence' FROM ev WHERE k % 5 = 0 UNION ALL SELECT 'compacted', 'evidence' FROM ev WHERE k = 7"
+
+
+@query(with_sql("ev", f"SELECT tab, nested, count(*) AS rows FROM ({FACTS}) GROUP BY 1, 2"))
+def t1_stream_tail(spark, sf):
+    """Logs of which half the files come after the stream was stopped: ledger and evidence under one manifest."""
+    logs, tables, state, planned = (X.scratch(spark, n) for n in ("logs", "tables", "tail-state", "planned"))
+    lines = X.log_lines(spark, sf).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(2)))
+    of = lambda *names: lambda df: parse_lines(df.select("file", "generation", "ordinal", "value"), "generation").where(F.col("nested").isin(*names))
+    for part in (0, 1):
+        lines.where(F.col("part") == part).select("value").write.text(f"{logs}/{part}")
+        sink = T.write_together(tables, {"ledger": of("token_count"), "evidence": of("turn_context", "compacted")})
+        q = T.stream_tail(spark, logs, planned).writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    found = [T.committed(spark, tables, name).groupBy("nested").agg(F.count(F.lit(1)).alias("rows")).withColumn("tab", F.lit(name)) for name in ("ledger", "evidence")]
+    return found[0].unionByName(found[1])

@@ -15,12 +15,12 @@ STRICT_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?([zZ]|[+-]\d{2}:\d{2
 MILLIS_ABOVE = 100_000_000_000
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """file, ordinal, value -> records."""
+def parse_lines(lines: DataFrame, *passed: str) -> DataFrame:
+    """file, ordinal, value -> records, with the columns that are passed on."""
     kind = F.get_json_object("value", "$.type")
     ok = F.get_json_object("value", "$").startswith("{")
     return lines.select(
-        "file", "ordinal", "value",
+        *passed, "file", "ordinal", "value",
         F.when(ok & kind.isNotNull(), kind).otherwise("unknown").alias("type"),
         F.substring(F.coalesce(F.get_json_object("value", "$.payload.type"), F.when(ok & kind.isNotNull(), kind), F.lit("unknown")), 1, 80).alias("nested"),
         F.get_json_object("value", "$.payload").alias("payload"), F.octet_length("value").alias("bytes"),
