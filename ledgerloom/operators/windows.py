@@ -58,26 +58,30 @@ def watermark_totals(observations: DataFrame, file: str = "session_id") -> DataF
     return reduced.join(marks, file).withColumn("agree", F.col("reducer_total") == F.col("watermark_total"))
 
 
-def detect_resets(quota: DataFrame, tolerance_us: int = 1800 * SECOND_US) -> DataFrame:
+RESET_TOLERANCE_US = 1800 * SECOND_US
+
+
+def reset_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """state: (last used and reset, least and greatest reset of its window); row: (used, resets) -> whether the window changed, if both readings are known."""
+    before, low, high = state
+    used, resets = row
+    if before is None:
+        return ((used, resets), resets, resets), (None,)
+    if before[0] is None or used is None:
+        return ((used, resets), resets, resets), (None,)
+    near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) <= SECOND_US)
+    changed = not near(before[1], resets) or (resets is not None and low is not None and high is not None and not (near(resets, low) and near(resets, high)))
+    if changed:
+        low = high = resets
+    elif resets is not None:
+        low, high = min(resets, low if low is not None else resets), max(resets, high if high is not None else resets)
+    return ((used, resets), low, high), (changed,)
+
+
+def detect_resets(quota: DataFrame, tolerance_us: int = RESET_TOLERANCE_US) -> DataFrame:
     """Adjacent readings of a cohort that show a reset, with class, confidence and an id of the pair."""
     q = quota.where(F.col("kind").isin("FiveHour", "Weekly")).withColumn("cohort", cohort_key()).withColumn("_c", F.xxhash64("cohort"))
-
-    def step(state, row):
-        before, low, high = state
-        used, resets = row
-        if before is None:
-            return ((used, resets), resets, resets), (None,)
-        if before[0] is None or used is None:
-            return ((used, resets), resets, resets), (None,)
-        near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) <= SECOND_US)
-        changed = not near(before[1], resets) or (resets is not None and low is not None and high is not None and not (near(resets, low) and near(resets, high)))
-        if changed:
-            low = high = resets
-        elif resets is not None:
-            low, high = min(resets, low if low is not None else resets), max(resets, high if high is not None else resets)
-        return ((used, resets), low, high), (changed,)
-
-    q = fold(q, ["_c"], ["us", "observation_id"], ["used", "resets_us"], lambda: (None, None, None), step, "_changed boolean")
+    q = fold(q, ["_c"], ["us", "observation_id"], ["used", "resets_us"], lambda: (None, None, None), reset_step, "_changed boolean")
     w = Window.partitionBy("_c").orderBy("us", "observation_id")
     q = q.withColumns({"_used": F.lag("used").over(w), "_resets": F.lag("resets_us").over(w), "_us": F.lag("us").over(w)})
     drop, changed = F.col("_used") - F.col("used"), F.col("_changed")

@@ -9,9 +9,11 @@ from ..sources import adapters as D
 from ..sources import samples as X
 from ..sources.adapters import with_sql
 from ..sources.event_log import parse_lines
+from ..streaming import resets as RT
 from ..streaming import tail as T
+from .queries_logs import drained
 from .queries_meter import OBS
-from .registry import query
+from .registry import ORACLE, query
 
 # W2 over observations of which every 23rd is delivered once more, forty observations later
 LINEAGE = OBS + """, q AS (SELECT c.event_id, c.session_id, 2 * c.event_id AS arrival, o.t, CASE WHEN c.has_last THEN o.inc END AS l, c.total AS a, false AS again FROM c JOIN o USING (event_id)
@@ -60,3 +62,21 @@ def t1_stream_tail(spark, sf):
         q.awaitTermination()
     found = [T.committed(spark, tables, name).groupBy("nested").agg(F.count(F.lit(1)).alias("rows")).withColumn("tab", F.lit(name)) for name in ("ledger", "evidence")]
     return found[0].unionByName(found[1])
+
+
+@query(ORACLE["w7_detect_resets"])
+def t10_stream_resets(spark, sf):
+    """Readings in the order of their collection, so some come late; two thirds first, the rest after the stream was stopped."""
+    path, state, out = (X.scratch(spark, n) for n in ("readings", "resets-state", "resets"))
+    q = D.quota_snapshots(spark, sf).withColumn("arrival", F.col("collected_us"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (q.where("observation_id % 3 < 2"), q.where("observation_id % 3 = 2")):
+            part.write.mode("append").parquet(path)
+            s = RT.stream_resets(spark.readStream.schema(q.schema).parquet(path), arrival="arrival")
+            s.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return RT.standing(spark.read.schema(s.schema).parquet(out)).select("account", "previous_us", "us", "previous_used", "used", "classification")
+    finally:
+        spark.conf.set(provider, before)
