@@ -6,6 +6,7 @@ current key alone, so memory does not grow with a key's rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import kept
+
 SECOND_US = 1_000_000
 HOUR_US = 3_600 * SECOND_US
 MAX_LONG = 2**63 - 1
@@ -42,6 +45,81 @@ def fold(df: DataFrame, keys: list[str], order: list[str], uses: list[str], star
     return rows.mapInArrow(walk, T.StructType([*df.schema.fields, *added.fields]))
 
 
+def _walk_ranges(batches: Iterator[pa.RecordBatch], keys: list[str], uses: list[str], start: Callable, step: Callable, starts: dict[int, bytes]) -> Iterator[tuple]:
+    """For each batch of rows sorted by (_part, keys, order): the batch, its values, and the parts that ended before it as (part, first key, last key, state)."""
+    part, key, first, state = None, None, None, None
+    for batch in batches:
+        named = dict(zip(batch.schema.names, batch.columns))
+        values, ended = [], []
+        for p, k, row in zip(named["_part"].to_pylist(), zip(*(named[c].to_pylist() for c in keys)), zip(*(named[c].to_pylist() for c in uses))):
+            if p != part:
+                if part is not None:
+                    ended.append((part, first, key, state))
+                part, key, first, state = p, k, k, pickle.loads(starts[p]) if p in starts else start()
+            elif k != key:
+                key, state = k, start()
+            state, value = step(state, row)
+            values.append(value)
+        yield batch, values, ended
+    if part is not None:
+        yield None, [], [(part, first, key, state)]
+
+
+def fold_ranges(df: DataFrame, keys: list[str], order: list[str], uses: list[str], start: Callable, step: Callable, out: str, count: Callable | None = None) -> DataFrame:
+    """fold() for keys of any size: a key with all rows is walked through by as many tasks as there are ranges.
+
+    Rows are dealt by ranges of (keys, order), so a long key runs over several ranges.  All ranges are walked through at once, each as if its
+    first key began there; then each is given the state that the range before it ended with, and those for which that differs are walked
+    through again, until no state changes.  A walk forgets its start soon (a new window, an accepted total), so that is one round as a rule; a
+    walk that never forgets takes a round for each range, and is right as well.  What only grows along a key, as an epoch's number,
+    would never agree: count(state, by) gives the state with that number moved by `by`, or the number itself for by=None, and these are added up.
+    The driver holds a state and two keys for each range.
+    """
+    added = T._parse_datatype_string(out)
+    arrow, names = to_arrow_schema(added), df.columns
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    ranged = kept(ranged, "ranges")
+    in_order = lambda rows: rows.repartitionByRange("_part").sortWithinPartitions("_part", "_seq")
+
+    def ends_of(starts: dict[int, bytes], parts: list[int] | None) -> dict[int, tuple]:
+        def run(batches):
+            for _, _, ended in _walk_ranges(batches, keys, uses, start, step, starts):
+                for p, first, last, state in ended:
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pickle.dumps((first, last, state))], pa.binary())], ["part", "end"])
+
+        rows = ranged if parts is None else ranged.where(F.col("_part").isin(parts))
+        return {r.part: pickle.loads(r.end) for r in in_order(rows.select("_part", "_seq", *dict.fromkeys([*keys, *uses]))).mapInArrow(run, "part int, end binary").collect()}
+
+    number = lambda state: 0 if count is None or state is None else count(state, None)
+    bare = lambda state: pickle.dumps(state if count is None or state is None else count(state, -count(state, None)))
+    ends, starts, follows = ends_of({}, None), {}, {}
+    parts = sorted(ends)
+    for before, p in zip(parts, parts[1:]):
+        if ends[before][1] == ends[p][0]:
+            follows[p] = before
+    while changed := {p: ends[b][2] for p, b in follows.items() if bare(ends[b][2]) != bare(starts[p] if p in starts else start())}:
+        starts |= changed
+        again = [p for p in changed if ends[p][0] == ends[p][1]]  # of other ranges the last key began inside
+        ends |= ends_of({p: pickle.dumps(s) for p, s in starts.items()}, again) if again else {}
+    true, moved = {}, {}
+    for p in parts:  # numbers that grow are carried on from range to range
+        own = starts.get(p, start())
+        true[p] = own
+        if p in follows and count is not None and own is not None:
+            b = follows[p]
+            moved[p] = number(ends[b][2]) + moved.get(b, 0) * (ends[b][0] == ends[b][1]) - number(own)
+            true[p] = count(own, moved[p])
+    given = {p: pickle.dumps(s) for p, s in true.items() if p in follows}
+
+    def run(batches):
+        for batch, values, _ in _walk_ranges(batches, keys, uses, start, step, given):
+            if batch is not None:
+                new = zip(*values) if values else ([] for _ in arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(v, f.type) for v, f in zip(new, arrow))], [*names, *arrow.names])
+
+    return in_order(ranged).mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
 # --- W1: cumulative counters to disjoint increments
 
 COUNTERS = ("input", "cached", "cache_write", "output", "reasoning", "total")
@@ -117,6 +195,10 @@ def reduce_step(state: Watermark | None, row: tuple) -> tuple[Watermark | None,
 REDUCED = "kind string, epoch int, uncached long, cache_read long, cache_write long, output long, reasoning long, delta_total long"
 
 
+def _no_state() -> None:
+    return None
+
+
 def _counters(c) -> tuple | None:
     return None if c is None else tuple(c[n] for n in COUNTERS) if isinstance(c, dict) else tuple(c)
 
@@ -126,8 +208,14 @@ def _reduce_row(state, row):
     return reduce_step(state, (ident, us, _counters(now), _counters(last)))
 
 
-def reduce_counters(observations: DataFrame, session: str = "session_id", ident: str = "source_event_id", time: str = "us") -> DataFrame:
-    """Every observation with its kind, epoch and disjoint increment."""
+def _epoch_of(state: Watermark, by: int | None) -> Watermark | int:
+    return state.epoch if by is None else state._replace(epoch=state.epoch + by)
+
+
+def reduce_counters(observations: DataFrame, session: str = "session_id", ident: str = "source_event_id", time: str = "us", long_sessions: bool = False) -> DataFrame:
+    """Every observation with its kind, epoch and disjoint increment.  long_sessions: a session may hold a large share of all rows."""
+    if long_sessions:
+        return fold_ranges(observations, [session], [time, ident], [ident, time, "total", "last"], _no_state, _reduce_row, REDUCED, _epoch_of)
     return fold(observations, [session], [time, ident], [ident, time, "total", "last"], lambda: None, _reduce_row, REDUCED)
 
 
@@ -150,10 +238,17 @@ def _epoch_step(state, row):
     return (n, True, min(low, resets), max(high, resets), used, us, cohort), (n,)
 
 
-def split_epochs(quota: DataFrame, stream: list[str], time: str = "us", used: str = "used", resets: str = "resets_us", cohort: str | None = None, tie: str = "observation_id") -> DataFrame:
-    """Readings with epoch_id, NULL for those that belong to none (invalid rows and repeats)."""
+def _epoch_number(state: tuple, by: int | None) -> tuple | int:
+    return state[0] if by is None else (state[0] + by, *state[1:])
+
+
+def split_epochs(quota: DataFrame, stream: list[str], time: str = "us", used: str = "used", resets: str = "resets_us", cohort: str | None = None, tie: str = "observation_id", long_streams: bool = False) -> DataFrame:
+    """Readings with epoch_id, NULL for those that belong to none (invalid rows and repeats).  long_streams: a stream may hold a large share of all rows."""
     rows = quota.withColumn("_cohort", F.xxhash64(F.col(cohort)) if cohort else F.lit(0).cast("long"))
-    return fold(rows, stream, [time, tie], [time, used, resets, "_cohort"], lambda: (0, False, 0, 0, 0.0, None, None), _epoch_step, "epoch_id int").drop("_cohort")
+    uses, start = [time, used, resets, "_cohort"], lambda: (0, False, 0, 0, 0.0, None, None)
+    if long_streams:
+        return fold_ranges(rows, stream, [time, tie], uses, start, _epoch_step, "epoch_id int", _epoch_number).drop("_cohort")
+    return fold(rows, stream, [time, tie], uses, start, _epoch_step, "epoch_id int").drop("_cohort")
 
 
 def _generation_step(state, row):

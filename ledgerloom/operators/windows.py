@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import authority, median, valid_percent
 from .filters import COHORT, cohort_key
 from .joins import levels_in, range_join
-from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold
+from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold, fold_ranges
 
 STREAM = ["provider", "profile", "kind", "source", "account"]
 
@@ -78,12 +78,20 @@ def reset_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
     return ((used, resets), low, high), (changed,)
 
 
-def detect_resets(quota: DataFrame, tolerance_us: int = RESET_TOLERANCE_US) -> DataFrame:
-    """Adjacent readings of a cohort that show a reset, with class, confidence and an id of the pair."""
+def _reset_pair(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """reset_step with the reading before: its time, used and reset."""
+    (last, inner), (us, used, resets) = state, row
+    before = inner[0] or (None, None)
+    inner, (changed,) = reset_step(inner, (used, resets))
+    return (us, inner), (last, *before, changed)
+
+
+def detect_resets(quota: DataFrame, tolerance_us: int = RESET_TOLERANCE_US, long_streams: bool = False) -> DataFrame:
+    """Adjacent readings of a cohort that show a reset, with class, confidence and an id of the pair.  long_streams: a cohort may
+    hold a large share of all rows."""
     q = quota.where(F.col("kind").isin("FiveHour", "Weekly")).withColumn("cohort", cohort_key()).withColumn("_c", F.xxhash64("cohort"))
-    q = fold(q, ["_c"], ["us", "observation_id"], ["used", "resets_us"], lambda: (None, None, None), reset_step, "_changed boolean")
-    w = Window.partitionBy("_c").orderBy("us", "observation_id")
-    q = q.withColumns({"_used": F.lag("used").over(w), "_resets": F.lag("resets_us").over(w), "_us": F.lag("us").over(w)})
+    walk = fold_ranges if long_streams else fold
+    q = walk(q, ["_c"], ["us", "observation_id"], ["us", "used", "resets_us"], lambda: (None, (None, None, None)), _reset_pair, "_us long, _used double, _resets long, _changed boolean")
     drop, changed = F.col("_used") - F.col("used"), F.col("_changed")
     due = F.coalesce(F.col("us").between(F.col("_resets") - tolerance_us, F.col("_resets") + tolerance_us), F.lit(False))
     later = F.coalesce(F.col("resets_us") > F.col("_resets"), F.lit(False))
