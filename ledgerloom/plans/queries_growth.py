@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import crossing as C
 from ..operators import lineage as L
 from ..sources import adapters as D
+from ..sources import merge as G
 from ..sources import samples as X
 from ..sources.adapters import with_sql
 from ..sources.event_log import parse_lines
 from ..streaming import resets as RT
 from ..streaming import tail as T
 from .queries_logs import drained
-from .queries_meter import OBS
+from .queries_meter import HOUR, MINUTE, OBS, _paths
 from .registry import ORACLE, query
 
 # W2 over observations of which every 23rd is delivered once more, forty observations later
@@ -80,3 +82,31 @@ def t10_stream_resets(spark, sf):
         return RT.standing(spark.read.schema(s.schema).parquet(out)).select("account", "previous_us", "us", "previous_used", "used", "classification")
     finally:
         spark.conf.set(provider, before)
+
+
+@query(ORACLE["s16_upsert_events"])
+def s16_merge_sink(spark, sf):
+    """The rows of s16_upsert_events, by day: the target, the batch, and the batch once more."""
+    path = X.scratch(spark, "merged")
+    t = D.token_events(spark, sf).select("event_id", F.when(F.col("k") % 2 != 0, F.col("model")).alias("model"), "total", "k", F.to_date("at").alias("day"))
+    batch = t.where("k % 4 <> 0").select("event_id", F.lit("filled").alias("model"), (F.col("total") + 1).alias("total"), "day")
+    G.merge_events(t.where("k % 3 <> 0").drop("k"), path, "event_id", ["model"], "day", 0)
+    for number in (1, 1, 2):
+        G.merge_events(batch, path, "event_id", ["model"], "day", number)
+    return spark.read.parquet(f"{path}/rows").drop("day")
+
+
+@query()
+def m50_crossing_windows(spark, sf):
+    """Paths of each model and day against a five-hour and a weekly allowance; every second day declares a reset in an hour, the others know nothing beyond it."""
+    paths = _paths(spark, sf).withColumnRenamed("origin_us", "day_us")
+    start = F.col("day_us") + F.col("step") * 5 * MINUTE
+    cost = F.create_map(F.lit("FiveHour"), F.col("t") / 400.0, F.lit("Weekly"), F.col("t") / 2500.0)
+    steps = paths.select("model", "day_us", "path", start.alias("from_us"), (start + 5 * MINUTE).alias("to_us"), cost.alias("costs"))
+    origins = paths.select("model", "day_us").distinct()
+    budgets = origins.select("model", "day_us", F.col("day_us").alias("origin_us"), F.explode(F.create_map(F.lit("FiveHour"), F.lit(90.0), F.lit("Weekly"), F.lit(60.0))).alias("window", "remaining"))
+    budgets = budgets.withColumn("reset_us", F.col("origin_us") + F.when(F.col("window") == "FiveHour", HOUR).otherwise(48 * HOUR))
+    at = F.col("day_us") + HOUR
+    resets = origins.where((F.col("day_us") / D.DAY_US) % 2 == 0).select("model", "day_us", F.lit("FiveHour").alias("window"), at.alias("at_us"), (at + 5 * HOUR).alias("next_us"), F.lit(100.0).alias("remaining"), F.col("day_us").alias("declared_us"))
+    outcomes = C.crossing_outcomes(steps, budgets, resets, ["model", "day_us"], F.col("origin_us") + 2 * HOUR)
+    return C.crossing_report(outcomes, ["model", "day_us"])
