@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import authority, median, valid_percent
+from ..functions.scalars import activity_state, authority, median, valid_percent
 from .filters import COHORT, cohort_key
 from .joins import levels_in, range_join
 from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold, fold_ranges
@@ -244,6 +244,26 @@ def latest_turn(turns: DataFrame, key: str, order: str, most: int | None = 150)
     return last if most is None else last.orderBy(F.desc(order), key).limit(most)
 
 
+#: How long a thread that is not at work stays in the list.
+LISTED_US = 24 * HOUR_US
+
+
+def recent_threads(turns: DataFrame, items: DataFrame, key: str, as_of_us: Column, recent_us: int, most: int | None = 150) -> DataFrame:
+    """Each thread's last turn with the last item of a turn in progress, its state, and the latest time of both; threads at work, and those
+    observed in the last 24 hours, the ones at work first, then by that time.
+
+    turns: key, turn, status, started_us, ended_us; items: key, turn, us, item.  `most` is the length of the list."""
+    last = latest_turn(turns, key, "turn", None).withColumn("_open", F.col("status") == "in_progress")
+    ends = items.groupBy(key, "turn").agg(F.max_by(F.struct("item", F.col("us").alias("item_us")), F.struct("us", "item")).alias("_i"))
+    t = last.join(ends, [key, "turn"], "left").withColumns({"last_item": F.when(F.col("_open"), F.col("_i.item")), "_item_us": F.when(F.col("_open"), F.col("_i.item_us"))})
+    t = t.withColumn("observed_us", F.greatest(F.coalesce("ended_us", "started_us"), "_item_us"))
+    t = t.withColumn("state", activity_state(F.col("status"), F.col("observed_us"), as_of_us, recent_us))
+    place = F.when(F.col("state") == "RecentlyWorking", 0).when(F.col("state") == "StaleInProgress", 1).otherwise(2)
+    listed = t.where((place < 2) | (F.col("observed_us") >= as_of_us - LISTED_US)).withColumn("_place", place)
+    out = listed if most is None else listed.orderBy("_place", F.col("observed_us").desc_nulls_last(), key).limit(most)
+    return out.select(key, "turn", "status", "started_us", "state", "observed_us", "last_item")
+
+
 def evidence_drift(observations: DataFrame, key: str, order: str, fields: list[str], epsilon: float = 1e-12) -> DataFrame:
     """Fields that changed between consecutive observations of a stream, by kind of change."""
     stack = ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in fields)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import crossing as C
 from ..operators import lineage as L
+from ..operators import windows as W
 from ..sources import adapters as D
 from ..sources import merge as G
 from ..sources import samples as X
@@ -15,6 +18,7 @@ from ..streaming import resets as RT
 from ..streaming import tail as T
 from .queries_logs import drained
 from .queries_meter import HOUR, MINUTE, OBS, _paths
+from .queries_usage import PRICES, V, _category_prices
 from .registry import ORACLE, query
 
 # W2 over observations of which every 23rd is delivered once more, forty observations later
@@ -110,3 +114,26 @@ def m50_crossing_windows(spark, sf):
     resets = origins.where((F.col("day_us") / D.DAY_US) % 2 == 0).select("model", "day_us", F.lit("FiveHour").alias("window"), at.alias("at_us"), (at + 5 * HOUR).alias("next_us"), F.lit(100.0).alias("remaining"), F.col("day_us").alias("declared_us"))
     outcomes = C.crossing_outcomes(steps, budgets, resets, ["model", "day_us"], F.col("origin_us") + 2 * HOUR)
     return C.crossing_report(outcomes, ["model", "day_us"])
+
+
+@query(with_sql("ev turns", """, n AS (SELECT max(us) AS now FROM ev), it AS (SELECT user_id AS session_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS turn, us, event_type AS item FROM ev),
+    l AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) = 1), i AS (SELECT session_id, turn, max(us) AS item_us, arg_max(item, (us, item)) AS item FROM it GROUP BY 1, 2),
+    o AS (SELECT l.session_id, l.turn, CASE WHEN ended_us IS NULL THEN 'in_progress' ELSE 'completed' END AS status, started_us, CASE WHEN ended_us IS NULL THEN i.item END AS last_item, CASE WHEN ended_us IS NULL THEN greatest(started_us, i.item_us) ELSE ended_us END AS observed_us, now FROM l LEFT JOIN i ON i.session_id = l.session_id AND i.turn = l.turn CROSS JOIN n),
+    s AS (SELECT *, CASE WHEN status = 'completed' THEN 'Completed' WHEN now - observed_us <= 7200000000 THEN 'RecentlyWorking' ELSE 'StaleInProgress' END AS state FROM o)
+    SELECT session_id, turn, status, started_us, state, observed_us, last_item FROM s WHERE state <> 'Completed' OR observed_us >= now - 86400000000 ORDER BY CASE state WHEN 'RecentlyWorking' THEN 0 WHEN 'StaleInProgress' THEN 1 ELSE 2 END, observed_us DESC, session_id LIMIT 150"""))
+def w16_recent_threads(spark, sf):
+    t = D.turns(spark, sf).withColumn("status", F.when(F.col("ended_us").isNull(), "in_progress").otherwise("completed"))
+    e = D.events(spark, sf)
+    items = e.select(F.col("user_id").alias("session_id"), F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 4).alias("turn"), "us", F.col("event_type").alias("item"))
+    now = e.agg(F.max("us")).first()[0]
+    return W.recent_threads(t, items, "session_id", F.lit(now).cast("long"), 2 * HOUR)
+
+
+@query(with_sql("ev tok", PRICES + " SELECT round(CAST(sum(tokens * price) AS DOUBLE), 4) AS covered, false AS unsupported, round(CAST(sum(tokens * price) AS DOUBLE) / 1000000, 6) AS score FROM j WHERE model NOT IN (SELECT model FROM j WHERE price IS NULL)"))
+def a20_supported_score(spark, sf):
+    """The exact score of the models that have a weight for every category in use."""
+    cells = V.unpivot(D.token_events(spark, sf).select("event_id", "model", *S.CATEGORIES), ["event_id", "model"]).where("tokens > 0")
+    weights = _category_prices(spark, sf).withColumnRenamed("price", "weight")
+    lacking = cells.select("model", "category").distinct().join(weights, ["model", "category"], "left_anti").select("model").distinct()
+    out = V.tt_score_exact(cells.join(lacking, "model", "left_anti"), weights, 1e6, ["model"])
+    return out.withColumns({"covered": F.round(F.col("covered").cast("double"), 4), "score": F.round("score", 6)})
