@@ -27,7 +27,7 @@ def test_each_query_without_sql_is_recomputed_somewhere():
         "a22_basis": "basis_id", "m10_backtest_workload": "backtest_candidates", "m20_cost_observations": "QM._cost", "m21_interval_ridge": "interval_ridge", "m22_cost_evaluation": "cost_evaluation", "m26_uncertainty_diagnostics": "uncertainty_diagnostics",
         "m27_regime_report": "regime_report", "m28_composed_evaluation": "composed_evaluation", "m29_assess_selection": "assess_selection", "m33_scenario_estimate": "scenario_estimate", "m3_m4_calibration": "calibration_errors", "m40_threshold_study": "threshold_study",
         "m43_rolling_joint_comparison": "rolling_joint_comparison", "m44_transfer_evaluation": "transfer_evaluation", "m45_aligned_window_study": "aligned_window_study", "m46_tt_evaluation": "tt_evaluation", "m47_session_quota_evaluation": "session_quota_evaluation",
-        "m7_horizon_predictions": "horizon_predictions", "m9_workload_correction": "workload_correction", "w11_evidence_support": "evidence_support", "w22_change_point": "change_point",
+        "m50_crossing_windows": "crossing_outcomes", "m7_horizon_predictions": "horizon_predictions", "m9_workload_correction": "workload_correction", "w11_evidence_support": "evidence_support", "w22_change_point": "change_point",
     }
     for name in set(QUERIES) - set(ORACLE):
         assert recomputed.get(name, f'"{name}"') in tests, name
