@@ -105,7 +105,7 @@ def m50_crossing_windows(spark, sf):
     """Paths of each model and day against a five-hour and a weekly allowance; every second day declares a reset in an hour, the others know nothing beyond it."""
     paths = _paths(spark, sf).withColumnRenamed("origin_us", "day_us")
     start = F.col("day_us") + F.col("step").cast("long") * (5 * MINUTE)
-    cost = F.create_map(F.lit("FiveHour"), F.col("t") / 1500.0, F.lit("Weekly"), F.col("t") / 8000.0)
+    cost = F.create_map(F.lit("FiveHour"), F.col("t") / 700.0, F.lit("Weekly"), F.col("t") / 8000.0)
     steps = paths.select("model", "day_us", "path", start.alias("from_us"), (start + 5 * MINUTE).alias("to_us"), cost.alias("costs"))
     origins = paths.select("model", "day_us").distinct()
     budgets = origins.select("model", "day_us", F.col("day_us").alias("origin_us"), F.explode(F.create_map(F.lit("FiveHour"), F.lit(90.0), F.lit("Weekly"), F.lit(60.0))).alias("window", "remaining"))
