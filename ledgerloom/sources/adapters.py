@@ -148,6 +148,30 @@ def daily_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("server_total", F.when((F.col("capture") == 2) & (F.dayofmonth("day") % 10 == 3), F.col("server_total") + 1).otherwise(F.col("server_total")))
 
 
+def observed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six readings of each user's usage report and limits as documents; some have failed, overlap, or are of another account."""
+    e = events(spark, sf_dir)
+    day = e.withColumn("n", F.unix_date(F.col("at").cast("date"))).groupBy("user_id", "n").agg(F.sum("inc").alias("t"), F.min("us").alias("us"))
+    d = day.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    u, c, n = F.col("user_id"), F.col("c"), F.col("n")
+    total = F.col("t") + F.when((c >= 3) & ((n + u) % 5 == 0), 1).otherwise(0)
+    share = (F.col("t") % 1000).cast("decimal(20,13)") + F.when((c == 4) & (n % 2 == 0), F.lit("0.0000000000001").cast("decimal(20,13)")).otherwise(F.lit("0").cast("decimal(20,13)"))
+    report = F.struct(F.date_from_unix_date(n).cast("string").alias("date"), total.alias("total"), F.struct(share.cast("decimal(20,13)").alias("all")).alias("surface"))
+    g = d.groupBy("user_id", "c").agg(F.min("us").alias("us"), F.min("n").alias("a"), F.max("n").alias("z"), F.collect_list(F.when((n + c) % 9 != 0, report)).alias("days"))
+    limit = lambda key, plan, reached: F.struct(F.lit(key).alias("key"), plan.alias("plan"), reached.alias("reached"), (u * 10 + c).alias("used"))
+    first = limit("primary", F.when((c == 5) & (u % 4 == 0), "pro").otherwise("plus"), (c + u) % 3 == 0)
+    limits = F.when((u + c) % 4 != 0, F.array(first, limit("extra", F.lit("plus"), F.lit(False)))).otherwise(F.array(first))
+    units = F.when((c == 4) & (u % 8 == 0), "credits").otherwise("percent")
+    iso = lambda x: F.date_from_unix_date(x).cast("string")
+    body = F.to_json(F.struct(units.alias("units"), iso(F.col("a")).alias("start_date"), iso(F.col("z")).alias("end_date"), F.col("days"), limits.alias("limits")))
+    began = F.col("us") + c * 6 * DAY_US
+    return g.select(
+        (u * 10 + c).alias("observation_id"), "user_id", F.when((u % 7 == 0) & (c == 2), "B").otherwise("A").alias("account"), F.lit("ServerCorrelated").alias("evidence"), began.alias("began_us"),
+        (began + F.when((u % 13 == 0) & (c == 2), 7 * DAY_US).otherwise(60_000_000)).alias("collected_us"), F.when((u + c) % 11 == 0, "Failed").otherwise("Available").alias("state"),
+        F.when((u % 6 == 0) & (c == 6), "2").otherwise("1").alias("client_version"), F.parse_json(body).alias("document"),
+    )
+
+
 #: The same tables in DuckDB's SQL, as common table expressions.
 SQL = {
     "ev": "ev AS (SELECT event_id, ts AS at, epoch_us(ts) AS us, user_id, event_type, value, CAST(json_extract(props,'$.k') AS INT) AS k, CAST(round(value*100) AS BIGINT) AS inc FROM events)",
