@@ -1,9 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 Documents with equal lines (blank ones left out) form a class; all but its first document, by id, lose every
-line.  The first ones are aligned in pairs, an earlier with a later one, that share a run of lines.  The run
-that starts at a line is the shortest one from there with LEAST_WORDS words, so often that line alone; every
-block that can be deleted holds one.  A run is rare if at most RARE of the first documents hold it: they
+line.  The first ones are aligned in pairs, an earlier with a later one, that share a run of lines: the shortest one
+with LEAST_WORDS words from a line, or up to a line, so often that line alone.  Each line of a block that can be deleted lies in a
+run within it, so a passage that starts or ends with boilerplate has runs that only its holders have.  A run is rare if at most RARE of the first documents hold it: they
 are all aligned with each other.  A run in more documents is boilerplate or a passage that many share: each of
 them is aligned with the first one, which holds all of the run, so that pairs grow with the number of lines and
 not with the square of a passage's holders.
@@ -57,18 +57,24 @@ def line_hashes(text: str) -> list[int]:
     return out
 
 
-def run_keys(lines: list[int]) -> set[int]:
-    """A hash for the shortest run of LEAST_WORDS words from each line (lines: without blank ones)."""
-    out, end, words = set(), 0, 0
+def _run_ends(lines: list[int]) -> Iterator[tuple[int, int]]:
+    """First and end place of the shortest run of LEAST_WORDS words from each line."""
+    end, words = 0, 0
     for i, h in enumerate(lines):
         while end < len(lines) and words < LEAST_WORDS:
             words += lines[end] & COUNTED
             end += 1
         if words < LEAST_WORDS:
-            break
-        out.add(h if end == i + 1 else xxhash.xxh3_64_intdigest(np.array(lines[i:end], dtype=np.int64).tobytes()) >> 1)
+            return
+        yield i, end
         words -= h & COUNTED
-    return out
+
+
+def run_keys(lines: list[int]) -> set[int]:
+    """A hash for the shortest run of LEAST_WORDS words from each line and for that up to each line (lines: without blank ones)."""
+    n = len(lines)
+    ends = {*_run_ends(lines), *((n - b, n - a) for a, b in _run_ends(lines[::-1]))}
+    return {lines[a] if b == a + 1 else xxhash.xxh3_64_intdigest(np.array(lines[a:b], dtype=np.int64).tobytes()) >> 1 for a, b in ends}
 
 
 def increasing(values: list[int]) -> list[int]:

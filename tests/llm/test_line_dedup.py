@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import pytest
 from ledgerloom.llm import line_dedup
 from pyspark.sql import functions as F
 
@@ -48,14 +49,14 @@ def runs(lines):
     out = set()
     for i in range(len(lines)):
         for j in range(i + 1, len(lines) + 1):
-            if words(lines[i:j]) >= line_dedup.LEAST_WORDS:
+            enough = words(lines[i:j]) >= line_dedup.LEAST_WORDS
+            if enough and (words(lines[i : j - 1]) < line_dedup.LEAST_WORDS or words(lines[i + 1 : j]) < line_dedup.LEAST_WORDS):
                 out.add(tuple(lines[i:j]))
-                break
     return out
 
 
-def brute(docs):
-    """(id, text) with distinct ids -> the lines that stay, blank ones left out."""
+def brute(docs, every_pair=False):
+    """(id, text) with distinct ids -> the lines that stay, blank ones left out; every_pair: of documents that share a run, however frequent."""
     lines = {i: [s.strip() for s in t.split("\n") if s.strip()] for i, t in sorted(docs)}
     first = {}
     for i, x in lines.items():
@@ -67,7 +68,7 @@ def brute(docs):
                 holders[r].append(i)
     pairs = set()
     for h in holders.values():
-        pairs |= set(itertools.combinations(h, 2)) if len(h) <= line_dedup.RARE else {(h[0], i) for i in h[1:]}
+        pairs |= set(itertools.combinations(h, 2)) if every_pair or len(h) <= line_dedup.RARE else {(h[0], i) for i in h[1:]}
     gone = {i: set(range(len(x))) if x and first[tuple(x)] != i else set() for i, x in lines.items()}
     for e, i in pairs:
         same = patience(lines[i], lines[e])
@@ -128,6 +129,30 @@ def test_equals_the_independent_version(spark, monkeypatch):
         assert deduplicated(spark, docs) == brute(docs)
 
 
+@pytest.mark.parametrize("holders", [8, 17, 30, 3000])
+def test_a_short_passage_beside_boilerplate_goes_however_many_hold_that(spark, holders):
+    x, y = "short passage after it", "and one before it"
+    docs = [(i, f"{line(f'p{i}x')}\n{R}\n{line(f'q{i}x')}") for i in range(holders - 4)]
+    docs += [(5000 + i, f"{line(f's{i}x')}\n{R}\n{x}\nyet more\n{line(f't{i}x')}") for i in range(2)]
+    docs += [(6000 + i, f"{line(f'u{i}x')}\n{y}\n{R}\n{line(f'v{i}x')}") for i in range(2)]
+    got = deduplicated(spark, docs)
+    assert got[5000] == [line("s0x"), x, "yet more", line("t0x")] and got[5001] == [line("s1x"), line("t1x")]
+    assert got[6000] == [line("u0x"), y, line("v0x")] and got[6001] == [line("u1x"), line("v1x")]
+
+
+def test_equals_alignment_of_every_pair_where_passages_keep_their_order(spark):
+    rng = random.Random(8)
+    pool = [" ".join(f"w{i}k{k}" for k in range(rng.choice([3, 9, 21]))) for i in range(30)]  # any line precedes those of larger index
+    docs = []
+    for i in range(90):
+        own = iter(range(100))
+        lines = []
+        for k in sorted(rng.sample(range(30), 3)):
+            lines += [f"own {i} {next(own)}", *pool[k : k + rng.randrange(1, 6)]]
+        docs.append((i, "\n".join(dict.fromkeys(lines))))
+    assert deduplicated(spark, docs) == brute(docs, every_pair=True)
+
+
 def test_repeated_ids_and_rows(spark):
     docs = [(1, f"{A}\n{B}")] * 3 + [(1, f"{A}\n{C}"), (None, f"{B}\nx"), (None, None), (2, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_lines_removed", F.lit("clash"))
