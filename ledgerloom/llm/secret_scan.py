@@ -132,18 +132,30 @@ def candidates(postings: DataFrame, key: str, rules=RULES) -> DataFrame:
     return full_ones.groupBy(key).agg(F.bit_or(rule_of[F.col("clause")]).alias("rules"), F.max("times").alias("times"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, i: int, rule: Rule) -> Column:
     """Array of (start, kind, end): the lengths between and of the matches, summed up."""
     pat = F.lit(rule.pattern)
     gaps, found, value = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pat, F.lit(0)), F.regexp_extract_all(text, pat, F.lit(rule.group))
     rows = F.zip_with(F.transform(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), F.length), F.transform(F.arrays_zip(found.alias("m"), value.alias("v")), lambda x: F.struct(F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v"))), lambda g, m: F.struct(g.alias("g"), m["m"].alias("m"), m["v"].alias("v")))
     kind = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), kind.alias("out"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["g"] + x["m"]).alias("at"),
         F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(i).alias("kind"), (acc["at"] + x["g"] + x["m"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
     )
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(kind)
+    walk = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), kind.alias("out")), step, lambda acc: acc["out"])
+    long = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["g"] + x["m"])
+    # appending to an array copies it, so about sqrt(n) parts of sqrt(n) matches are walked through, each from where it begins
+    wide = lambda r: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(r))).cast("int"))
+    parts = lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(r) - 1) / wide(r)).cast("int"))), lambda k: F.slice(r, k * wide(r) + 1, wide(r)))
+    none = F.array().cast("array<int>")
+    begins = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, p: F.struct((acc["at"] + long(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    spans = _once(_once(rows, parts), lambda ps: F.flatten(F.zip_with(ps, begins(ps), walk)))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(kind)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import datetime
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -86,6 +88,20 @@ def test_trigram_queries():
     assert q("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})] and q("[0-9a-f]{32,}") == []
 
 
+def test_tens_of_thousands_of_spans_in_one_text(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([31, 32, 40]))) for _ in range(30_000)]
+    want, at = [], 0
+    for w in words:
+        if len(w) >= 32:
+            want.append(f"hex:{at}:{at + len(w)}")
+        at += len(w) + 1
+    start = time.time()
+    got = secret_scan.digest(secret_scan.scan_secrets(spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string"))).first()
+    assert got.spans == ",".join(want) and got.n_hex == len(want)
+    assert time.time() - start < 40
+
+
 def test_secret_scan_messy(messy, empty):
     assert secret_scan.scan_secrets(messy).count() == messy.count() and secret_scan.scan_secrets(empty).count() == 0
 
@@ -228,6 +244,24 @@ def test_components(spark):
 # --- 4: WARC
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_warc_dates_are_utc_with_microseconds(spark, tmp_path, zone):
+    us = [0, 1_704_067_200_000_001, 1_730_613_600_999_999, 1_730_617_200_000_000, -1, None]  # two of them are one o'clock on the night clocks go back
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(i, "http://a.org/", f"p{i}", t) for i, t in enumerate(us)], "page_id long, url string, html string, t long")
+        mark = warc.write_warc(df, str(tmp_path / "w"), "page_id", "url", "html", F.timestamp_micros("t"), compression="none")
+        got = {r.id: r.us for r in warc.read_warc(spark, str(tmp_path / "w"), mark).select("id", F.unix_micros("ts").alias("us")).collect()}
+        assert got == dict(enumerate(us))
+        text = "".join(p.read_bytes().decode() for p in (tmp_path / "w").glob("part-*"))
+        for t in us[:-1]:
+            assert f"WARC-Date: {(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=t)).isoformat(timespec='microseconds')}Z\r\n" in text
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(6)
     pages = [(i, f"http://Ex{i % 3}.org/p{i % 7}", rng.choice(["<p>one</p>", "é\r\n\r\nWARC/1.1\r\nWARC-Type: response", None, "", "x" * 70_000, "WARC/1.1\r\n"])) for i in range(80)]
