@@ -11,7 +11,7 @@ and a hot URL spreads over several ranges.  Each entry names its file and where
 length in bytes of the file as it is without compression).
 
 Defined results: a null payload is an empty one; rows that share the largest id of a payload are all
-responses; a null URL has an empty key; line breaks in a URL are percent-encoded; a null id never becomes
+responses; times are written in UTC with microseconds, a null one as an empty date; a null URL has an empty key; line breaks in a URL are percent-encoded; a null id never becomes
 the response of a payload that also has an id; captures of one URL and time are ordered by id, and rows equal in all of
 these come in any order; repeated rows are records of their own; a page of any length is one record; other columns,
 whatever their names, are not read; an empty table gives an empty archive.
@@ -64,6 +64,14 @@ def _plan_records(captures: DataFrame, least_bytes: int) -> DataFrame:
     return joined.withColumn("_refers", F.when(~original, F.col("_first")))
 
 
+def utc_text(ts: Column) -> Column:
+    """ISO 8601 in UTC with microseconds, whatever the session's time zone; empty for null."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    two = lambda unit, most: F.lpad(F.pmod(F.floor(us / unit), F.lit(most)).cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(us / 86_400_000_000).cast("int")).cast("string")
+    return F.coalesce(F.concat(day, F.lit("T"), two(3_600_000_000, 24), F.lit(":"), two(60_000_000, 60), F.lit(":"), two(1_000_000, 60), F.lit("."), F.lpad(F.pmod(us, F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("Z")), F.lit(""))
+
+
 def _record(mark: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("_refers").isNotNull()
@@ -76,7 +84,7 @@ def _record(mark: str) -> Column:
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", ident(F.col("_id"))),
         line("WARC-Target-URI", url),
-        line("WARC-Date", F.date_format("_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", utc_text(F.col("_ts"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", ident(F.col("_refers"))), F.lit(f"WARC-Profile: {SAME_PAYLOAD}\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -110,7 +118,7 @@ def read_warc(spark: SparkSession, path: str, mark: str) -> DataFrame:
         (F.octet_length("value") + len(f"{VERSION}\r\nWARC-Mark: {mark}\r\n")).cast("long").alias("record_length"),
         ident("WARC-Record-ID").alias("id"),
         field("WARC-Target-URI").alias("url"),
-        F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        field("WARC-Date").try_cast("timestamp").alias("ts"),
         field("WARC-Type").alias("type"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
         field("Content-Length", "http").cast("long").alias("payload_bytes"),
