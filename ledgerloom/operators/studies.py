@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import CATEGORIES, interval_loss, valid_percent
 from ..sources.shared import kept
+from .earlier import bands_before
 from .filters import latest_per_key
 from .forecasting import MINUTE_US, Options, block_maxima_before, continue_workload, error_radius, interval_ridge, matured_sums, nonnegative_ridge, ridge_apply, ridge_before, with_band
 from .joins import range_join, reasons
@@ -90,13 +91,10 @@ def cost_trials(observations: DataFrame, keys: list[str], candidates: dict[str,
 
 def cost_evaluation(observations: DataFrame, keys: list[str], candidates: dict[str, list[str]], first: int = 20, parent: str = "zero", options: Options = Options()) -> DataFrame:
     """Each candidate frozen on the first rows and scored on the later disjoint ones: interval loss by row and by block,
-    residual quantiles, bands from earlier blocks' greatest losses (the last 40), and whether it wins materially over `parent`: a block loss
+    residual quantiles, bands from the greatest losses of all earlier blocks, and whether it wins materially over `parent`: a block loss
     smaller by a tenth and by 0.1 points, and better in most blocks."""
     by = [*keys, "candidate"]
-    t = block_maxima_before(kept(cost_trials(observations, keys, candidates, first), "cost-trials"), by, "loss", options, start="start_us", end="end_us")
-    n = F.size("calibration")
-    rank = F.least(n, F.ceil((n + 1) * options.coverage).cast("int"))
-    t = kept(t.withColumn("radius", F.when(n >= options.least_groups, F.element_at(F.sort_array("calibration"), F.greatest(F.lit(1), rank)))), "cost-bands")
+    t = kept(bands_before(kept(cost_trials(observations, keys, candidates, first), "cost-trials"), by, "loss", options), "cost-bands")
     at = lambda q: F.expr(f"percentile_disc({q}) within group (order by residual)")
     banded = F.col("radius").isNotNull()
     g = t.groupBy(*by).agg(
