@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .event_log import window_kind
+from .shared import kept
 
 DAILY = "struct<units:string,start_date:string,end_date:string,data:array<struct<date:string,credits:decimal(38,6),tokens:bigint,surfaces:map<string,double>>>>"
 
@@ -28,15 +31,28 @@ USAGE = "struct<status:string,lifetime_tokens:bigint,threads:array<struct<id:str
 
 
 def read_usage_reports(df: DataFrame, body: str = "body", ids: tuple[str, ...] = ("report_id",)) -> DataFrame:
-    """Threads of account reports, each with the report's state."""
-    r = df.select(*ids, F.from_json(F.col(body), USAGE).alias("r"))
-    t = F.coalesce(F.col("r.threads"), F.array().cast("array<struct<id:string,model:string,effort:string,tokens:bigint>>"))
-    keys = F.transform(t, lambda x: F.struct(x["id"], x["model"], x["effort"]))
+    """Threads of account reports, each with the report's state.
+
+    A report may come in several rows (pages) of the same ids; its state is that of all its pages together: unavailable, unsupported or
+    invalid if one of them is, a conflict if a thread stands twice in any of them.  So no row need hold a whole report.
+    """
+    r = df.select(*ids, F.from_json(F.col(body), USAGE).alias("r")).select(*ids, "r.status", "r.lifetime_tokens", F.explode_outer("r.threads").alias("t"))
+    r = r.select(*ids, "status", "lifetime_tokens", F.col("t").isNotNull().alias("_thread"), F.col("t.id").alias("thread_id"), F.col("t.model").alias("model"), F.col("t.effort").alias("effort"), F.col("t.tokens").alias("tokens"))
+    one = r.groupBy(*ids, "thread_id", "model", "effort").agg(
+        F.count_if("_thread").alias("_n"), F.bool_or(F.coalesce(F.col("tokens") < 0, F.lit(False))).alias("_negative"), F.max("lifetime_tokens").alias("_lifetime"),
+        F.bool_or(F.col("status").isNull()).alias("_invalid"), F.bool_or(F.col("status") == "unavailable").alias("_unavailable"), F.bool_or(~F.col("status").isin("ok", "unavailable")).alias("_unsupported"),
+    )
+    g = one.groupBy(*ids).agg(F.sum("_n").alias("_threads"), F.max("_n").alias("_most"), F.max("_lifetime").alias("lifetime_tokens"), *(F.bool_or(c).alias(c) for c in ("_negative", "_invalid", "_unavailable", "_unsupported")))
     state = (
-        F.when(F.col("r.status").isNull(), "Invalid").when(F.col("r.status") == "unavailable", "Unavailable").when(F.col("r.status") != "ok", "Unsupported")
-        .when(F.exists(t, lambda x: x["tokens"] < 0), "Invalid").when(F.size(F.array_distinct(keys)) < F.size(keys), "Conflict").when(F.size(t) == 0, "Empty").otherwise("Available")
+        F.when(F.col("_invalid"), "Invalid").when(F.col("_unavailable"), "Unavailable").when(F.col("_unsupported"), "Unsupported")
+        .when(F.col("_negative"), "Invalid").when(F.col("_most") > 1, "Conflict").when(F.col("_threads") == 0, "Empty").otherwise("Available")
     )
-    return r.select(*ids, state.alias("state"), F.col("r.lifetime_tokens").alias("lifetime_tokens"), F.explode_outer(t).alias("t")).select(*ids, "state", "lifetime_tokens", F.col("t.id").alias("thread_id"), F.col("t.model").alias("model"), F.col("t.effort").alias("effort"), F.col("t.tokens").alias("tokens"))
+    g = kept(g.select(*ids, state.alias("state"), "lifetime_tokens", "_threads"), "usage-reports")
+    threads = r.where("_thread").select(*ids, "thread_id", "model", "effort", "tokens")
+    same = lambda a, b: reduce(Column.__and__, (a[i].eqNullSafe(b[i]) for i in ids))
+    found = threads.join(g, same(threads, g)).select(*(threads[i] for i in ids), "state", "lifetime_tokens", "thread_id", "model", "effort", "tokens")
+    none = lambda c: F.lit(None).cast(threads.schema[c].dataType).alias(c)
+    return found.unionByName(g.where("_threads = 0").select(*ids, "state", "lifetime_tokens", *map(none, ("thread_id", "model", "effort", "tokens"))))
 
 
 PLAN = "struct<periods:array<struct<id:string,start:string,end:string,breakdowns:array<struct<dimension:string,items:array<struct<label:string,percent:double>>>>>>,tasks:array<struct<thread:string,percent:double>>>"
