@@ -17,7 +17,7 @@ def repeated(tmp_path_factory):
     return str(path)
 
 
-NAMES = ["w5_split_epochs"]
+NAMES = ["w5_split_epochs", "j10_backward_asof", "j9_forward_asof"]
 
 
 @pytest.mark.parametrize("name", NAMES)
