@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import activity_state, authority, median, valid_percent
 from .filters import COHORT, cohort_key
 from .joins import levels_in, range_join
-from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold, fold_ranges
+from .sequence import HOUR_US, SECOND_US, chronological_blocks, fold, fold_ranges, reading_order
 
 STREAM = ["provider", "profile", "kind", "source", "account"]
 
@@ -171,7 +171,8 @@ def evidence_support(rows: DataFrame, keys: list[str], residual: str, hours: flo
 
 def pace_estimates(epochs: DataFrame, keys: list[str]) -> DataFrame:
     """Rates (percent an hour) at every reading by several models; keys name a series within one epoch."""
-    w = Window.partitionBy(*keys).orderBy("us")
+    in_order = reading_order(epochs)
+    w, at = Window.partitionBy(*keys).orderBy(*in_order), Window.partitionBy(*keys).orderBy("us")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gap = (F.col("us") - F.lag("us").over(w)) / HOUR_US
     e = epochs.withColumns({"_h": gap, "_up": F.greatest(F.lit(0.0), F.col("used") - F.lag("used").over(w)), "_t": (F.col("us") - F.min("us").over(Window.partitionBy(*keys))) / HOUR_US})
@@ -179,15 +180,15 @@ def pace_estimates(epochs: DataFrame, keys: list[str]) -> DataFrame:
     for hours in (2, 6):
         # the factor exp(-now/tau) is common to both sums and cancels
         exposure = F.when(F.col("_h") > 0, hours * (1 - F.exp(-F.col("_h") / hours)) * F.exp(F.col("_t") / hours))
-        num, den = F.sum(F.col("_up") / F.col("_h") * exposure).over(upto), F.sum(exposure).over(upto)
+        num, den = F.sum(F.col("_up") / F.nullif(F.col("_h"), F.lit(0.0)) * exposure).over(upto), F.sum(exposure).over(upto)
         out = out.withColumn(f"time_ewma_{hours}h", F.coalesce(F.when(den > 0, num / den), F.lit(0.0)))
     first_us, first_used = F.first("us").over(upto), F.first("used").over(upto)
     for name, hours in (("recent_30m", 0.5), ("recent_2h", 2), ("recent_6h", 6), ("recent_24h", 24), ("epoch", None)):
         if hours is None:
             base_us, base = first_us, first_used
         else:
-            old = w.rangeBetween(Window.unboundedPreceding, -int(hours * HOUR_US))
-            base_us, base = F.coalesce(F.last("us").over(old), first_us), F.coalesce(F.last("used").over(old), first_used)
+            old = at.rangeBetween(Window.unboundedPreceding, -int(hours * HOUR_US))
+            base_us, base = F.coalesce(F.max("us").over(old), first_us), F.coalesce(F.max_by("used", F.struct(*in_order)).over(old), first_used)
         elapsed = (F.col("us") - base_us) / HOUR_US
         out = out.withColumn(name, F.coalesce(F.when(elapsed > 0, F.greatest(F.lit(0.0), F.col("used") - base) / elapsed), F.lit(0.0)))
     return out.withColumns({"persistence": F.lit(0.0), "damped_2h": F.col("recent_2h"), "damped_6h": F.col("recent_2h")}).drop("_h", "_up", "_t")
@@ -210,13 +211,13 @@ def exhaustion_hours(used: Column, rate: Column, damping: float | None = None) -
 
 def pace_receipt(epochs: DataFrame, keys: list[str], lookback_hours: float) -> DataFrame:
     """Which readings a recent-rate estimate rests on."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    old, upto = w.rangeBetween(Window.unboundedPreceding, -int(lookback_hours * HOUR_US)), w.rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(*reading_order(epochs))
+    old, upto = Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -int(lookback_hours * HOUR_US)), w.rowsBetween(Window.unboundedPreceding, 0)
     e = epochs.withColumn("_n", F.row_number().over(w))
     base = F.coalesce(F.max("_n").over(old), F.lit(1))
     late, unknown = F.sum((F.coalesce(F.col("collected_us") > F.col("us"), F.lit(False))).cast("int")), F.sum(F.col("collected_us").isNull().cast("int"))
     e = e.withColumns({"_late": late.over(upto), "_unknown": unknown.over(upto), "_base": base, "from_us": F.coalesce(F.max("us").over(old), F.min("us").over(upto))})
-    at = lambda c: F.coalesce(F.max(F.col(c)).over(w.rangeBetween(Window.unboundedPreceding, -int(lookback_hours * HOUR_US))), F.lit(0))
+    at = lambda c: F.coalesce(F.max(F.col(c)).over(old), F.lit(0))
     return e.select(*keys, "us", "from_us", (F.col("_n") - F.col("_base") + 1).alias("rows"), (F.col("_n") - F.col("_base")).alias("intervals"), F.col("_late").alias("late_so_far"), (F.col("_late") - at("_late")).alias("late_in_window"))
 
 

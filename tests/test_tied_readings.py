@@ -17,7 +17,7 @@ def repeated(tmp_path_factory):
     return str(path)
 
 
-NAMES = ["w5_split_epochs", "j10_backward_asof", "j9_forward_asof"]
+NAMES = ["w5_split_epochs", "j10_backward_asof", "j9_forward_asof", "w12_pace_estimates", "w13_project_remaining", "w14_pace_receipt"]
 
 
 @pytest.mark.parametrize("name", NAMES)
