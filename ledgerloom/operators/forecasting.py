@@ -19,7 +19,7 @@ from ..functions.scalars import CATEGORIES, complete_categories, half_width, mea
 from ..sources.shared import kept
 from .filters import latest_per_key
 from .joins import range_join
-from .sequence import HOUR_US, chronological_blocks, independent_rows, spaced_origins
+from .sequence import HOUR_US, chronological_blocks, independent_rows, reading_order, spaced_origins
 from .windows import PACE_MODELS, exhaustion_hours, pace_estimates, project_remaining, recency_group, turn_overlap
 
 MINUTE_US = 60_000_000
@@ -77,12 +77,13 @@ def replay_trials(epochs: DataFrame, keys: list[str], horizon_hours: float, mode
     prediction, the first reading in time after the horizon, and whether the allowance ran out (NULL: unknown)."""
     series = [*keys, "epoch_id"]
     h = int(horizon_hours * HOUR_US)
-    w, whole = Window.partitionBy(*series).orderBy("us"), Window.partitionBy(*series)
-    ahead = w.rangeBetween(h, h + 5 * MINUTE_US)
+    in_order = reading_order(epochs)
+    w, whole = Window.partitionBy(*series).orderBy(*in_order), Window.partitionBy(*series)
+    ahead = Window.partitionBy(*series).orderBy("us").rangeBetween(h, h + 5 * MINUTE_US)
     rest = w.rowsBetween(1, Window.unboundedFollowing)
     e = pace_estimates(epochs.where("epoch_id is not null"), series)
     e = e.withColumns({
-        "outcome_us": F.min("us").over(ahead), "_outcome": F.min_by("used", "us").over(ahead), "_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(whole),
+        "outcome_us": F.min("us").over(ahead), "_outcome": F.min_by("used", F.struct(*in_order)).over(ahead), "_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(whole),
         "_first": F.min("us").over(whole), "_last": F.max("us").over(whole), "exhausted_us": F.min(F.when(F.col("used") >= 100, F.col("us"))).over(rest),
     })
     ok = (F.col("_all") >= 3) & (F.col("_n") > 1) & (F.col("_n") < F.col("_all")) & (F.col("used") < 100) & (F.col("us") - F.col("_first") >= 15 * MINUTE_US) & (F.col("us") + h <= F.col("resets_us")) & F.col("outcome_us").isNotNull()
@@ -248,9 +249,9 @@ def pace_validation(trials: DataFrame) -> DataFrame:
     return trials.sparkSession.sql("SELECT model, use, reset_lead, count(*) AS trials, avg(error) AS mae FROM _pace_validation GROUP BY GROUPING SETS ((model), (model, use), (model, reset_lead))")
 
 
-def rank_allowances(forecasts: DataFrame, account: str) -> DataFrame:
-    """Each owner's windows by which limits first: exhausted, then soonest to run out, then pressure, then reset."""
-    order = [F.desc(F.col("used") >= 100), F.asc_nulls_last("eta_hours"), F.desc_nulls_last("pressure"), F.asc_nulls_last("resets_us")]
+def rank_allowances(forecasts: DataFrame, account: str, ties: tuple[str, ...] = ("us", "account")) -> DataFrame:
+    """Each owner's windows by which limits first: exhausted, then soonest to run out, then pressure, then reset, then by `ties`."""
+    order = [F.desc(F.col("used") >= 100), F.asc_nulls_last("eta_hours"), F.desc_nulls_last("pressure"), F.asc_nulls_last("resets_us"), *(F.col(c) for c in ties if c in forecasts.columns)]
     top = F.row_number().over(Window.partitionBy(account).orderBy(*order))
     status = F.when(F.col("used") >= 100, "Exhausted").when(F.col("eta_hours").isNotNull(), "RunsOut").otherwise("Lasts")
     return forecasts.withColumn("rank", top).withColumn("status", status)
@@ -546,9 +547,10 @@ def cost_candidates(epochs: DataFrame, keys: list[str], horizon_hours: float) ->
     series = [*keys, "epoch_id"]
     h = int(horizon_hours * HOUR_US)
     tolerance = int(min(5.0, horizon_hours * 12) * MINUTE_US)
-    w, whole = Window.partitionBy(*series).orderBy("us"), Window.partitionBy(*series)
-    ahead = w.rangeBetween(h, Window.unboundedFollowing)
-    e = epochs.where("epoch_id is not null").withColumns({"end_us": F.min("us").over(ahead), "end_used": F.min_by("used", "us").over(ahead), "_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(whole), "_first": F.min("us").over(whole)})
+    in_order = reading_order(epochs)
+    w, whole = Window.partitionBy(*series).orderBy(*in_order), Window.partitionBy(*series)
+    ahead = Window.partitionBy(*series).orderBy("us").rangeBetween(h, Window.unboundedFollowing)
+    e = epochs.where("epoch_id is not null").withColumns({"end_us": F.min("us").over(ahead), "end_used": F.min_by("used", F.struct(*in_order)).over(ahead), "_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(whole), "_first": F.min("us").over(whole)})
     e = e.where((F.col("_n") > 1) & (F.col("_n") < F.col("_all")))
     reason = (
         F.when(F.col("used") >= 100, "saturated-origin").when(F.col("us") - F.col("_first") < 15 * MINUTE_US, "epoch-warmup").when(F.col("end_us").isNull(), "no-outcome-in-epoch")
