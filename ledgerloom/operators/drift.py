@@ -52,6 +52,16 @@ def _escaped(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def _plain(value: Column, shape: Column) -> Column:
+    """A scalar's text; of a number that JSON wrote with an exponent (0E-13), which is read as a double, the digits without one."""
+    double = F.try_variant_get(value, F.lit("$"), "double")
+    exact = double.try_cast("decimal(38,18)")
+    size, whole = F.abs(exact), F.floor(F.abs(exact))
+    part = F.substring((size - whole + 1).cast("string"), 2, 20)  # "1." and the digits: no text of a small decimal has an exponent then
+    digits = F.concat(F.when(exact < 0, "-").otherwise(""), whole.cast("string"), F.regexp_replace(part, "\\.?0+$", ""))
+    return F.when((shape == "DOUBLE") & (exact.cast("double") == double), digits).otherwise(value.cast("string"))
+
+
 def flatten(documents: DataFrame, document: str, members: dict[str, str]) -> DataFrame:
     """documents' other columns with path, value, owners, array: a row for each scalar, of any depth.
 
@@ -69,10 +79,10 @@ def flatten(documents: DataFrame, document: str, members: dict[str, str]) -> Dat
         name = _escaped(F.coalesce("key", "_member", F.col("pos").cast("string")))
         child = F.when(F.col("path") == "", name).otherwise(F.concat_ws("/", "path", name))
         shape = F.schema_of_variant("value")
-        step = step.select(*rest, F.col("path").alias("_parent"), child.alias("path"), "owners", F.col("_member").isNotNull().alias("_named"), (shape.startswith("OBJECT") | shape.startswith("ARRAY")).alias("_deep"), F.col("value").alias("v"))
+        step = step.select(*rest, F.col("path").alias("_parent"), child.alias("path"), "owners", F.col("_member").isNotNull().alias("_named"), (shape.startswith("OBJECT") | shape.startswith("ARRAY")).alias("_deep"), shape.alias("_shape"), F.col("value").alias("v"))
         step = kept(step, "document-level")
         none = F.lit(None).cast("string")
-        out.append(step.where("not _deep").select(*rest, "path", F.col("v").cast("string").alias("value"), "owners", none.alias("array")))
+        out.append(step.where("not _deep").select(*rest, "path", _plain(F.col("v"), F.col("_shape")).alias("value"), "owners", none.alias("array")))
         out.append(step.where("_named").select(*rest, F.concat("path", F.lit("/reported")).alias("path"), F.lit(PRESENT).alias("value"), "owners", F.col("_parent").alias("array")))
         deep = step.where("_deep")
         if deep.isEmpty():

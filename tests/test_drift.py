@@ -107,3 +107,10 @@ def test_flatten_takes_any_shape(spark):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(99, None)], "k int, d string").withColumn("d", F.parse_json("d"))
     got = sorted((r["k"], r["path"], str(r["value"])) for r in flatten(df, "d", {}).collect())
     assert got == sorted((i, p, str(v)) for i, d in enumerate(docs) for p, v in plain_leaves(d))
+
+
+def test_numbers_with_exponents_are_compared_by_their_digits(spark):
+    rows = [(1, '{"a": 0E-13, "b": 1E-13, "c": 2.5E+3, "d": 1E-30, "e": -1.50E+0, "f": 0}')]
+    d = spark.createDataFrame(rows, "id long, text string").select("id", F.parse_json("text").alias("document"))
+    got = {r.path: r.value for r in flatten(d, "document", {}).collect()}
+    assert got == {"a": "0", "b": "0.0000000000001", "c": "2500", "d": "1.0E-30", "e": "-1.5", "f": "0"}
