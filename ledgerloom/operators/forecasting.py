@@ -20,6 +20,7 @@ from ..sources.shared import kept
 from .filters import latest_per_key
 from .joins import range_join
 from .sequence import HOUR_US, chronological_blocks, independent_rows, reading_order, spaced_origins
+from .sliding import active_at, latest_before, merged, pieces_of
 from .windows import PACE_MODELS, exhaustion_hours, pace_estimates, project_remaining, recency_group, turn_overlap
 
 MINUTE_US = 60_000_000
@@ -43,22 +44,27 @@ class Options:
 # --- features
 
 
-def origin_features(tokens: DataFrame, turns: DataFrame, context: DataFrame, origins: DataFrame, lookback_us: int, edges: DataFrame, mode: str = "reconstructed") -> DataFrame:
-    """M1: what happened in (origin - lookback, origin], per origin; `collected` counts only what was known by then."""
+def origin_features(tokens: DataFrame, turns: DataFrame | None, context: DataFrame, origins: DataFrame, lookback_us: int, edges: DataFrame, mode: str = "reconstructed") -> DataFrame:
+    """M1: what happened in (origin - lookback, origin], per origin; `collected` counts only what was known by then.  Without turns their features are left out."""
     from .aggregates import with_role
 
-    spans = origins.select("origin_us", (F.col("origin_us") - lookback_us).alias("from_us"))
-    known = lambda c: (F.coalesce(F.col(c) <= F.col("origin_us"), F.lit(False))) if mode == "collected" else F.lit(True)
-    hits = range_join(with_role(tokens, edges), spans, [], "us", "from_us", "origin_us", lookback_us, closed="right", levels=[0]).where(known("captured_us"))
-    g = hits.groupBy("origin_us").agg(
-        F.sum(F.greatest("total", F.lit(0))).cast("long").alias("tokens"), F.sum("cache_read").cast("long").alias("_cache"), F.sum(F.col("uncached") + F.col("cache_read") + F.col("cache_write")).cast("long").alias("_in"),
-        F.sum("reasoning").cast("long").alias("_reason"), F.sum(F.col("output") + F.col("reasoning")).cast("long").alias("_out"),
-        F.count_distinct(F.when(F.col("role") == "Root", F.col("session_id"))).alias("roots"), F.count_distinct(F.when(F.col("role") == "Subagent", F.col("session_id"))).alias("subagents"), F.count(F.lit(1)).alias("events"),
-    )
-    c = range_join(context, spans, [], "us", "from_us", "origin_us", lookback_us, closed="right", levels=[0]).groupBy("origin_us").agg(F.count_if("compaction").alias("compactions"), F.max_by(F.col("input") / F.col("window"), F.struct("us", "event_id")).alias("window_ratio"))
-    out = origins.select("origin_us").join(g, "origin_us", "left").join(c, "origin_us", "left").join(turn_overlap(turns, origins, lookback_us), "origin_us", "left")
+    e = pieces_of(with_role(tokens, edges), lookback_us, known=F.col("captured_us") if mode == "collected" else None)
+    zero = F.lit(0).cast("long")
+    sums = {"tokens": F.greatest("total", F.lit(0)), "_cache": F.col("cache_read"), "_in": F.col("uncached") + F.col("cache_read") + F.col("cache_write"), "_reason": F.col("reasoning"), "_out": F.col("output") + F.col("reasoning"), "events": F.lit(1)}
+    work = e.select("_s", "_e", *(F.coalesce(v.cast("long"), zero).alias(n) for n, v in sums.items()))
+    sessions = merged(e.where(F.col("session_id").isNotNull()).select("role", "session_id", "_s", "_e"), ["role", "session_id"])
+    counts = {"roots": F.col("role") == "Root", "subagents": F.col("role") == "Subagent"}
+    sessions = sessions.select("_s", "_e", *(v.cast("long").alias(n) for n, v in counts.items()))
+    marks = pieces_of(context.where("compaction"), lookback_us).select("_s", "_e", F.lit(1).cast("long").alias("compactions"))
+    names = [*sums, *counts, "compactions"]
+    full = lambda df: df.select("_s", "_e", *(F.col(n) if n in df.columns else zero.alias(n) for n in names))
+    out = active_at(full(work).unionByName(full(sessions)).unionByName(full(marks)), origins, lookback_us, [], names)
+    ratio = latest_before(context, origins, lookback_us, F.col("input") / F.col("window"), ["us", "event_id"]).withColumnRenamed("value", "window_ratio")
+    out = origins.select("origin_us").join(out, "origin_us", "left").join(ratio, "origin_us", "left")
+    if turns is not None:
+        out = out.join(turn_overlap(turns, origins, lookback_us), "origin_us", "left").fillna(0, ["completed", "open", "peak"])
     out = out.withColumns({"cache_share": F.when(F.col("_in") > 0, F.col("_cache") / F.col("_in")), "reasoning_share": F.when(F.col("_out") > 0, F.col("_reason") / F.col("_out"))}).drop("_in", "_out", "_cache", "_reason")
-    return out.fillna(0, ["tokens", "roots", "subagents", "events", "compactions", "completed", "open", "peak"])
+    return out.fillna(0, ["tokens", "roots", "subagents", "events", "compactions"])
 
 
 def recent_pattern(features: DataFrame, shares: DataFrame) -> DataFrame:
@@ -490,9 +496,9 @@ def usual_activity_study(hurdles: DataFrame, keys: list[str], split: float = 0.8
 
 def joint_before(tokens: DataFrame, origins: DataFrame, context_us: int) -> DataFrame:
     """(origin_us, model, effort) cells of the context before each origin."""
-    spans = origins.select("origin_us", (F.col("origin_us") - context_us).alias("from_us"))
-    hits = range_join(tokens, spans, [], "us", "from_us", "origin_us", context_us, closed="right", levels=[0])
-    return hits.groupBy("origin_us", "model", "effort").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in CATEGORIES))
+    e = pieces_of(tokens, context_us).select("model", "effort", "_s", "_e", F.lit(1).cast("long").alias("_n"), *(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in CATEGORIES), *(F.col(c).isNotNull().cast("long").alias(f"_k_{c}") for c in CATEGORIES))
+    cells = active_at(e, origins, context_us, ["model", "effort"], ["_n", *CATEGORIES, *(f"_k_{c}" for c in CATEGORIES)]).where("_n > 0")
+    return cells.select("origin_us", "model", "effort", *(F.when(F.col(f"_k_{c}") > 0, F.col(c)).cast("decimal(38,0)").alias(c) for c in CATEGORIES))
 
 
 def continue_workload(tokens: DataFrame, origins: DataFrame, context_us: int, horizon_us: int) -> DataFrame:
