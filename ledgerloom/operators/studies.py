@@ -8,12 +8,15 @@ everything else is joins and windows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import CATEGORIES, interval_loss, valid_percent
 from ..sources.shared import kept
@@ -333,23 +336,63 @@ def _scales(rows: DataFrame, keys: list[str], value: str, lower: str = "lower",
     return rows.groupBy(*keys).applyInPandas(fit, f"{ddl}, scale double")
 
 
+#: Into how many parts a group's donors are dealt, so that a group's pairs are not made in one task.
+DEALS = 32
+
+
+def _pair_scales(pairs: DataFrame, features: list[str], first: int, steps: int = 200) -> DataFrame:
+    """pairs without their training arrays, with `scale` (as `_scales` fits it): many pairs at once.  pairs: donor_weights, and arrays of `first`
+    training values: _x0, _x1, ... (the features), _lo, _up."""
+    names = [c for c in pairs.columns if c not in ("_lo", "_up", *(f"_x{i}" for i in range(len(features))))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = lambda c, n: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)  # noqa: E731, B023
+            w = flat("donor_weights", len(features))
+            x = sum(flat(f"_x{i}", first) * w[:, i : i + 1] for i in range(len(features)))
+            lo, up, curve = flat("_lo", first), flat("_up", first), (x * x).mean(1)
+            scale, live = np.zeros(len(x)), np.flatnonzero(curve > 1e-12)
+            for _ in range(steps):
+                if not len(live):
+                    break
+                y, old = x[live] * scale[live, None], scale[live]
+                new = np.maximum(0.0, old - (x[live] * (y - np.clip(y, lo[live], up[live]))).mean(1) / curve[live])
+                moving = np.abs(new - old) >= 1e-10
+                live = live[moving]
+                scale[live] = new[moving]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scale, mask=curve <= 1e-12)], [*names, "scale"])
+
+    return pairs.mapInArrow(run, T.StructType([*(pairs.schema[c] for c in names), T.StructField("scale", T.DoubleType())]))
+
+
 def transfer_evaluation(observations: DataFrame, group: list[str], cohort: str, features: list[str], first: int = 20, options: Options = Options()) -> DataFrame:
     """The fits of earlier cohorts of the same group (the donors) on a later cohort's held-out rows: as they are, with one scale fitted on its first
-    rows, and beside its own fit.  Cohorts meet their donors through a table of pairs, one row per pair."""
+    rows, and beside its own fit.  There is a row for each cohort and donor, so work grows with the square of a group's cohorts; what does not
+    depend on the donor (training arrays, blocks, own losses) is made once for each cohort."""
     keys = [*group, cohort]
     observations = kept(observations, "cost-rows")
-    parts = frozen_parts(observations, keys, first).where("issue is null")
-    fit = interval_ridge(observations, keys, features, first)
+    parts = kept(frozen_parts(observations, keys, first).where("issue is null"), "transfer-rows")
+    fit = interval_ridge(observations, keys, features, first).select(*keys, "weights")
     spans = parts.groupBy(*keys).agg(F.min("start_us").alias("_from"), F.max("end_us").alias("_to"))
-    fit = fit.join(spans, keys)
-    donors = fit.select(*group, F.col(cohort).alias("donor"), F.col("weights").alias("donor_weights"), F.col("_to").alias("_until"))
-    pairs = fit.select(*keys, "weights", "_from").join(donors, group).where(F.col("_until") <= F.col("_from")).drop("_from", "_until")
-    j = kept(parts.where("part <> 'overlap'").join(pairs, keys).withColumns({"_given": cost_of(features, "donor_weights"), "_own": cost_of(features)}), "transfers")
-    scale = _scales(j.where("part = 'training'").select(*keys, "donor", "_given", "lower", "upper"), [*keys, "donor"], "_given")
-    late = j.where("part = 'heldout'").join(scale, [*keys, "donor"], "left").withColumns({"reused": loss_of(F.col("_given")), "rescaled": loss_of(F.col("_given") * F.col("scale")), "local": loss_of(F.col("_own")), "nothing": loss_of(F.lit(0.0))})
+    fit = kept(fit.join(spans, keys), "transfer-fits")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    inputs = {f"_x{i}": number(f) for i, f in enumerate(features)}
+    seen = {**inputs, "_lo": F.col("lower").cast("double"), "_up": F.col("upper").cast("double")}
+    train = parts.where("part = 'training'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", *(v.alias(n) for n, v in seen.items())))).alias("_t"))
+    late = chronological_blocks(parts.where("part = 'heldout'"), keys, hours=options.block_hours).where("block_id is not null").join(fit.select(*keys, "weights"), keys)
+    late = kept(late.select(*keys, "block_id", "lower", "upper", *(v.alias(n) for n, v in inputs.items()), loss_of(cost_of(features)).alias("local"), loss_of(F.lit(0.0)).alias("nothing")), "transfer-late")
+    own = late.groupBy(*keys, "block_id").agg(F.count(F.lit(1)).alias("rows"), F.avg("local").alias("local"), F.avg("nothing").alias("nothing"))
+    own = own.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("blocks"), F.avg("local").alias("local"), F.avg("nothing").alias("nothing"))
+
+    donors = fit.select(*group, F.col(cohort).alias("donor"), F.col("weights").alias("donor_weights"), F.col("_to").alias("_until"), F.pmod(F.xxhash64(cohort), F.lit(DEALS)).cast("int").alias("_deal"))
+    mine = fit.select(*keys, "_from").join(train, keys).join(own.select(*keys), keys).select(*keys, "_from", *(F.col(f"_t.{n}").alias(n) for n in seen), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
+    pairs = mine.join(donors, [*group, "_deal"]).where(F.col("_until") <= F.col("_from")).select(*keys, "donor", "donor_weights", *seen)
+    scaled = _pair_scales(pairs, features, first)
+    given = reduce(Column.__add__, (F.col(f"_x{i}") * F.element_at("donor_weights", i + 1) for i in range(len(features))), F.lit(0.0))
     by = [*keys, "donor"]
-    b = block_means(late, by, ["reused", "rescaled", "local", "nothing"], options.block_hours)
-    return b.groupBy(*by).agg(F.sum("block_rows").alias("rows"), F.count(F.lit(1)).alias("blocks"), *(F.avg(c).alias(c) for c in ("reused", "rescaled", "local", "nothing")))
+    b = late.select(*keys, "block_id", "lower", "upper", *inputs).join(scaled, keys).withColumn("_given", given)
+    b = b.groupBy(*by, "block_id").agg(F.avg(loss_of(F.col("_given"))).alias("reused"), F.avg(loss_of(F.col("_given") * F.col("scale"))).alias("rescaled"))
+    return b.groupBy(*by).agg(F.avg("reused").alias("reused"), F.avg("rescaled").alias("rescaled")).join(own, keys).select(*by, "rows", "blocks", "reused", "rescaled", "local", "nothing")
 
 
 def aligned_window_study(pairs: DataFrame, keys: list[str], features: list[str], first: int = 20, options: Options = Options()) -> DataFrame:
