@@ -12,6 +12,7 @@ from ..sources import merge as G
 from ..sources import reports as R
 from ..sources import samples as X
 from ..sources.adapters import with_sql
+from ..sources.shared import kept
 from ..streaming import streams as T
 from . import queries_meter  # noqa: F401  (its SQL is used below)
 from .registry import ORACLE, query
@@ -163,14 +164,15 @@ NOW = "epoch_us(TIMESTAMP '1998-06-15')"
     CASE WHEN month(p.m) % 4 = 0 THEN 'revised' END, CASE WHEN month(p.m) % 4 <> 0 AND month(p.m) % 2 = 0 THEN 'unchanged' END, CASE WHEN month(p.m) = 3 THEN 'approximate' END, CASE WHEN l.t IS NULL THEN 'unmatched' END, CASE WHEN l.t <> reported THEN 'different' END,
     CASE WHEN abs(pc.s - reported) > 1 THEN 'conflicting-partition' END], lambda x: x IS NOT NULL), ',') AS states FROM p LEFT JOIN l ON p.m = l.m LEFT JOIN pc ON p.m = pc.m"""))
 def j17_reconcile_periods(spark, sf):
-    daily = D.server_daily(spark, sf)
+    ledger = kept(D.order_ledger(spark, sf).groupBy("day").agg(F.sum("total").cast("long").alias("total")), "ledger-days")  # several sides rest on it
+    daily = D.server_daily(spark, sf, ledger)
     p = daily.groupBy(F.trunc("day", "month").alias("from_day")).agg(F.sum("server_total").cast("long").alias("reported"))
     month, end = F.month("from_day"), F.add_months("from_day", 1)
     p = p.select(F.date_format("from_day", "yyyy-MM").alias("period"), "from_day", end.alias("to_day"), "reported", (month % 6 != 0).alias("complete"), F.when(month % 7 != 0, F.unix_date(end) * F.lit(86_400_000_000) + 3_600_000_000).alias("as_of_us"), (month == 3).alias("approximate"))
     captures = p.select("period", F.when(month % 2 == 0, 2).otherwise(1).alias("captures"), F.when(month % 4 == 0, 1).otherwise(0).alias("revisions"))
     off = F.when((F.month("day") % 5 == 0) & (F.dayofmonth("day") == 1), 5).otherwise(0)
     parts = daily.select(F.date_format("day", "yyyy-MM").alias("period"), F.lit("day").alias("dimension"), F.col("day").cast("string").alias("part"), (F.col("server_total") + off).alias("amount"))
-    return J.reconcile_periods(p, D.order_ledger(spark, sf), captures, parts, 897_868_800_000_000).select("period", "reported", "local_total", "states")
+    return J.reconcile_periods(p, ledger, captures, parts, 897_868_800_000_000).select("period", "reported", "local_total", "states")
 
 
 SEQ = ", s AS (SELECT doc_id AS f, unnest(range(len(string_split(text, chr(10))))) AS pos, md5(unnest(string_split(text, chr(10)))) AS h FROM documents), d AS (SELECT DISTINCT f, h FROM s), fo AS (SELECT x.f AS a, y.f AS b FROM d x JOIN d y ON x.h = y.h AND x.f < y.f), pr AS (SELECT a, b, count(*) AS shared FROM fo GROUP BY 1, 2), n AS (SELECT f, count(*) AS n FROM s GROUP BY 1), df AS (SELECT a, b, min(x.pos) AS diff FROM pr JOIN s x ON x.f = a JOIN s y ON y.f = b AND y.pos = x.pos WHERE x.h <> y.h GROUP BY 1, 2)"
