@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import tasks_for
 from .sequence import Watermark, _counters, _usable, fold, reduce_step
 
 HEADS = 32
@@ -70,13 +71,14 @@ def _without(heads: tuple[int, ...], head: int) -> tuple[int, ...]:
     return tuple(h for h in heads if h != head)
 
 
-def lineage_steps(observations: DataFrame, file: str = "session_id", order: tuple[str, ...] = ("us", "source_event_id"), ident: str = "source_event_id", time: str = "us") -> DataFrame:
+def lineage_steps(observations: DataFrame, file: str = "session_id", order: tuple[str, ...] = ("us", "source_event_id"), ident: str = "source_event_id", time: str = "us", tasks: int | None = None) -> DataFrame:
     """Every observation with its transition bucket and what each reading adds for it.
 
     An observation whose id the file had before is a retry.  Retries are told by a window over (file, id), so the walk
-    through a file holds its heads and no set of ids."""
+    through a file holds its heads and no set of ids.  tasks: into how many the files are dealt, else as many as their rows need."""
     nth = F.row_number().over(Window.partitionBy(file, ident).orderBy(*order))
-    return fold(observations.withColumn("_again", nth > 1), [file], list(order), [ident, time, "total", "last", "_again"], Lineage, lineage_step, STEPS).drop("_again")
+    tasks = tasks or tasks_for(observations)
+    return fold(observations.repartition(tasks, file).withColumn("_again", nth > 1), [file], list(order), [ident, time, "total", "last", "_again"], Lineage, lineage_step, STEPS, tasks=tasks).drop("_again")
 
 
 def lineage_totals(steps: DataFrame, file: str = "session_id") -> DataFrame:

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import tasks_for
+
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 WEEK_US = 7 * DAY_US
 
@@ -46,6 +48,7 @@ def counters(total: Column) -> dict[str, Column]:
 def token_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw cumulative counters per session, with nullable structs `total` and `last`."""
     e = events(spark, sf_dir)
+    e = e.repartition(tasks_for(e), "user_id")
     order = Window.partitionBy("user_id").orderBy("event_id")
     e = e.withColumn("epoch", F.sum((F.col("k") % 50 == 0).cast("int")).over(order))
     e = e.withColumn("run", F.sum("inc").over(Window.partitionBy("user_id", "epoch").orderBy("event_id")))

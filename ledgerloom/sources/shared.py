@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and how many tasks their rows are dealt to."""
 
 from __future__ import annotations
 
@@ -10,6 +10,18 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_TASK, FEWEST_ROWS = 200_000, 10_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks to deal rows to that are sorted and walked through there.
+
+    Adaptive execution joins partitions by their compressed bytes, of which narrow rows have few, while the memory of sorts grows
+    with the rows; it leaves a number that is named as it is."""
+    n = rows.count()
+    return max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // FEWEST_ROWS), n // ROWS_PER_TASK)
+
+
 @cache
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")

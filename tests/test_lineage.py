@@ -4,7 +4,10 @@ import random
 
 import pytest
 from ledgerloom.operators import lineage as L
-from ledgerloom.operators.sequence import reduce_step
+from ledgerloom.operators.sequence import reduce_counters, reduce_step
+from ledgerloom.plans.queries_growth import _delivered
+from ledgerloom.sources import adapters, shared
+from pyspark.sql import functions as F
 
 COUNTERS = "struct<input:long,cached:long,cache_write:long,output:long,reasoning:long,total:long>"
 ROW = f"session_id int, arrival int, source_event_id int, us long, total {COUNTERS}, last {COUNTERS}"
@@ -114,3 +117,18 @@ def test_interleaved_lines_are_counted_whole(spark):
 
 def test_no_observations(spark):
     assert L.lineage_transitions(L.lineage_steps(spark.createDataFrame([], ROW))).collect() == []
+
+
+def test_tasks_of_a_walk_grow_with_its_rows(spark, monkeypatch):
+    """Rows of small tables are few bytes, which adaptive execution would join into one task."""
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 500)
+    sf = "/root/testdata/sf0.01"
+    for steps in (_delivered(spark, sf), reduce_counters(adapters.token_observations(spark, sf))):
+        tasks = [r["count"] for r in steps.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(tasks) > 15 and max(tasks) < 2_000 and sum(tasks) >= 10_000
+
+
+def test_tasks_for_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FEWEST_ROWS", 10)
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 1000)
+    assert [shared.tasks_for(spark.range(n)) for n in (0, 9, 45, 500, 50_500)] == [1, 1, 4, 8, 50]
