@@ -132,3 +132,16 @@ def test_tasks_for_rows(spark, monkeypatch):
     monkeypatch.setattr(shared, "FEWEST_ROWS", 10)
     monkeypatch.setattr(shared, "ROWS_PER_TASK", 1000)
     assert [shared.tasks_for(spark.range(n)) for n in (0, 9, 45, 500, 50_500)] == [1, 1, 4, 8, 50]
+
+
+def test_observations_are_derived_once(spark):
+    """A copy delivered later is a row beside its first one; the same rows as those of a union with a second derivation."""
+    sf = "/root/testdata/sf0.001"
+    steps = _delivered(spark, sf)
+    assert steps._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    o = adapters.token_observations(spark, sf).withColumn("arrival", 2 * F.col("source_event_id"))
+    twice = L.lineage_steps(o.unionByName(o.where("source_event_id % 23 = 0").withColumn("arrival", F.col("arrival") + 81)), order=("arrival",))
+    of = lambda rows: sorted(map(repr, rows.select(steps.columns).collect()))
+    assert of(steps) == of(twice)
+    retries = steps.where(F.col("transition") == L.RETRY)
+    assert retries.count() == steps.count() - o.count() == steps.where("source_event_id % 23 = 0").count() / 2 > 0
