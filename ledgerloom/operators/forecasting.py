@@ -12,8 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import CATEGORIES, complete_categories, half_width, measurement_envelope, median, rank_quantile, valid_percent
 from ..sources.shared import kept
@@ -584,31 +587,51 @@ def cost_observations(candidates: DataFrame, keys: list[str], events: DataFrame)
 
 def nonnegative_ridge(x: np.ndarray, lower: np.ndarray, upper: np.ndarray, penalty: float = 0.1, prior: np.ndarray | None = None, steps: int = 2000) -> np.ndarray:
     """Weights >= 0 without intercept that come closest to the envelopes; RMS-scaled, by projected gradient."""
-    scale = np.sqrt((x * x).mean(0))
+    return nonnegative_ridges(x[None], lower[None], upper[None], penalty, None if prior is None else prior[None], steps)[0]
+
+
+def nonnegative_ridges(x: np.ndarray, lower: np.ndarray, upper: np.ndarray, penalty: float = 0.1, prior: np.ndarray | None = None, steps: int = 2000) -> np.ndarray:
+    """`nonnegative_ridge` of many cohorts of equally many rows at once: x by cohort, row and feature; each cohort stops where it has come to rest."""
+    scale = np.sqrt((x * x).mean(1))
     scale[scale < 1e-12] = 1.0
-    z, p = x / scale, (np.zeros(x.shape[1]) if prior is None else prior * scale)
-    rate = 1.0 / (np.linalg.norm(z, 2) ** 2 / len(z) + penalty)
-    w = np.maximum(p, 0)
+    z = x / scale[:, None]
+    p = np.zeros(scale.shape) if prior is None else prior * scale
+    n, out, live = x.shape[1], np.maximum(p, 0), np.arange(len(x))
+    rate = 1.0 / (np.linalg.norm(z, 2, axis=(1, 2)) ** 2 / n + penalty)
+    w, rate = out.copy(), rate[:, None]
     for _ in range(steps):
-        y = z @ w
-        miss = np.where(y < lower, y - lower, np.where(y > upper, y - upper, 0.0))
-        new = np.maximum(0, w - rate * (z.T @ miss / len(z) + penalty * (w - p)))
-        if np.abs(new - w).max() < 1e-10:
+        if not len(live):
             break
+        y = (z @ w[:, :, None])[:, :, 0]
+        miss = np.where(y < lower, y - lower, np.where(y > upper, y - upper, 0.0))
+        new = np.maximum(0, w - rate * ((miss[:, None] @ z)[:, 0] / n + penalty * (w - p)))
+        moving = ~(np.abs(new - w).max(1) < 1e-10)
+        if not moving.all():
+            live, z, lower, upper, p, rate, new = (a[moving] for a in (live, z, lower, upper, p, rate, new))
         w = new
-    return w / scale
+        out[live] = w
+    return out / scale
 
 
 def interval_ridge(observations: DataFrame, keys: list[str], features: list[str], first: int = 20, penalty: float = 0.1) -> DataFrame:
-    """One fit per cohort on its first rows, so a group is never larger than `first`."""
-    train = latest_per_key(observations, keys, [F.col("start_us"), F.col("end_us")], first).select(*keys, *(F.col(f).cast("double").alias(f) for f in features), "lower", "upper")
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        w = nonnegative_ridge(g[features].to_numpy(), g["lower"].to_numpy(), g["upper"].to_numpy(), penalty)
-        return pd.DataFrame([[*g[keys].iloc[0], len(g), w.tolist()]], columns=[*keys, "n", "weights"])
+    """One fit per cohort on its first rows, so a group is never larger than `first`; many cohorts are fitted at once."""
+    train = latest_per_key(observations, keys, [F.col("start_us"), F.col("end_us")], first)
+    row = F.array(*(F.col(c).cast("double") for c in (*features, "lower", "upper")))
+    d = len(features)
 
-    ddl = ", ".join(f"`{k}` {train.schema[k].dataType.simpleString()}" for k in keys)
-    return train.groupBy(*keys).applyInPandas(fit, f"{ddl}, n long, weights array<double>")
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("_rows")).to_numpy()
+            rows = batch.column("_rows").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, d + 2)
+            ends, weights = np.cumsum(sizes), np.empty((len(sizes), d))
+            for n in np.unique(sizes):
+                mine = np.flatnonzero(sizes == n)
+                of = rows[(ends[mine] - n)[:, None] + np.arange(n)]
+                weights[mine] = nonnegative_ridges(of[:, :, :d], of[:, :, d], of[:, :, d + 1], penalty)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(sizes.astype("int64")), pa.array(list(weights), pa.list_(pa.float64()))], [*keys, "n", "weights"])
+
+    groups = train.groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
+    return groups.mapInArrow(fit, T.StructType([*(groups.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType()))]))
 
 
 def cost_vectors(cells: DataFrame, ids: list[str], vocabulary: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -336,8 +337,20 @@ def _scales(rows: DataFrame, keys: list[str], value: str, lower: str = "lower",
     return rows.groupBy(*keys).applyInPandas(fit, f"{ddl}, scale double")
 
 
-#: Into how many parts a group's donors are dealt, so that a group's pairs are not made in one task.
-DEALS = 32
+def _closest(x: np.ndarray, lower: np.ndarray, upper: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The scale of each row of x that brings it closest to its envelope (a row for each, or one for all), and which rows are zero and have none."""
+    curve = (x * x).mean(1)
+    scale, live = np.zeros(len(x)), np.flatnonzero(curve > 1e-12)
+    of = lambda bound: bound[live] if bound.ndim > 1 else bound
+    for _ in range(steps):
+        if not len(live):
+            break
+        y, old = x[live] * scale[live, None], scale[live]
+        new = np.maximum(0.0, old - (x[live] * (y - np.clip(y, of(lower), of(upper)))).mean(1) / curve[live])
+        moving = np.abs(new - old) >= 1e-10
+        live = live[moving]
+        scale[live] = new[moving]
+    return scale, curve <= 1e-12
 
 
 def _pair_scales(pairs: DataFrame, features: list[str], first: int, steps: int = 200) -> DataFrame:
@@ -350,49 +363,114 @@ def _pair_scales(pairs: DataFrame, features: list[str], first: int, steps: int =
             flat = lambda c, n: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)  # noqa: E731, B023
             w = flat("donor_weights", len(features))
             x = sum(flat(f"_x{i}", first) * w[:, i : i + 1] for i in range(len(features)))
-            lo, up, curve = flat("_lo", first), flat("_up", first), (x * x).mean(1)
-            scale, live = np.zeros(len(x)), np.flatnonzero(curve > 1e-12)
-            for _ in range(steps):
-                if not len(live):
-                    break
-                y, old = x[live] * scale[live, None], scale[live]
-                new = np.maximum(0.0, old - (x[live] * (y - np.clip(y, lo[live], up[live]))).mean(1) / curve[live])
-                moving = np.abs(new - old) >= 1e-10
-                live = live[moving]
-                scale[live] = new[moving]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scale, mask=curve <= 1e-12)], [*names, "scale"])
+            scale, none = _closest(x, flat("_lo", first), flat("_up", first), steps)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scale, mask=none)], [*names, "scale"])
 
     return pairs.mapInArrow(run, T.StructType([*(pairs.schema[c] for c in names), T.StructField("scale", T.DoubleType())]))
 
 
+#: About how many donors and how many cohorts meet in a unit of work, how many pairs a task makes, held-out rows that a cohort brings at once, and pairs in a batch of the result.
+DONORS, COHORTS, TRANSFERS_PER_TASK, PIECE, TRANSFERS = 2048, 512, 500_000, 256, 32_768
+
+
+def _lists(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """A column of lists of numbers as one matrix, where each row's part of it begins (and the last ends), and the same as Arrow has it."""
+    flat = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.column_stack([flat.field(n).to_numpy(zero_copy_only=False).astype(float) for n in names]), np.concatenate([[0], np.cumsum(sizes)]), flat
+
+
+def _misses(predicted: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The losses of predictions (a row for each donor) on held-out rows (lower, upper, share), each with its share in the balanced mean."""
+    return np.fmax(np.fmax(rows[:, 0] - predicted, predicted - rows[:, 1]), 0.0) @ rows[:, 2]
+
+
+def _transfers(units: DataFrame, unit: list[str], own: list[str], d: int) -> DataFrame:
+    """The pairs of each unit's donors and cohorts: own, donor, reused, rescaled.  units: rows sorted by unit, each unit's donors first (_donors, by the time
+    until which they know), then cohorts (_from, _last, _train, _late), whose held-out rows may come in several pieces."""
+    x = [f"_x{i}" for i in range(d)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = None  # the unit whose donors are at hand
+        for batch in batches:
+            given, at_donor, flat = _lists(batch.column("_donors"), [f"_w{i}" for i in range(d)])
+            donors, until = flat.field("donor"), flat.field("_until").to_numpy(zero_copy_only=False)
+            train, at_train, _ = _lists(batch.column("_train"), [*x, "_lo", "_up"])
+            late, at_late, _ = _lists(batch.column("_late"), [*x, "_lo", "_up", "_share"])
+            begins, last = batch.column("_from").to_numpy(zero_copy_only=False), batch.column("_last").to_pylist()
+            done, made = [], 0
+
+            def pairs() -> pa.RecordBatch:
+                rows, ids, reused, rescaled = zip(*done)  # noqa: B023
+                mine = batch.select(own).take(pa.array(np.repeat(rows, [len(i) for i in ids])))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*mine.columns, pa.concat_arrays(ids), pa.array(np.concatenate(reused)), pa.array(np.concatenate(rescaled))], [*own, "donor", "reused", "rescaled"])
+
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in unit))):
+                a, z = at_donor[i], at_donor[i + 1]
+                if z > a:
+                    met, ids, ends, w = key, donors.slice(a, z - a), until[a:z], given[a:z]
+                    continue
+                if met != key:
+                    continue
+                rows = train[at_train[i] : at_train[i + 1]]
+                if len(rows):
+                    n = int(np.searchsorted(ends, begins[i], side="right"))
+                    scale, none = _closest(w[:n] @ rows[:, :d].T, rows[:, d], rows[:, d + 1])
+                    fits, reused, rescaled = np.flatnonzero(~none), np.zeros(n), np.zeros(n)
+                if not n:
+                    continue
+                rows = late[at_late[i] : at_late[i + 1]]
+                predicted = w[:n] @ rows[:, :d].T
+                reused += _misses(predicted, rows[:, d:])
+                rescaled[fits] += _misses(predicted[fits] * scale[fits, None], rows[:, d:])
+                if last[i]:
+                    done.append((i, ids.slice(0, n), reused, rescaled))
+                    made += n
+                    if made >= TRANSFERS:
+                        yield pairs()
+                        done, made = [], 0
+            if done:
+                yield pairs()
+
+    donor = units.schema["_donors"].dataType.elementType["donor"]
+    return units.mapInArrow(run, T.StructType([*(units.schema[c] for c in own), donor, *(T.StructField(c, T.DoubleType()) for c in ("reused", "rescaled"))]))
+
+
 def transfer_evaluation(observations: DataFrame, group: list[str], cohort: str, features: list[str], first: int = 20, options: Options = Options()) -> DataFrame:
     """The fits of earlier cohorts of the same group (the donors) on a later cohort's held-out rows: as they are, with one scale fitted on its first
-    rows, and beside its own fit.  There is a row for each cohort and donor, so work grows with the square of a group's cohorts; what does not
-    depend on the donor (training arrays, blocks, own losses) is made once for each cohort."""
+    rows, and beside its own fit.  There is a row for each cohort and donor, so work grows with the square of a group's cohorts.  Parts of the
+    donors meet parts of the cohorts in units of bounded size; a pair is made whole there and leaves as a row of the result, so no pairs are shuffled."""
     keys = [*group, cohort]
     observations = kept(observations, "cost-rows")
     parts = kept(frozen_parts(observations, keys, first).where("issue is null"), "transfer-rows")
-    fit = interval_ridge(observations, keys, features, first).select(*keys, "weights")
+    fit = interval_ridge(parts.where("part = 'training'"), keys, features, first).select(*keys, "weights")
     spans = parts.groupBy(*keys).agg(F.min("start_us").alias("_from"), F.max("end_us").alias("_to"))
     fit = kept(fit.join(spans, keys), "transfer-fits")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     inputs = {f"_x{i}": number(f) for i, f in enumerate(features)}
-    seen = {**inputs, "_lo": F.col("lower").cast("double"), "_up": F.col("upper").cast("double")}
-    train = parts.where("part = 'training'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", *(v.alias(n) for n, v in seen.items())))).alias("_t"))
-    late = chronological_blocks(parts.where("part = 'heldout'"), keys, hours=options.block_hours).where("block_id is not null").join(fit.select(*keys, "weights"), keys)
-    late = kept(late.select(*keys, "block_id", "lower", "upper", *(v.alias(n) for n, v in inputs.items()), loss_of(cost_of(features)).alias("local"), loss_of(F.lit(0.0)).alias("nothing")), "transfer-late")
+    seen = [*(v.alias(n) for n, v in inputs.items()), F.col("lower").cast("double").alias("_lo"), F.col("upper").cast("double").alias("_up")]
+    train = parts.where("part = 'training'").groupBy(*keys).agg(F.collect_list(F.struct(*seen)).alias("_train")).withColumn("_piece", F.lit(0))
+    late = chronological_blocks(parts.where("part = 'heldout'"), keys, hours=options.block_hours).where("block_id is not null").join(fit.select(*keys, "weights", "_from"), keys)
+    late = kept(late.select(*keys, "_from", "start_us", "block_id", *seen, loss_of(cost_of(features)).alias("local"), loss_of(F.lit(0.0)).alias("nothing")), "transfer-late")
     own = late.groupBy(*keys, "block_id").agg(F.count(F.lit(1)).alias("rows"), F.avg("local").alias("local"), F.avg("nothing").alias("nothing"))
     own = own.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("blocks"), F.avg("local").alias("local"), F.avg("nothing").alias("nothing"))
 
-    donors = fit.select(*group, F.col(cohort).alias("donor"), F.col("weights").alias("donor_weights"), F.col("_to").alias("_until"), F.pmod(F.xxhash64(cohort), F.lit(DEALS)).cast("int").alias("_deal"))
-    mine = fit.select(*keys, "_from").join(train, keys).join(own.select(*keys), keys).select(*keys, "_from", *(F.col(f"_t.{n}").alias(n) for n in seen), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
-    pairs = mine.join(donors, [*group, "_deal"]).where(F.col("_until") <= F.col("_from")).select(*keys, "donor", "donor_weights", *seen)
-    scaled = _pair_scales(pairs, features, first)
-    given = reduce(Column.__add__, (F.col(f"_x{i}") * F.element_at("donor_weights", i + 1) for i in range(len(features))), F.lit(0.0))
-    by = [*keys, "donor"]
-    b = late.select(*keys, "block_id", "lower", "upper", *inputs).join(scaled, keys).withColumn("_given", given)
-    b = b.groupBy(*by, "block_id").agg(F.avg(loss_of(F.col("_given"))).alias("reused"), F.avg(loss_of(F.col("_given") * F.col("scale"))).alias("rescaled"))
-    return b.groupBy(*by).agg(F.avg("reused").alias("reused"), F.avg("rescaled").alias("rescaled")).join(own, keys).select(*by, "rows", "blocks", "reused", "rescaled", "local", "nothing")
+    whole = Window.partitionBy(*keys)
+    piece = late.drop("local", "nothing").join(own, keys).withColumn("_share", 1.0 / (F.count(F.lit(1)).over(Window.partitionBy(*keys, "block_id")) * F.col("blocks")))
+    piece = piece.withColumn("_piece", F.floor((F.row_number().over(whole.orderBy("start_us")) - 1) / PIECE).cast("int")).withColumn("_last", F.col("_piece") == F.floor((F.col("rows") - 1) / PIECE))
+    scores = ["rows", "blocks", "local", "nothing"]
+    piece = piece.groupBy(*keys, "_piece").agg(*(F.first(c).alias(c) for c in ("_from", "_last", *scores)), F.collect_list(F.struct(*inputs, "_lo", "_up", "_share")).alias("_late")).join(train, [*keys, "_piece"], "left")
+
+    sizes = fit.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(*group, "_n", F.ceil(F.col("_n") / DONORS).cast("int").alias("_deals"), F.ceil(F.col("_n") / COHORTS).cast("int").alias("_slices"))
+    tasks = (sizes.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0) // TRANSFERS_PER_TASK + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    donor = F.struct(F.col("_to").alias("_until"), F.col(cohort).alias("donor"), *(F.element_at("weights", i + 1).alias(f"_w{i}") for i in range(len(features))))
+    donors = fit.join(sizes, group).groupBy(*group, "_slices", F.pmod(F.xxhash64(cohort), "_deals").cast("int").alias("_deal")).agg(F.array_sort(F.collect_list(donor)).alias("_donors"))
+    donors = donors.select(*group, "_deal", every("_slices").alias("_slice"), "_donors")
+    mine = piece.join(sizes, group).withColumn("_slice", F.pmod(F.xxhash64(cohort, F.lit("slice")), "_slices").cast("int")).withColumn("_deal", every("_deals")).drop("_n", "_deals", "_slices")
+    unit = [*group, "_deal", "_slice"]
+    units = donors.unionByName(mine, allowMissingColumns=True).repartition(int(tasks), *unit).sortWithinPartitions(*unit, F.col(cohort).asc_nulls_first(), "_piece")
+    return _transfers(units, unit, [*keys, *scores], len(features)).select(*keys, "donor", "rows", "blocks", "reused", "rescaled", "local", "nothing")
 
 
 def aligned_window_study(pairs: DataFrame, keys: list[str], features: list[str], first: int = 20, options: Options = Options()) -> DataFrame:
