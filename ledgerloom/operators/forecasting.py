@@ -575,7 +575,7 @@ def cost_observations(candidates: DataFrame, keys: list[str], events: DataFrame)
     series = [*keys, "epoch_id"]
     good = independent_rows(candidates.where("reason is null"), series)
     lower, upper = measurement_envelope(F.col("start_used"), F.col("end_used"), authority(F.col("source")) == "ProviderAuthoritative")
-    good = good.withColumns({"lower": lower, "upper": upper, "id": F.xxhash64(*series, "start_us")})
+    good = kept(good.withColumns({"lower": lower, "upper": upper, "id": F.xxhash64(*series, "start_us")}), "cost-intervals")
     hits = range_join(events, good.select("id", "start_us", "end_us"), [], "us", "start_us", "end_us", HOUR_US, closed="right")
     g = hits.groupBy("id").agg(*(F.sum(F.greatest(c, F.lit(0))).cast("double").alias(c) for c in CATEGORIES), F.count(F.lit(1)).alias("events"), F.count_if(~complete_categories()).alias("_partial"), F.count_if(F.col("model").isNull() | F.col("effort").isNull()).alias("_unlabelled"), F.count_if(F.col("captured_us").isNull() | (F.col("captured_us") > F.col("end_us"))).alias("_late"))
     j = good.join(g, "id", "left").fillna(0, [*CATEGORIES, "events", "_partial", "_unlabelled", "_late"])
