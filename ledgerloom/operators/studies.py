@@ -423,6 +423,7 @@ def _transfers(units: DataFrame, unit: list[str], own: list[str], d: int) -> Dat
                 predicted = w[:n] @ rows[:, :d].T
                 reused += _misses(predicted, rows[:, d:])
                 rescaled[fits] += _misses(predicted[fits] * scale[fits, None], rows[:, d:])
+                rescaled[none] += _misses(np.zeros((1, len(rows))), rows[:, d:])  # a fit that is zero stays zero at any scale
                 if last[i]:
                     done.append((i, ids.slice(0, n), reused, rescaled))
                     made += n

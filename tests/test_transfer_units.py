@@ -55,7 +55,7 @@ def plain(rows, first):
                     break
                 scale = new
             of = lambda w, s: loss(lambda r: float(w @ [r[c] for c in WORK]) * s)  # noqa: E731, B023
-            out[k[0], k[1], d[1]] = (len(v) - first, len(blocks), of(w, 1), of(w, scale) if (given**2).mean() > 1e-12 else None, of(fits[k], 1), of(w, 0))
+            out[k[0], k[1], d[1]] = (len(v) - first, len(blocks), of(w, 1), of(w, scale), of(fits[k], 1), of(w, 0))
     return out
 
 
@@ -75,7 +75,8 @@ def test_pairs_of_all_units_are_those_of_single_pairs(made, monkeypatch, sizes):
     for k, (rows, blocks, reused, rescaled, local, nothing) in made[1].items():
         r = found[k]
         assert (r.rows, r.blocks) == (rows, blocks) and [r.reused, r.local, r.nothing] == pytest.approx([reused, local, nothing], abs=1e-8)
-        assert rescaled is None or r.rescaled == pytest.approx(rescaled, abs=1e-6)
+        assert r.rescaled == pytest.approx(rescaled, abs=1e-6)
+    assert any(nothing > 0 for k, (*_, nothing) in made[1].items() if k[2] % 4 == 0)  # donors whose fit is zero
 
 
 def test_no_pairs_are_shuffled(made):
@@ -95,3 +96,10 @@ def test_ridges_of_many_cohorts_are_those_of_single_ones():
     low = (x @ rng.random((40, 2, 1)))[:, :, 0] + rng.normal(size=(40, 8))
     many = nonnegative_ridges(x, low, low + 1)
     assert np.allclose(many, [nonnegative_ridge(*one) for one in zip(x, low, low + 1)], atol=1e-9) and (many[7] == 0).all() and (many > 0).any()
+
+
+def test_cost_intervals_are_made_once(spark):
+    from ledgerloom.plans.queries_meter import _cost
+
+    plan = _cost(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cost-intervals" in "".join(_cost(spark, "/root/testdata/sf0.001").inputFiles()) and "MapInArrow" not in plan
